@@ -8,16 +8,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+STEP_BYTES = 8 << 20
 
-def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: list[T.StructField]) -> DataFrame:
-    """df with the columns that `compute` makes of each Arrow batch; columns of df with the name of one go."""
-    names = {f.name.lower() for f in fields}
+
+def steps(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes, so that what is made of one stays small too."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, size))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns that `compute` makes of each Arrow batch.
+
+    Columns of df with the name of a new one go, and those in `drop`, after use.
+    """
+    names = {f.name.lower() for f in fields} | {x.lower() for x in drop}
     kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
     schema = T.StructType([df.schema.fields[i] for i in kept] + fields)
     labels = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + compute(batch), names=labels)
 
     return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, media, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -15,6 +15,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, indexed and read back."""
+    path = warc.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
+    found = warc.read(warc.index(spark, path))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op6_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a PNG, read back and hashed."""
+    stored = media.encode(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return media.decode(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -32, 32)).alias("tail_crc32"),
+        F.octet_length("png").cast("long").alias("media_bytes"),
+        F.sha2("png", 256).alias("media_sha256"),
+        F.lower(F.hex("image_hash")).alias("feature"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded bytes of every document."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
@@ -23,5 +45,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {f.__name__: f for f in (op5_warc, op6_png, op7_bpe)}
 ORACLES: dict[str, str] = {}
