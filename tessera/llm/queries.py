@@ -6,15 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, warc
+from tessera.llm import bpe, media, quality, toxicity, warc
+from tessera.llm.supervised import fold
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Least scores of documents that count as toxic and as good.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.5
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document by a model of the labelled rows outside one fold of four."""
+    docs, labels = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    machine = toxicity.train(docs, labels, fold("doc_id", 4) != 2)
+    out = toxicity.score(docs, machine).drop("text")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, indexed and read back."""
     path = warc.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
@@ -45,5 +56,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op6_png, op7_bpe)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document by a model of the labelled rows outside one fold of three."""
+    docs, labels = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.train(docs, labels, fold("doc_id", 3) != 1)
+    out = quality.score(docs, model).drop("text")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_warc, op6_png, op7_bpe, op10_quality)}
 ORACLES: dict[str, str] = {}

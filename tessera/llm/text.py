@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+SAME = np.arange(256, dtype=np.uint8)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -70,9 +73,12 @@ def chunks(at: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _hashes(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes and their first bytes' positions; heads: where rows start, which also ends a token."""
-    space = _SPACE[data]
+def _hashes(data: np.ndarray, heads: np.ndarray, gaps: np.ndarray, lower: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Their first bytes' positions, token hashes, and hashes of their prefixes, 0 for tokens that aren't longer.
+
+    heads: where rows start, which also ends a token; gaps: which bytes stand between tokens; lower: what bytes count as.
+    """
+    space = gaps[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
@@ -83,17 +89,28 @@ def _hashes(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray
     up, down = _table(len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts
+    np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    found = [starts, mix((total[ends] - total[starts]) * down[starts])]
+    for k in prefixes:
+        longer = ends - starts > k
+        h = np.zeros(len(starts), np.uint64)
+        h[longer] = mix((total[starts[longer] + k] - total[starts[longer]]) * down[starts[longer]] ^ np.uint64(k))
+        found.append(h)
+    return tuple(found)
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the rows data[at[i]:at[i+1]] in order, and the offsets of the rows' tokens."""
+    return terms(data, at)[::-1]
+
+
+def terms(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """The offsets of the rows' tokens, token hashes in order, and hashes of the tokens' prefixes of so many bytes (0: none)."""
     out, where, lo, end = [], [], int(at[0]), int(at[-1])
     while lo < end:
         hi = min(lo + PIECE, end)
         while hi < end:
-            spaces = np.flatnonzero(_SPACE[data[lo:hi]])
+            spaces = np.flatnonzero(gaps[data[lo:hi]])
             heads = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi, "right")]
             cut = max(lo + int(spaces[-1]) + 1 if len(spaces) else lo, int(heads[-1]) if len(heads) else lo)
             if cut > lo:
@@ -101,13 +118,13 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 break
             hi = min(hi + PIECE, end)
         i, j = np.searchsorted(at, [lo, hi])
-        h, starts = _hashes(data[lo:hi], at[i:j] - lo)
-        out.append(h)
+        starts, *found = _hashes(data[lo:hi], at[i:j] - lo, gaps, lower, prefixes)
+        out.append(found)
         where.append(starts + lo)
         lo = hi
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    return np.concatenate(out), np.searchsorted(np.concatenate(where), at).astype(np.int64)
+        return np.zeros(len(at), np.int64), *[np.zeros(0, np.uint64)] * (1 + len(prefixes))
+    return np.searchsorted(np.concatenate(where), at).astype(np.int64), *[np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def shingles(words: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
