@@ -11,6 +11,7 @@ Nulls and empty texts have no tokens. Ids are held packed, as little-endian unsi
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from heapq import heappop, heappush
 from pathlib import Path
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.frames import column, with_arrays
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 180_000
 MEMO_BYTES = 48
 _SHIFT = 8
 _MASK = (1 << _SHIFT) - 1
@@ -34,39 +35,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
-class RankQueue:
-    """Positions by rank: the least rank first, and in it the leftmost position."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], position)
-            return
-        self.buckets[rank] = [position]
-        high = rank >> _SHIFT
-        self.words[high] = self.words.get(high, 0) | 1 << (rank & _MASK)
-        self.top |= 1 << high
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.words[high]
-        rank = high << _SHIFT | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[high] = word = word & word - 1
-            if not word:
-                self.top &= self.top - 1
-        return rank, position
-
-
 class Bpe:
-    """Encoder and decoder of one vocabulary; short pre-tokens are remembered, 2 * MEMO_ENTRIES of them at most."""
+    """Encoder and decoder of one vocabulary; 4 * MEMO_ENTRIES short pre-tokens and words at most are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
@@ -76,7 +46,8 @@ class Bpe:
         self.odd_space = regex.compile(r" (?!\S)").search
         self.split_space = regex.compile(r" (?=\S)").split
         self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
-        self.later = _Memo(self)
+        self.pieces = _Memo(self.pack_piece)
+        self.later = _Memo(lambda rest: self.pack(" " + rest))
         by_rank = sorted((r, t) for t, r in ranks.items())
         size = by_rank[-1][0] + 1 if by_rank else 0
         self.lengths = np.zeros(size, np.int64)
@@ -91,27 +62,50 @@ class Bpe:
             return [whole]
         n = len(piece)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        queue = RankQueue()
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
-            if pair[i] != rank:
-                continue
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        # The queue: a bit for each word in top, a bit for each bucket in its word, a heap of positions in each bucket.
+        top, words, buckets = 0, {}, {}
+        fresh = enumerate(pair)
+        while True:
+            for i, rank in fresh:
+                if rank >= 0:
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        high = rank >> _SHIFT
+                        words[high] = words.get(high, 0) | 1 << (rank & _MASK)
+                        top |= 1 << high
+            while top:
+                high = (top & -top).bit_length() - 1
+                word = words[high]
+                rank = high << _SHIFT | (word & -word).bit_length() - 1
+                bucket = buckets[rank]
+                i = heappop(bucket)
+                if not bucket:
+                    del buckets[rank]
+                    words[high] = word = word & word - 1
+                    if not word:
+                        top &= top - 1
+                if pair[i] == rank:
+                    break
+            else:
+                break
             gone = right[i]
             end = right[i] = right[gone]
             pair[gone] = -1
-            pair[i] = rank = get(piece[i : right[end]], -1) if end < n else -1
+            before = left[i]
             if end < n:
                 left[end] = i
-            if rank >= 0:
-                queue.push(rank, i)
-            if (before := left[i]) >= 0:
-                pair[before] = rank = get(piece[before:end], -1)
-                if rank >= 0:
-                    queue.push(rank, before)
+                pair[i] = rank = get(piece[i : right[end]], -1)
+            else:
+                pair[i] = rank = -1
+            if before >= 0:
+                pair[before] = other = get(piece[before:end], -1)
+                fresh = ((i, rank), (before, other))
+            else:
+                fresh = ((i, rank),)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : right[i]]])
@@ -119,8 +113,12 @@ class Bpe:
         return ids
 
     def pack(self, text: str) -> bytes:
+        """The packed ids of a text, by its pre-tokens."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def pack_piece(self, piece: str) -> bytes:
         packed = self.packed
-        return b"".join([packed[i] for piece in self.find(text) for i in self.merge(piece.encode())])
+        return b"".join([packed[i] for i in self.merge(piece.encode())])
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text.
@@ -145,16 +143,16 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Packed ids of a space and the key after it, in two generations: what the elder has in use moves to the younger."""
+    """A function's values for short keys, in two generations: what the elder has in use moves to the younger."""
 
-    def __init__(self, bpe: Bpe) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.make = make
         self.elder: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         if (value := self.elder.get(key)) is None:
-            value = self.bpe.pack(" " + key)
+            value = self.make(key)
         if len(key) <= MEMO_BYTES:
             if len(self) >= MEMO_ENTRIES:
                 self.elder = dict(self)
