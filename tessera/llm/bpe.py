@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a linked list. Each adjacent pair that the vocabulary has as one token waits in the bucket of
-its merge rank, by position; a bitmap of two levels tells which buckets hold something, so the next rank is two
-find-first-set steps away. An entry whose pair has changed since is stale and skipped. Each merge makes at most two
-entries, so a pre-token of n bytes takes O(n log n) however long it is, where a rescan for each merge takes O(n^2).
+The bytes of the pre-tokens to encode, a few megabytes of text at a time, form one linked list with a stop between
+pre-tokens. Each adjacent pair that the vocabulary has as one token waits by position in the bucket of its merge rank;
+a bitmap of two levels tells which buckets hold something, so the next rank is two find-first-set steps away. All
+positions of a bucket are merged at once: those whose pair has changed since are stale and skipped, and of pairs that
+overlap the leftmost goes first. Where a merge could make a pair of a lower rank, one position of each pre-token is
+merged and the rest go back. Each merge makes at most two entries, so a pre-token of n bytes takes O(n log n) however
+long it is, where a rescan for each merge takes O(n^2).
 
 Nulls and empty texts have no tokens. Ids are held packed, as little-endian unsigned 32-bit integers.
 """
@@ -11,8 +14,6 @@ Nulls and empty texts have no tokens. Ids are held packed, as little-endian unsi
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.frames import column, with_arrays
 
-MEMO_ENTRIES = 180_000
+MEMO_ENTRIES = 400_000
+BATCH_BYTES = 4 << 20
 MEMO_BYTES = 48
 _SHIFT = 8
 _MASK = (1 << _SHIFT) - 1
@@ -35,103 +37,162 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
+class RankQueue:
+    """Arrays of positions by rank, the least rank first."""
+
+    def __init__(self) -> None:
+        self.top = 0
+        self.words: dict[int, int] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
+
+    def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Put each position into the bucket of its rank."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        heads = np.flatnonzero(np.diff(ranks, prepend=-1))
+        ends = [*heads[1:].tolist(), len(ranks)]
+        for rank, lo, hi in zip(ranks[heads].tolist(), heads.tolist(), ends, strict=True):
+            if rank in self.buckets:
+                self.buckets[rank].append(positions[lo:hi])
+                continue
+            self.buckets[rank] = [positions[lo:hi]]
+            high = rank >> _SHIFT
+            self.words[high] = self.words.get(high, 0) | 1 << (rank & _MASK)
+            self.top |= 1 << high
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        """The least rank and what its bucket holds."""
+        high = (self.top & -self.top).bit_length() - 1
+        word = self.words[high]
+        rank = high << _SHIFT | (word & -word).bit_length() - 1
+        self.words[high] = word = word & word - 1
+        if not word:
+            self.top &= self.top - 1
+        found = self.buckets.pop(rank)
+        return rank, found[0] if len(found) == 1 else np.concatenate(found)
+
+
 class Bpe:
-    """Encoder and decoder of one vocabulary; 4 * MEMO_ENTRIES short pre-tokens and words at most are remembered."""
+    """Encoder and decoder of one vocabulary. Between batches it remembers MEMO_ENTRIES words or those of one batch."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        # A space before another character than white space starts a pre-token under the common pattern; see pieces().
+        # Under the common pattern a space before another character than white space starts a pre-token.
         self.plain = pattern.endswith(r"|\s+(?!\S)|\s+") and r"| ?[^\s\p{L}\p{N}]+" in pattern
         self.odd_space = regex.compile(r" (?!\S)").search
         self.split_space = regex.compile(r" (?=\S)").split
-        self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
-        self.pieces = _Memo(self.pack_piece)
-        self.later = _Memo(lambda rest: self.pack(" " + rest))
+        self.memo: dict[str, bytes] = {}
         by_rank = sorted((r, t) for t, r in ranks.items())
         size = by_rank[-1][0] + 1 if by_rank else 0
         self.lengths = np.zeros(size, np.int64)
         self.lengths[[r for r, _ in by_rank]] = [len(t) for _, t in by_rank]
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
         self.bytes = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-        pair.append(-1)
-        # The queue: a bit for each word in top, a bit for each bucket in its word, a heap of positions in each bucket.
-        top, words, buckets = 0, {}, {}
-        fresh = enumerate(pair)
-        while True:
-            for i, rank in fresh:
-                if rank >= 0:
-                    if rank in buckets:
-                        heappush(buckets[rank], i)
-                    else:
-                        buckets[rank] = [i]
-                        high = rank >> _SHIFT
-                        words[high] = words.get(high, 0) | 1 << (rank & _MASK)
-                        top |= 1 << high
-            while top:
-                high = (top & -top).bit_length() - 1
-                word = words[high]
-                rank = high << _SHIFT | (word & -word).bit_length() - 1
-                bucket = buckets[rank]
-                i = heappop(bucket)
-                if not bucket:
-                    del buckets[rank]
-                    words[high] = word = word & word - 1
-                    if not word:
-                        top &= top - 1
-                if pair[i] == rank:
-                    break
-            else:
-                break
-            gone = right[i]
-            end = right[i] = right[gone]
-            pair[gone] = -1
-            before = left[i]
-            if end < n:
-                left[end] = i
-                pair[i] = rank = get(piece[i : right[end]], -1)
-            else:
-                pair[i] = rank = -1
-            if before >= 0:
-                pair[before] = other = get(piece[before:end], -1)
-                fresh = ((i, rank), (before, other))
-            else:
-                fresh = ((i, rank),)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : right[i]]])
-            i = right[i]
-        return ids
-
-    def pack(self, text: str) -> bytes:
-        """The packed ids of a text, by its pre-tokens."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
-
-    def pack_piece(self, piece: str) -> bytes:
-        packed = self.packed
-        return b"".join([packed[i] for i in self.merge(piece.encode())])
-
-    def encode(self, text: str) -> bytes:
-        """The packed ids of a text.
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        # Pairs of tokens that are one token together, by left id and right id; and the ranks whose token begins or
+        # ends a token of a lower rank, so that their merge could make a pair that comes first.
+        self.base = size + 1
+        pairs, self.risky = {}, set()
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                head, tail = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if head is not None and tail is not None:
+                    pairs[(head + 1) * self.base + tail + 1] = rank
+                self.risky.update(x for x in (head, tail) if x is not None and x > rank)
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()] or [0], np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, -1 for none; the id -1 has no pairs."""
+        keys = (left + 1) * self.base + right + 1
+        place = np.searchsorted(self.pair_keys, keys)
+        place[place == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[place] == keys, self.pair_ranks[place], -1) if len(self.pair_keys) else np.full(len(keys), -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens that aren't one token."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        stops = np.concatenate(([0], np.cumsum(sizes + 1)))
+        n = int(stops[-1]) + 1
+        real = np.ones(n, dtype=bool)
+        real[stops] = False
+        ids = np.full(n, -1, np.int64)
+        ids[real] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[-1] = n - 1
+        rank_at = self.pair(ids, ids[right])
+        rank_at[-1] = -1
+        queue, waiting = RankQueue(), np.flatnonzero(rank_at >= 0)
+        queue.push(rank_at[waiting], waiting)
+        while queue.top:
+            rank, at = queue.pop()
+            at = at[rank_at[at] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                at = np.unique(at)
+                if rank in self.risky:
+                    piece = np.searchsorted(stops, at)
+                    first = np.diff(piece, prepend=-1) != 0
+                    if not first.all():
+                        queue.push(rank_at[at[~first]], at[~first])
+                    at = at[first]
+                else:
+                    joined = np.zeros(len(at), dtype=bool)
+                    joined[1:] = right[at[:-1]] == at[1:]
+                    if joined.any():
+                        place = np.arange(len(at))
+                        at = at[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0]
+            gone = right[at]
+            after = right[gone]
+            right[at] = after
+            left[after] = at
+            ids[at] = rank
+            real[gone] = False
+            rank_at[gone] = -1
+            changed = np.concatenate((left[at], at))
+            changed = changed[real[changed]]
+            fresh = self.pair(ids[changed], ids[right[changed]])
+            rank_at[changed] = fresh
+            use = fresh >= 0
+            queue.push(fresh[use], changed[use])
+        packed = ids[real].astype("<u4").tobytes()
+        ends = np.cumsum(np.add.reduceat(real, stops[:-1])) * 4 if len(pieces) else []
+        return [packed[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(pieces) else []
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The packed ids of words."""
+        found, unknown = {w: self.find(w) for w in words}, {}
+        for pieces in found.values():
+            for p in pieces:
+                if p not in unknown:
+                    whole = self.ranks.get(raw := p.encode())
+                    unknown[p] = raw if whole is None else whole
+        hard = [p for p, x in unknown.items() if isinstance(x, bytes)]
+        packed = {p: x.to_bytes(4, "little") for p, x in unknown.items() if isinstance(x, int)}
+        packed |= zip(hard, self.merge([unknown[p] for p in hard]), strict=True)
+        return {w: packed[p[0]] if len(p) == 1 else b"".join([packed[x] for x in p]) for w, p in found.items()}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts.
 
         A text is cut before each space that another character follows. No pre-token reaches over such a place, and
         what follows it doesn't change the matches before it: white space there keeps its last character apart.
         """
-        if not text:
-            return b""
-        if not self.plain:
-            return self.pack(text)
-        head, *rest = self.split_space(text) if self.odd_space(text) else text.split(" ")
-        return self.pack(head) + b"".join(map(self.later.__getitem__, rest))
+        parts = [(self.split_space(t) if self.odd_space(t) else t.split(" ")) if self.plain else [t] for t in texts]
+        seen = set()
+        for p in parts:
+            seen.update(p[1:])
+        memo, later = self.memo, seen.difference(self.memo)
+        learned = self.learn({p[0] for p in parts} | {" " + w for w in later})
+        memo.update((w, learned[" " + w]) for w in later)
+        out = [learned[p[0]] + b"".join(map(memo.__getitem__, p[1:])) for p in parts]
+        if len(memo) > MEMO_ENTRIES:  # what this batch has in use stays, as frequent words are among it
+            self.memo = {w: memo[w] for w in seen if len(w) <= MEMO_BYTES}
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids."""
@@ -142,25 +203,6 @@ class Bpe:
         return self.bytes[at].tobytes()
 
 
-class _Memo(dict):
-    """A function's values for short keys, in two generations: what the elder has in use moves to the younger."""
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make = make
-        self.elder: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        if (value := self.elder.get(key)) is None:
-            value = self.make(key)
-        if len(key) <= MEMO_BYTES:
-            if len(self) >= MEMO_ENTRIES:
-                self.elder = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 def _bpe(shared, pattern: str) -> Bpe:
     """This worker's Bpe of a broadcast vocabulary; tasks that a worker runs one after another share it."""
     ranks = shared.value
@@ -181,10 +223,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def compute(batch: pa.RecordBatch) -> list:
         bpe = _bpe(shared, pattern)
-        packed = [bpe.encode(x.as_py() or "") for x in batch.column(at)]
+        packed = bpe.encode([x or "" for x in batch.column(at).to_pylist()])
         return [pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())]
 
-    return with_arrays(df, compute, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())])
+    return with_arrays(df, compute, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], size=BATCH_BYTES)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -19,8 +19,8 @@ def steps(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator
             yield batch.slice(lo, rows)
 
 
-def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with the columns that `compute` makes of each Arrow batch.
+def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: list[T.StructField], drop: tuple[str, ...] = (), size: int = STEP_BYTES) -> DataFrame:
+    """df with the columns that `compute` makes of each Arrow batch, `size` bytes at a time.
 
     Columns of df with the name of a new one go, and those in `drop`, after use.
     """
@@ -30,7 +30,7 @@ def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields
     labels = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, size):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + compute(batch), names=labels)
 
     return df.mapInArrow(run, schema)

@@ -127,8 +127,8 @@ def terms(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE, lower: np
     return np.searchsorted(np.concatenate(where), at).astype(np.int64), *[np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def shingles(words: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of `size` tokens in each row; a row with fewer, but some, has one run of them all.
+def shingles(words: np.ndarray, at: np.ndarray, size: int = SHINGLE, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `size` tokens in each row; with `short`, a row with fewer, but some, has one run of them all.
 
     The second result gives the row of each.
     """
@@ -139,14 +139,14 @@ def shingles(words: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np
     for k in range(size):
         total = total * np.uint64(BASE) + words[first + k]
     total = mix(total)
-    if len(short := np.flatnonzero((n > 0) & (n < size))):
-        more = np.empty(len(short), dtype=np.uint64)
-        for i, r in enumerate(short):
+    if short and len(few := np.flatnonzero((n > 0) & (n < size))):
+        more = np.empty(len(few), dtype=np.uint64)
+        for i, r in enumerate(few):
             h = np.full(1, n[r], dtype=np.uint64)
             for w in words[at[r] : at[r + 1]]:
                 h = h * np.uint64(BASE) + w
             more[i] = mix(h)[0]
-        total, row = np.concatenate((total, more)), np.concatenate((row, short))
+        total, row = np.concatenate((total, more)), np.concatenate((row, few))
         order = np.argsort(row, kind="stable")
         total, row = total[order], row[order]
     return total, row
