@@ -28,8 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, indexed and read back."""
-    path = warc.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
-    found = warc.read(warc.index(spark, path))
+    found = warc.read(warc.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html"))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

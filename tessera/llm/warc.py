@@ -1,142 +1,130 @@
-"""WARC archives: deduplicated writing, an index of the records, and coalesced reads of byte ranges.
+"""WARC archives: deduplicated writing with an index, and coalesced reads of byte ranges.
 
-Writing: every record is one WARC/1.1 `response` or `revisit` with an HTTP head in its block. Of the records with equal
-payloads of at least `least` bytes those with the smallest id are responses, the others revisit it and hold no payload.
-Rows that repeat both id and payload stay responses; ids that are null come after all others and, where a group has no
-other, are responses. A null payload is empty and a null URL has no header. The archives are files of Spark's text
-writer whose line separator is a record's end, so that a lost executor's part is written anew and nothing half-done stays.
+Writing: every record is one gzip member, a WARC/1.1 `response` or `revisit` with an HTTP head in its block. Of the
+records with equal payloads of at least `least` bytes those with the smallest id are responses, the others revisit it
+and hold no payload. Rows that repeat both id and payload stay responses; ids that are null come after all others and,
+where a group has no other, are responses. A null payload is empty and a null URL has no header.
 
-Reading: the index is made first, by one pass over the heads of the records: file, offset, length, URL and digest.
-What is to be read is selected from it; the selected records' ranges, sorted by file and offset, are merged where the
-gap is small, and each merged range is read at once.
+The index comes first: as a task appends records to its archive, it returns file, offset, length, URL and digest of
+each, and Spark commits these rows. An archive of a lost attempt has a name of its own that no row of the index gives.
+
+Reading: what is to be read is selected from the index; the selected records' ranges, sorted by file and offset, are
+merged where the gap is small, and each merged range is read at once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.llm.frames import steps
 from tessera.llm.store import fresh_path, written
 
-END = "\r\n\r\n"
-WINDOW = 1 << 20
+ROLL = 1 << 29
+LEVEL = 6
 GAP = 1 << 16
 RANGE = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "file string, offset long, length long, url string, digest string, id long, record_type string, refers_to long, body long, payload_bytes long"
+INDEX = "file string, offset long, length long, url string, digest string, id long, record_type string, refers_to long, payload_bytes long"
 PAYLOADS = "id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, intact boolean"
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[k]) for x, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _at(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return pyarrow.fs.LocalFileSystem(), unquote(parts.path)
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def _uri(key: int | None) -> bytes:
+    return b"<urn:x-record:%s>" % (b"" if key is None else b"%d" % key)
+
 
+def record(key: int | None, url: str | None, payload: bytes, digest: str, first: int | None, again: bool) -> bytes:
+    """One record, not compressed; again: whether it revisits the record called first."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    block = http if again else http + payload
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if again else b"response"), b"WARC-Record-ID: " + _uri(key), b"WARC-Date: 1970-01-01T00:00:00Z"]
+    if url is not None:
+        head.append(b"WARC-Target-URI: " + re.sub(rb"[\r\n]+", b" ", url.encode()))
+    head.append(b"WARC-Payload-Digest: sha1:" + digest.encode())
+    if again:
+        head += [b"WARC-Profile: " + PROFILE.encode(), b"WARC-Refers-To: " + _uri(first)]
+    head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
-def base32_sha1(text: Column) -> Column:
-    """The SHA-1 of a text in base32: five hexadecimal digits at a time are four letters."""
-    letters, digits = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.sha1(text)
-    groups = [F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*[F.substr(letters, F.shiftright(g, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)])
 
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The headers of a record and its payload."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    headers = dict(line.split(": ", 1) for line in lines)
+    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
-def write(pages: DataFrame, key: str, url: str, payload: str, least: int = 0) -> str:
-    """The folder in the shared one to which the rows of pages are written as archives.
 
-    The ids' minima for each digest are a table of a row for each payload; it meets the payloads in a join that adaptive
-    execution splits where one payload has a large part of all rows.
+def _deduplicated(pages: DataFrame, key: str, url: str, payload: str, least: int) -> DataFrame:
+    """id, url, payload, sha1 in hexadecimal digits, the first id of the payload, again.
+
+    The first ids are a table of a row for each payload; it meets the payloads in a join that adaptive execution splits
+    where one payload has a large part of all rows.
     """
-    spark = pages.sparkSession
     text = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).alias("id"), F.regexp_replace(url, "[\r\n]+", " ").alias("url"), text.alias("payload"), F.octet_length(text).alias("n"), F.sha1(text).alias("sha1"))
-    first = written(rows.filter(F.col("n") >= least).groupBy("sha1").agg(F.min("id").alias("first")), "warc-first")
-    rows = rows.join(first.hint("merge"), "sha1", "left")
-    again = (F.col("n") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = rows.withColumn("again", again).withColumn("digest", base32_sha1(F.col("payload")))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
-    block = F.concat(http, F.when(F.col("again"), "").otherwise(F.col("payload")))
-    uri = lambda x: F.concat(F.lit("<urn:x-record:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
-    head = F.concat_ws(
-        "\r\n",
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), uri(F.col("id"))),
-        F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
-        F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(F.col("again"), F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), uri(F.col("first")))),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block)),
-    )
-    rows.select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).text(path := fresh_path(spark, "warc"))
-    return path
-
-
-def _open(uri: str) -> pa.NativeFile:
-    parts = urlsplit(uri)
-    if parts.scheme in ("", "file"):
-        return pyarrow.fs.LocalFileSystem().open_input_file(unquote(parts.path))
-    system, path = pyarrow.fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
-
-
-def _number(value: str | None) -> int | None:
-    digits = (value or "").rpartition(":")[2].rstrip(">")
-    return int(digits) if digits else None
-
-
-def _heads(file: pa.NativeFile) -> Iterator[tuple]:
-    """offset, length, headers, block's place and the payload's place and length of each record, in order."""
-    size, at, start, window = file.size(), 0, 0, b""
-
-    def upto_end(place: int) -> int:
-        """Where the blank line after `place` ends; more is read until it is there."""
-        nonlocal start, window
-        if not start <= place < start + len(window):
-            start, window = place, file.read_at(min(WINDOW, size - place), place)
-        while (found := window.find(b"\r\n\r\n", place - start)) < 0:
-            if start + len(window) >= size:
-                raise ValueError(f"a record at {at} has no end of its head")
-            window = window[place - start :] + file.read_at(min(WINDOW, size - start - len(window)), start + len(window))
-            start = place
-        return start + found + 4
-
-    while at < size:
-        block = upto_end(at)
-        lines = window[at - start : block - 4 - start].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        end = block + int(headers["Content-Length"])
-        body = upto_end(block)
-        claimed = next(int(x[16:]) for x in window[block - start : body - start].decode("ascii").split("\r\n") if x.startswith("Content-Length: "))
-        yield at, end - at, headers, body, claimed
-        at = end + 4
-
-
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in a folder: file, offset, length, url, digest, id, record_type, refers_to, body
-    (the payload's offset) and payload_bytes (of the full payload)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
-    names = [f.split()[0] for f in INDEX.split(", ")]
-    schema = pa.schema([(n, pa.string() if n in ("file", "url", "digest", "record_type") else pa.int64()) for n in names])
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), text.alias("payload"), F.sha1(text).alias("sha1"))
+    alike = F.octet_length("payload") >= least
+    first = written(rows.filter(alike).groupBy("sha1").agg(F.min("id").alias("first")), "warc-first")
+    again = alike & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return rows.join(first.hint("merge"), "sha1", "left").select("id", "url", F.encode("payload", "utf-8").alias("payload"), "sha1", "first", again.alias("again"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                rows = []
-                with _open(uri) as file:
-                    for at, length, headers, body, claimed in _heads(file):
-                        rows.append((uri, at, length, headers.get("WARC-Target-URI"), headers["WARC-Payload-Digest"].removeprefix("sha1:"), _number(headers["WARC-Record-ID"]), headers["WARC-Type"], _number(headers.get("WARC-Refers-To")), body, claimed))
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return written(files.mapInArrow(run, INDEX), "warc-index")
+def write(pages: DataFrame, key: str, url: str, payload: str, least: int = 0) -> DataFrame:
+    """Archives of the rows of pages in the shared folder; returns their index."""
+    folder = fresh_path(pages.sparkSession, "warc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _at(folder)
+        stream = uri = None
+        at = 0
+        for batch in steps(batches):
+            rows = []
+            for key, url, payload, sha1, first, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stream is None or at >= ROLL:
+                    if stream is not None:
+                        stream.close()
+                    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                    system.create_dir(path, recursive=True)
+                    stream, uri, at = system.open_output_stream(f"{path}/{name}", compression=None), f"{folder}/{name}", 0
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                data = pack.compress(record(key, url, payload, digest, first, again)) + pack.flush()
+                stream.write(data)
+                rows.append((uri, at, len(data), url, digest, key, "revisit" if again else "response", first if again else None, len(payload)))
+                at += len(data)
+            yield _batch(rows, INDEX)
+        if stream is not None:
+            stream.close()
+
+    return written(_deduplicated(pages, key, url, payload, least).mapInArrow(run, INDEX), "warc-index")
 
 
 def merged(spans: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> list[tuple[int, int, list[int]]]:
@@ -153,40 +141,32 @@ def merged(spans: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> l
 
 def read(selected: DataFrame) -> DataFrame:
     """The payloads of rows of an index: id, url, record_type, refers_to, payload (null for a revisit), payload_bytes and
-    payload_digest of the full payload, intact (whether a payload read has the digest of its head)."""
-    rows = selected.select("file", "offset", "length", "url", "digest", "id", "record_type", "refers_to", "body", "payload_bytes").sortWithinPartitions("file", "offset")
-    names = [f.split()[0] for f in PAYLOADS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    payload_digest of the full payload, intact (whether a payload has the digest of its head and the index)."""
+    rows = selected.select(*[f.split()[0] for f in INDEX.split(", ")]).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = file = None
+        name = stream = None
         for batch in batches:
             records = batch.to_pylist()
-            for lo, hi in _runs([r["file"] for r in records]):
-                if records[lo]["file"] != name:
-                    if file:
-                        file.close()
-                    name = records[lo]["file"]
-                    file = _open(name)
-                for start, end, places in merged([(r["offset"], r["offset"] + r["length"]) for r in records[lo:hi]]):
-                    data, out = file.read_at(end - start, start), []
-                    for r in (records[lo + i] for i in places):
-                        if r["record_type"] == "revisit":
-                            out.append((r["id"], r["url"], r["record_type"], r["refers_to"], None, r["payload_bytes"], r["digest"], None))
+            for uri, group in groupby(records, lambda r: r["file"]):
+                group = list(group)
+                if uri != name:
+                    if stream is not None:
+                        stream.close()
+                    system, path = _at(uri)
+                    name, stream = uri, system.open_input_file(path)
+                for start, end, places in merged([(r["offset"], r["offset"] + r["length"]) for r in group]):
+                    data, out = stream.read_at(end - start, start), []
+                    for r in (group[i] for i in places):
+                        headers, payload = parse(zlib.decompress(data[r["offset"] - start : r["offset"] + r["length"] - start], 31))
+                        claimed = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if headers["WARC-Type"] == "revisit":
+                            out.append((r["id"], r["url"], "revisit", r["refers_to"], None, r["payload_bytes"], claimed, claimed == r["digest"]))
                             continue
-                        payload = data[r["body"] - start : r["offset"] + r["length"] - start]
                         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        out.append((r["id"], r["url"], r["record_type"], None, payload, len(payload), digest, digest == r["digest"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        if file:
-            file.close()
+                        out.append((r["id"], r["url"], "response", None, payload, len(payload), digest, digest == claimed == r["digest"]))
+                    yield _batch(out, PAYLOADS)
+        if stream is not None:
+            stream.close()
 
     return rows.mapInArrow(run, PAYLOADS)
-
-
-def _runs(values: list) -> Iterator[tuple[int, int]]:
-    lo = 0
-    for i in range(1, len(values) + 1):
-        if i == len(values) or values[i] != values[lo]:
-            yield lo, i
-            lo = i
