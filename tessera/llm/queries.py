@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, media, quality, toxicity, warc
+from tessera.llm import bpe, contamination, media, nearjoin, quality, toxicity, warc
 from tessera.llm.supervised import fold
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op4_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document and its number of links to other texts."""
+    rows, _ = nearjoin.join(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "class_id", "n_links")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, indexed and read back."""
     found = warc.read(warc.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html"))
@@ -68,18 +74,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_warc, op6_png, op7_bpe, op8_contamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op10_quality)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
     "op8_contamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
-        bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i + 4], ' '))) AS s
+        bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
                FROM b WHERE len(w) > 0),
         n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
-        ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i + 4], ' ')))) AS s FROM d)
+        ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM d)
         SELECT doc_id, item_id, count(*) AS shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
         FROM ds JOIN bs USING (s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9""",
