@@ -9,12 +9,14 @@ BRANCHES * s buckets in the mean. A bucket of more than SMALL nodes is split aga
 below it, to the depth DEPTH; one that doesn't shrink, as its nodes are alike, isn't split further. Small buckets are
 brute-forced; what is large still is cut into blocks of BLOCK nodes and each pair of blocks is brute-forced as a bucket
 of its own, so nothing is capped. Runs are repeated until a pair at the threshold is missed with a chance below
-1 - recall. A pair is looked at in the first bucket that it shares at the top and that isn't split, so that shared
-buckets don't repeat it; a pair that shares split ones alone is looked at wherever it meets below them.
+1 - recall. Which buckets two nodes share follows from their values, so a pair is looked at once, in the first bucket in
+the order of the recursion that it shares and that isn't split; the buckets before it are known from the node's values
+and the list of its buckets that were split.
 
 Brute force has two steps: pairs whose MinHash values agree too seldom go, by five standard deviations; the nodes left
 get their shingles, read again from their texts, and exact similarities decide. Links are similarities of at least the
-threshold; classes are the connected components of links.
+threshold. A bucket returns how many links each node has in it and a spanning forest of them, not the pairs; classes are
+the connected components of the forests.
 
 Null and empty texts are copies of each other and have no links to others. Rows with a null key are no part of the join.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ RECALL = 0.9999
 WIDTH = 128
 BRANCHES = 3
 SMALL = 48
-BLOCK = 256
+BLOCK = 1024
 DEPTH = 3
 SHRINK = 0.5
 PAIRS = 1 << 16
@@ -127,7 +130,7 @@ def _run_salts(runs: int) -> np.ndarray:
 
 
 def _top(nodes: DataFrame, runs: int) -> DataFrame:
-    """fp, bucket and root of each bucket at the top; both are the same there."""
+    """fp and bucket of each bucket at the top."""
     salts = _run_salts(runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,58 +139,56 @@ def _top(nodes: DataFrame, runs: int) -> DataFrame:
             for salt in salts:
                 on, keys = _chosen(sigs, np.full(len(sigs), salt))
                 row, _ = np.nonzero(on)
-                found = pa.array(keys[on].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), found, found], names=["fp", "bucket", "root"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys[on].astype(np.int64))], names=["fp", "bucket"])
 
-    return nodes.select("fp", "sig").mapInArrow(run, "fp binary, bucket long, root long")
+    return nodes.select("fp", "sig").mapInArrow(run, "fp binary, bucket long")
 
 
 def _below(large: DataFrame) -> DataFrame:
-    """fp, bucket, root and parent's size of the buckets one level below."""
+    """fp, bucket and parent's size of the buckets one level below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1 << 20):
             on, keys = _chosen(_matrix(batch.column(1)), batch.column(2).to_numpy().astype(np.uint64))
-            row, _ = np.nonzero(on)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(keys[on].astype(np.int64)), batch.column(3).take(take), batch.column(4).take(take)], names=["fp", "bucket", "root", "parent"])
+            take = pa.array(np.nonzero(on)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(keys[on].astype(np.int64)), batch.column(3).take(take)], names=["fp", "bucket", "parent"])
 
-    return large.select("fp", "sig", "bucket", "root", "n").mapInArrow(run, "fp binary, bucket long, root long, parent long")
+    return large.select("fp", "sig", "bucket", "n").mapInArrow(run, "fp binary, bucket long, parent long")
 
 
 def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
-    """fp, sig, bucket, root, side and the split roots of the nodes in leaf buckets.
+    """fp, sig, bucket, home, side and splits of the nodes in leaf buckets.
 
-    Pairs in a bucket are of different sides where these aren't 0.
+    home: the bucket of which this one is a pair of blocks, or itself; splits: the node's buckets that were split. Pairs
+    in a bucket are of different sides where these aren't 0.
     """
     found = written(_top(nodes, runs).withColumn("parent", F.lit(1 << 62).cast("long")), "paths")
-    out, split_roots = [], None
+    rows_out, splits = [], []
     for level in range(1, DEPTH + 1):
         sizes = written(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         rows = found.join(sizes.hint("merge"), "bucket")
-        small = rows.filter(F.col("n") <= SMALL).select("fp", "bucket", "root", F.lit(0).alias("side"))
-        alike = F.lit(True) if level == DEPTH else F.col("n") >= SHRINK * F.col("parent")
-        big = rows.filter(F.col("n") > SMALL)
+        rows_out.append(rows.filter(F.col("n") <= SMALL).select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side")))
         if not sizes.filter(F.col("n") > SMALL).head(1):
-            out.append(small)
             break
+        alike = F.lit(True) if level == DEPTH else F.col("n") >= SHRINK * F.col("parent")
+        big = rows.filter(F.col("n") > SMALL)
         parts = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit(level)), parts).cast("int")
-        whole = big.filter(alike).select("fp", "bucket", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        whole = big.filter(alike).select("fp", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"), F.lit("block"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        out += [small, whole.select("fp", block.alias("bucket"), "root", side.alias("side"))]
+        rows_out.append(whole.select("fp", block.alias("bucket"), F.col("bucket").alias("home"), side.alias("side")))
         if level < DEPTH:
-            split = big.filter(~alike)
-            if level == 1:
-                split_roots = written(split.groupBy("fp").agg(F.collect_set("root").alias("splits")), "splits")
+            split = written(big.filter(~alike).select("fp", "bucket", "n"), "split")
+            splits.append(split.select("fp", "bucket"))
             found = written(_below(split.join(nodes.hint("merge").select("fp", "sig"), "fp")), "paths")
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionAll(more)
-    own = nodes.select("fp", "sig")
-    own = own.withColumn("splits", F.lit(None).cast("array<long>")) if split_roots is None else written(own.join(split_roots.hint("merge"), "fp", "left"), "own")
-    return rows.join(own.hint("merge"), "fp").select("fp", "sig", "bucket", "root", "side", "splits")
+    rows, own = reduce(DataFrame.unionAll, rows_out), nodes.select("fp", "sig")
+    if splits:
+        lists = reduce(DataFrame.unionAll, splits).groupBy("fp").agg(F.collect_set("bucket").alias("splits"))
+        own = written(own.join(lists.hint("merge"), "fp", "left"), "own")
+    else:
+        own = own.withColumn("splits", F.lit(None).cast("array<long>"))
+    return rows.join(own.hint("merge"), "fp").select("fp", "sig", "bucket", "home", "side", "splits")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -235,9 +236,37 @@ def _pairs(bucket: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, n
         lo = hi
 
 
-def _candidates(sigs: np.ndarray, bucket: np.ndarray, side: np.ndarray, root: np.ndarray, split: np.ndarray, salts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs in buckets that agree often enough and whose first bucket at the top that isn't split is their root, or
-    that have none and whose root is split."""
+def _paths(sigs: np.ndarray, split: np.ndarray, salts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each node the buckets that it is in and that aren't split, in the order of the recursion: their keys, and the
+    places of the values sampled on the way, DEPTH for each (the last repeated)."""
+    on, keys = (np.concatenate(x, axis=1) for x in zip(*[_chosen(sigs, np.full(len(sigs), salt)) for salt in salts], strict=True))
+    row, col = np.nonzero(on)
+    key, order, places = keys[on], col[:, None], (col % WIDTH)[:, None]
+    done = []
+    for level in range(1, DEPTH + 1):
+        open_ = np.isin(key, split) if level < DEPTH and len(split) else np.zeros(len(key), dtype=bool)
+        pad = [(0, 0), (0, DEPTH - level)]
+        done.append((row[~open_], key[~open_], np.pad(order[~open_], pad, constant_values=-1), np.pad(places[~open_], pad, mode="edge")))
+        if not open_.any():
+            break
+        at = np.flatnonzero(open_)
+        on, keys = _chosen(sigs[row[at]], key[at])
+        parent, col = np.nonzero(on)
+        at = at[parent]
+        row, key = row[at], keys[on]
+        order, places = np.column_stack((order[at], col)), np.column_stack((places[at], col))
+    row, key, order, places = (np.concatenate(x) for x in zip(*done, strict=True))
+    first = np.lexsort((*order.T[::-1], row))
+    row, key, places = row[first], key[first], places[first]
+    edges = np.searchsorted(row, np.arange(len(sigs) + 1))
+    return [(key[lo:hi], places[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _candidates(batch: pa.RecordBatch, salts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a batch of leaves that agree often enough and that share no bucket before this one."""
+    sigs, bucket, side = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(4).to_numpy()
+    home = batch.column(3).to_numpy().astype(np.uint64)
+    split = np.unique(batch.column(5).flatten().to_numpy().astype(np.uint64))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     need = least * WIDTH
     for i, j in _pairs(bucket, side):
@@ -245,23 +274,17 @@ def _candidates(sigs: np.ndarray, bucket: np.ndarray, side: np.ndarray, root: np
         for lo in range(0, len(i), 8192):
             agree[lo : lo + 8192] = (sigs[i[lo : lo + 8192]] == sigs[j[lo : lo + 8192]]).sum(axis=1)
         i, j = i[agree >= need], j[agree >= need]
-        for lo in range(0, len(i), 4096):
-            a, b = i[lo : lo + 4096], j[lo : lo + 4096]
-            first, open_ = np.zeros(len(a), np.uint64), np.ones(len(a), dtype=bool)
-            for salt in salts:
-                if not open_.any():
-                    break
-                x, y = sigs[a[open_]], sigs[b[open_]]
-                on, keys = _chosen(x, np.full(len(x), salt))
-                on &= x == y
-                if len(split):
-                    on[on] = ~np.isin(keys[on], split)
-                hit = on.any(axis=1)
-                where = np.flatnonzero(open_)[hit]
-                first[where] = keys[hit, on[hit].argmax(axis=1)]
-                open_[where] = False
-            good = np.where(open_, np.isin(root[a], split), first == root[a])
-            out.append((a[good], b[good]))
+        rows, number = np.unique(i, return_inverse=True)
+        for lo, hi in chunks(np.arange(0, len(rows) + 1), 1024):
+            edges = np.searchsorted(number, np.arange(lo, hi + 1))
+            for k, (keys, places) in enumerate(_paths(sigs[rows[lo:hi]], split, salts)):
+                row, to = rows[lo + k], j[edges[k] : edges[k + 1]]
+                before = places[: int(np.argmax(keys == home[row]))]
+                for some in (before[:3], before[3:]):
+                    if len(some) and len(to):
+                        same = sigs[to] == sigs[row]
+                        to = to[~same[:, some].all(axis=2).any(axis=1)]
+                out.append((np.full(len(to), row), to))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -270,9 +293,7 @@ def _kept(leaves: DataFrame, salts: np.ndarray, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 2):
-            bucket, root = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.uint64)
-            split = np.unique(batch.column(5).flatten().to_numpy().astype(np.uint64))
-            i, j = _candidates(_matrix(batch.column(1)), bucket, batch.column(4).to_numpy(), root, split, salts, least)
+            i, j = _candidates(batch, salts, least)
             yield batch.take(pa.array(np.unique(np.concatenate((i, j)))))
 
     ordered = leaves.repartition("bucket").sortWithinPartitions("bucket", "fp")
@@ -280,14 +301,13 @@ def _kept(leaves: DataFrame, salts: np.ndarray, least: float) -> DataFrame:
 
 
 def _links(kept: DataFrame, salts: np.ndarray, least: float, threshold: float) -> DataFrame:
-    """a, b and similarity of the linked nodes in buckets; kept: leaves with the shingles of their nodes."""
+    """a, b and n for each node with links in a bucket: b is the node that stands for its part of the bucket's links, n
+    the number of its links there. kept: leaves with the shingles of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 2):
-            bucket, root = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.uint64)
-            split = np.unique(batch.column(5).flatten().to_numpy().astype(np.uint64))
-            i, j = _candidates(_matrix(batch.column(1)), bucket, batch.column(4).to_numpy(), root, split, salts, least)
-            order = np.lexsort((j, i))
+            i, j = _candidates(batch, salts, least)
+            order, bucket = np.lexsort((j, i)), batch.column(2).to_numpy()
             i, j = i[order], j[order]
             data, at = raw(batch.column(6))
             values, at = np.frombuffer(data.tobytes(), np.uint64), at // 8
@@ -309,11 +329,28 @@ def _links(kept: DataFrame, salts: np.ndarray, least: float, threshold: float) -
             size = np.diff(at)
             similar = shared / np.maximum(size[i] + size[j] - shared, 1)
             good = similar >= threshold - 1e-12
-            fp = batch.column(0)
-            yield pa.RecordBatch.from_arrays([fp.take(pa.array(i[good])), fp.take(pa.array(j[good])), pa.array(similar[good])], names=["a", "b", "similarity"])
+            i, j = i[good], j[good]
+            n = np.bincount(np.concatenate((i, j)), minlength=batch.num_rows)
+            stands = _forest(i, j, batch.num_rows)
+            has, fp = np.flatnonzero(n), batch.column(0)
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(has)), fp.take(pa.array(stands[has])), pa.array(n[has])], names=["a", "b", "n"])
 
     ordered = kept.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return ordered.mapInArrow(run, "a binary, b binary, similarity double")
+    return ordered.mapInArrow(run, "a binary, b binary, n long")
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least place in the component of each place under the edges (i, j)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[i], least[j])
+        after = least.copy()
+        np.minimum.at(after, least[i], low)
+        np.minimum.at(after, least[j], low)
+        after = after[after]
+        if (after == least).all():
+            return least
+        least = after
 
 
 def _spans(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -344,32 +381,28 @@ def _shingled(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, te
     return written(made.filter(F.col("shingles").isNotNull()).dropDuplicates(["fp"]), "shingles")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs with their class, and the links between nodes.
-
-    The first has key, fp, class_id (the least key of its class) and n_links (the number of other nodes that the row's
-    node is linked to); the second a, b (fingerprints of nodes) and similarity.
-    """
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """key, fp (its node), class_id (the least key of its class) and n_links (the number of other nodes that the row's node
+    is linked to) for each row of docs with a key."""
     salts = _run_salts(runs := runs_for(recall, threshold))
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / WIDTH)
     signed = written(_signed(docs, key, text), "signed")
     nodes = written(signed.groupBy("fp").agg(F.min("id").alias("id"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
     kept = written(_kept(_leaves(nodes.filter(F.col("sig").isNotNull()), runs), salts, least), "kept")
     sets = _shingled(docs, nodes, kept.select("fp").distinct(), key, text)
-    links = written(_links(kept.join(sets.hint("merge"), "fp").select(*kept.columns, "shingles"), salts, least, threshold).distinct(), "links")
+    links = written(_links(kept.join(sets.hint("merge"), "fp").select(*kept.columns, "shingles"), salts, least, threshold), "links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    linked = roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "id").hint("merge"), "fp")
-    linked = written(linked, "linked")
+    degree = links.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
+    linked = written(roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "id").hint("merge"), "fp"), "linked")
     least_id = written(linked.groupBy("root").agg(F.min("id").alias("class_id")), "roots")
     classes = linked.join(least_id.hint("merge"), "root").select("fp", "class_id").join(degree.hint("merge"), "fp")
     table = nodes.select("fp", "id").join(classes.hint("merge"), "fp", "left")
     table = written(table.select("fp", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return signed.select(F.col("id").alias(key), "fp").join(table.hint("merge"), "fp").select(key, "fp", "class_id", "n_links"), links
+    return signed.select(F.col("id").alias(key), "fp").join(table.hint("merge"), "fp").select(key, "fp", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs whose key is the least of its class; rows with a null key stay."""
-    rows, _ = join(docs, key, text, threshold, recall)
+    rows = join(docs, key, text, threshold, recall)
     gone = rows.filter(F.col(key) != F.col("class_id")).select(key).distinct()
     return docs.join(written(gone, "gone").hint("merge"), key, "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document and its number of links to other texts."""
-    rows, _ = nearjoin.join(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    rows = nearjoin.join(_read(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "class_id", "n_links")
 
 
