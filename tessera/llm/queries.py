@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, media, nearjoin, quality, toxicity, warc
+from tessera.llm import bpe, chat, contamination, licenses, media, nearjoin, quality, toxicity, warc
 from tessera.llm.supervised import fold
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +18,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: The schema of the calls that user turns make.
+CHAT_SCHEMAS = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as linked calls and messages in canonical JSON."""
+    schemas = spark.createDataFrame(CHAT_SCHEMAS, "name string, param string, type string, required boolean")
+    return chat.formatted(_read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), schemas)
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or that of the nearest directory where a document has one.
+
+    A document's path is source/language/block of 100 ids/id; each tenth id stands in the language's folder and each
+    hundredth in the source's, so that there are declarations at every depth.
+    """
+    docs = _read(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    inner = F.when(F.col("doc_id") % 10 != 0, F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 100).cast("string"))).when(F.col("doc_id") % 100 != 0, F.col("lang"))
+    files = docs.select("doc_id", F.concat_ws("/", "source", inner, F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan(files, "doc_id", declared=F.lit(True))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document by a model of the labelled rows outside one fold of four."""
     docs, labels = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -74,7 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op10_quality)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
