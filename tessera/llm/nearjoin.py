@@ -6,8 +6,8 @@ of words are one class of copies, kept as a node with a fingerprint; only nodes
 Each node is embedded as WIDTH MinHash values. In each run a node samples about BRANCHES of them, and nodes that sample
 one value at one place share a bucket. Two nodes of similarity s have s * WIDTH values in common, so they share
 BRANCHES * s buckets in the mean. A bucket of more than SMALL nodes is split again by the values that its nodes sample
-below it, to the depth DEPTH; one that doesn't shrink, as its nodes are alike, isn't split further. Small buckets are
-brute-forced; what is large still is cut into blocks of BLOCK nodes and each pair of blocks is brute-forced as a bucket
+below it, to the depth DEPTH; one whose nodes are alike, as ALIKE of them have the same value at a probed place, isn't
+split, since no value would split it. Small buckets are brute-forced; what is large still is cut into blocks of BLOCK nodes and each pair of blocks is brute-forced as a bucket
 of its own, so nothing is capped. Runs are repeated until a pair at the threshold is missed with a chance below
 1 - recall. Which buckets two nodes share follows from their values, so a pair is looked at once, in the first bucket in
 the order of the recursion that it shares and that isn't split; the buckets before it are known from the node's values
@@ -45,7 +45,7 @@ BRANCHES = 3
 SMALL = 48
 BLOCK = 1024
 DEPTH = 3
-SHRINK = 0.5
+ALIKE = 0.5
 PAIRS = 1 << 16
 #: Nodes whose keys are sent to all executors to find their texts; for more of them texts are joined by key.
 SENT_KEYS = 500_000
@@ -130,7 +130,7 @@ def _run_salts(runs: int) -> np.ndarray:
 
 
 def _top(nodes: DataFrame, runs: int) -> DataFrame:
-    """fp and bucket of each bucket at the top."""
+    """fp, bucket and probe of each bucket at the top; probe: the node's value at a place that the bucket's key gives."""
     salts = _run_salts(runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,21 +139,26 @@ def _top(nodes: DataFrame, runs: int) -> DataFrame:
             for salt in salts:
                 on, keys = _chosen(sigs, np.full(len(sigs), salt))
                 row, _ = np.nonzero(on)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys[on].astype(np.int64))], names=["fp", "bucket"])
+                yield _bucketed(batch, sigs, row, keys[on])
 
-    return nodes.select("fp", "sig").mapInArrow(run, "fp binary, bucket long")
+    return nodes.select("fp", "sig").mapInArrow(run, "fp binary, bucket long, probe long")
+
+
+def _bucketed(batch: pa.RecordBatch, sigs: np.ndarray, row: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    probe = sigs[row, (mix(keys) % np.uint64(WIDTH)).astype(np.int64)].astype(np.int64)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys.astype(np.int64)), pa.array(probe)], names=["fp", "bucket", "probe"])
 
 
 def _below(large: DataFrame) -> DataFrame:
-    """fp, bucket and parent's size of the buckets one level below."""
+    """fp, bucket and probe of the buckets one level below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1 << 20):
-            on, keys = _chosen(_matrix(batch.column(1)), batch.column(2).to_numpy().astype(np.uint64))
-            take = pa.array(np.nonzero(on)[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(keys[on].astype(np.int64)), batch.column(3).take(take)], names=["fp", "bucket", "parent"])
+            sigs = _matrix(batch.column(1))
+            on, keys = _chosen(sigs, batch.column(2).to_numpy().astype(np.uint64))
+            yield _bucketed(batch, sigs, np.nonzero(on)[0], keys[on])
 
-    return large.select("fp", "sig", "bucket", "n").mapInArrow(run, "fp binary, bucket long, parent long")
+    return large.select("fp", "sig", "bucket").mapInArrow(run, "fp binary, bucket long, probe long")
 
 
 def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
@@ -162,7 +167,7 @@ def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
     home: the bucket of which this one is a pair of blocks, or itself; splits: the node's buckets that were split. Pairs
     in a bucket are of different sides where these aren't 0.
     """
-    found = written(_top(nodes, runs).withColumn("parent", F.lit(1 << 62).cast("long")), "paths")
+    found = written(_top(nodes, runs), "paths")
     rows_out, splits = [], []
     for level in range(1, DEPTH + 1):
         sizes = written(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
@@ -170,8 +175,10 @@ def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
         rows_out.append(rows.filter(F.col("n") <= SMALL).select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side")))
         if not sizes.filter(F.col("n") > SMALL).head(1):
             break
-        alike = F.lit(True) if level == DEPTH else F.col("n") >= SHRINK * F.col("parent")
         big = rows.filter(F.col("n") > SMALL)
+        modes = written(big.groupBy("bucket", "probe").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max("c").alias("mode")), "modes")
+        big = big.join(modes.hint("merge"), "bucket")
+        alike = F.lit(True) if level == DEPTH else F.col("mode") >= ALIKE * F.col("n")
         parts = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit(level)), parts).cast("int")
         whole = big.filter(alike).select("fp", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
@@ -179,8 +186,8 @@ def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         rows_out.append(whole.select("fp", block.alias("bucket"), F.col("bucket").alias("home"), side.alias("side")))
         if level < DEPTH:
-            split = written(big.filter(~alike).select("fp", "bucket", "n"), "split")
-            splits.append(split.select("fp", "bucket"))
+            split = written(big.filter(~alike).select("fp", "bucket"), "split")
+            splits.append(split)
             found = written(_below(split.join(nodes.hint("merge").select("fp", "sig"), "fp")), "paths")
     rows, own = reduce(DataFrame.unionAll, rows_out), nodes.select("fp", "sig")
     if splits:
