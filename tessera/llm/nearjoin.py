@@ -43,7 +43,7 @@ RECALL = 0.9999
 WIDTH = 128
 BRANCHES = 3
 SMALL = 48
-BLOCK = 1024
+BLOCK = 512
 DEPTH = 3
 ALIKE = 0.5
 PAIRS = 1 << 16
@@ -199,22 +199,22 @@ def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """The rows again, such that each batch ends with the end of a run of equal values in the column `at`."""
+    """The rows again, such that each batch ends with the end of a run of equal values in the column `at`, after 2 * BLOCK
+    rows or, where a run is longer, with that run."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         keys = batch.column(at).to_numpy()
-        change = np.flatnonzero(np.diff(keys))
         if not len(keys):
             continue
         if rest and rest[-1].column(at)[-1].as_py() != keys[0]:
             yield _one(rest)
             rest = []
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield _one([*rest, batch.slice(0, cut)])
-            rest = [batch.slice(cut)]
-        else:
-            rest.append(batch)
+        lo, ends = 0, (np.flatnonzero(np.diff(keys)) + 1).tolist()
+        for k, end in enumerate(ends):
+            if k + 1 == len(ends) or ends[k + 1] - lo > 2 * BLOCK:
+                yield _one([*rest, batch.slice(lo, end - lo)])
+                rest, lo = [], end
+        rest.append(batch.slice(lo))
     if rest:
         yield _one(rest)
 
@@ -222,7 +222,7 @@ def _groups(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
 def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(batches) == 1:
         return batches[0]
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    return pa.concat_batches(batches)
 
 
 def _pairs(bucket: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

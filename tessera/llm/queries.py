@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, contamination, licenses, media, nearjoin, quality, toxicity, warc
+from tessera.llm import bpe, chat, contamination, licenses, lm, media, nearjoin, quality, toxicity, warc
 from tessera.llm.supervised import fold
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -88,6 +88,13 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document by a trie of the documents outside one fold of seven."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = lm.train(lm.learned(docs, fold("doc_id", 7) != 2))
+    return lm.score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document by a model of the labelled rows outside one fold of three."""
     docs, labels = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality")
@@ -96,7 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op9_lm, op10_quality)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
