@@ -5,8 +5,8 @@ which spread a long conversation over all tasks. A call's level is the length of
 waits for, found by peeling the calls that wait for nothing, one round of joins a level, so that no conversation is ever
 gathered in one place. Arguments are exploded and joined to their schemas. Canonical JSON has sorted keys and no spaces.
 
-Repeated rows count once. Of different calls or results with one id the first by turn, name and text counts, the others
-are `repeated`. Calls on a cycle, and those that wait for one, have no level and the status `cyclic`; a call without a
+Repeated rows count once. Of different calls or results with one id the first by turn, then by a hash of its content,
+counts, the others are `repeated`. Calls on a cycle, and those that wait for one, have no level and the status `cyclic`; a call without a
 result is `pending`, a result without a call `orphan`. Arguments that aren't a JSON object give the error `not an object`.
 Nulls: a row without a conversation or call id is linked to nothing.
 """
@@ -35,28 +35,30 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     it waits for the call that the turn before it answers. What remains are plain messages.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").distinct()
-    turns = turns.withColumn("made", F.when(F.col("role") == "assistant", F.from_json("text", CALL)["tool_calls"])).withColumn("got", F.when(F.col("role") == "tool", F.from_json("text", RESULT)))
-    real = turns.filter(F.col("made").isNotNull()).select("conv_id", "turn", F.explode("made").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array()).alias("after"))
-    answers = turns.filter(F.col("got.tool_call_id").isNotNull()).select("conv_id", "turn", F.col("got.tool_call_id").alias("call_id"), F.col("got.content").alias("content"))
-    rest = turns.filter(F.col("made").isNull() & F.col("got.tool_call_id").isNull()).select("conv_id", "turn", "role", "text")
+    before = turns.filter(F.col("role").isin("assistant") | ((F.col("role") == "user") & F.col("text").isNotNull()))
+    before = before.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.collect_set("role").alias("before"))
+    turns = written(turns.join(before, ["conv_id", "turn"], "left"), "turns")
+    made, got = F.when(F.col("role") == "assistant", F.from_json("text", CALL)["tool_calls"]), F.when(F.col("role") == "tool", F.from_json("text", RESULT))
+    is_call, is_answer = made.isNotNull(), F.coalesce(got["tool_call_id"].isNotNull(), F.lit(False))
+    asks = ~is_call & (F.col("role") == "user") & F.col("text").isNotNull()
+    replies = ~is_call & (F.col("role") == "assistant") & F.array_contains("before", "user")
+    asks, replies = (F.coalesce(x, F.lit(False)) for x in (asks, replies))
     name = lambda turn: F.concat(F.lit("reply-"), turn.cast("string"))
-    user = rest.filter((F.col("role") == "user") & F.col("text").isNotNull())
-    said = rest.filter(F.col("role") == "assistant")
-    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.array(name(F.col("turn") - 1)).alias("after")).distinct()
-    asked = user.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.coalesce("after", F.array()).alias("after"))
-    earlier = user.select("conv_id", F.col("turn").alias("asked")).distinct()
-    replied = said.withColumn("asked", F.col("turn") - 1).join(earlier, ["conv_id", "asked"], "left_semi")
-    given = replied.select("conv_id", "turn", name(F.col("asked")).alias("call_id"), F.col("text").alias("content"))
-    plain = rest.filter((F.col("role") != "user") | F.col("role").isNull() | F.col("text").isNull()).join(replied.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "left_anti")
-    return real.unionByName(asked), answers.unionByName(given), plain
+    real = turns.filter(is_call).select("conv_id", "turn", F.explode(F.array_distinct(made)).alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array()).alias("after"))
+    after = F.when(F.array_contains("before", "assistant"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    asked = turns.filter(asks).select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), after.alias("after"))
+    answers = turns.filter(is_answer).select("conv_id", "turn", got["tool_call_id"].alias("call_id"), got["content"].alias("content"))
+    given = turns.filter(replies).select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return real.unionByName(asked), answers.unionByName(given), turns.filter(~is_call & ~is_answer & ~asks & ~replies).select("conv_id", "turn", "role", "text")
 
 
 def first_of(rows: DataFrame, *others: str) -> DataFrame:
-    """rows with `repeated`: whether a row of its conversation and call id comes before it by turn and the columns others."""
-    rows = rows.distinct()
-    head = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call")).agg(F.min(F.struct("turn", *others)).alias("_head"))
+    """rows with `mark`, a hash of the columns others, and `repeated`: whether another row of its conversation and call id
+    comes before it by turn and mark."""
+    rows = rows.withColumn("mark", F.xxhash64(*others))
+    head = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call")).agg(F.min(F.struct("turn", "mark")).alias("_head"))
     joined = rows.join(head, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call")))
-    return joined.select(*rows.columns, (~F.struct("turn", *others).eqNullSafe(F.col("_head"))).alias("repeated"))
+    return joined.select(*rows.columns, (~F.struct("turn", "mark").eqNullSafe(F.col("_head"))).alias("repeated"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def _kind(value: Column) -> Column:
 
 
 def errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, call_id, turn, name, arguments and a sorted array of what is wrong with the arguments of calls, where something is.
+    """conv_id, call_id, turn, mark and a sorted array of what is wrong with the arguments of calls, where something is.
 
     schemas: name, param, type (string, integer, number, boolean, object, array) and required. An integer is a number too.
     """
@@ -91,7 +93,7 @@ def errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     known = schemas.select("name").distinct()
     if schemas.count() <= SENT_SCHEMAS:
         schemas, known = F.broadcast(schemas), F.broadcast(known)
-    key = ["conv_id", "call_id", "turn", "name", "arguments"]
+    key = ["conv_id", "call_id", "turn", "mark", "name"]
     parsed = calls.select(*key, F.try_parse_json("arguments").alias("v")).withColumn("whole", F.coalesce(_kind(F.col("v")) == "object", F.lit(False)))
     wrong = parsed.filter(~F.col("whole")).select(*key, F.lit("not an object").alias("error"))
     odd = parsed.join(known, "name", "left_anti").select(*key, F.concat(F.lit("no schema of "), F.coalesce("name", F.lit("null"))).alias("error"))
@@ -103,23 +105,25 @@ def errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     due = sound.select(*key).join(schemas.filter("required"), "name")
     lacking = due.join(given.select(*key, "param"), [*key, "param"], "left_anti").select(*key, F.concat(F.lit("missing "), "param").alias("error"))
     found = wrong.unionByName(odd).unionByName(unfit).unionByName(lacking)
-    return found.groupBy(*key).agg(F.sort_array(F.collect_set("error")).alias("errors"))
+    return written(found.groupBy(*key[:-1]).agg(F.sort_array(F.collect_set("error")).alias("errors")), "errors")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, kind (call or result), call_id, level, status, valid and canonical of all calls and orphan results."""
-    calls, results = written(first_of(calls, "name", "arguments", "after"), "calls"), first_of(results, "content")
+    calls, results = first_of(calls, "name", "arguments", "after"), first_of(results, "content")
     heads, answers = calls.filter("NOT repeated"), results.filter("NOT repeated").select("conv_id", "call_id", "content", F.col("turn").alias("answered"))
     rows = calls.join(levels(heads), ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
-    key = ["conv_id", "call_id", "turn", "name", "arguments"]
-    wrong = errors(calls, schemas).select(*[F.col(c).alias(f"_{c}") for c in key], "errors")
+    key = ["conv_id", "call_id", "turn", "mark"]
+    wrong = errors(calls.drop("repeated"), schemas).select(*[F.col(c).alias(f"_{c}") for c in key], "errors")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
     rows = rows.join(wrong, same, "left").select(*rows.columns, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
     status = F.when(F.col("repeated"), "repeated").when(F.col("level").isNull(), "cyclic").when(F.col("answered").isNull(), "pending").otherwise("linked")
     # The fields of each object stand in the order of their names; a parsed object keeps its keys sorted.
     json = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("call_id"), F.col("errors").alias("errors"), F.col("level").alias("level"), F.col("name").alias("name"), F.when(~F.col("repeated"), F.col("content")).alias("result"), status.alias("status")))
     made = rows.select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", "level", status.alias("status"), (F.size("errors") == 0).alias("valid"), json.alias("canonical"))
-    lone = results.join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("status", F.lit("orphan")).unionByName(results.filter("repeated").join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").withColumn("status", F.lit("repeated")))
+    known = written(calls.select("conv_id", "call_id").distinct(), "known").withColumn("_known", F.lit(True))
+    lone = results.join(known, ["conv_id", "call_id"], "left").filter("repeated OR _known IS NULL")
+    lone = lone.withColumn("status", F.when(F.col("_known").isNull(), "orphan").otherwise("repeated"))
     json = F.to_json(F.struct("call_id", F.col("content").alias("result"), "status"))
     return made.unionByName(lone.select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.lit(None).cast("int").alias("level"), "status", F.lit(True).alias("valid"), json.alias("canonical")))
 
