@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import files, graphs, hotspots
+from tessera.plans import changes, files, graphs, hotspots
 
-MODULES = (hotspots, graphs, files)
+MODULES = (hotspots, graphs, files, changes)
 
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
