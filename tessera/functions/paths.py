@@ -151,7 +151,7 @@ def covers(wide: Column, narrow: Column) -> Column:
     """PRJ-07: whether one pattern covers another: the same, everything, a directory of it, or a glob over a plain path."""
     whole = wide.isin("*", "**", "**/*")
     below = wide.endswith("/**") & narrow.startswith(F.regexp_replace(wide, r"\*\*$", ""))
-    plain = ~narrow.rlike(r"[*?\[\]]") & narrow.rlike(F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(wide, r"([.+^$(){}|\\])", r"\\$1"), r"\*+", ".*"), F.lit("$")))
+    plain = ~narrow.rlike(r"[*?\[\]]") & F.regexp_like(narrow, F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(wide, r"([.+^$(){}|\\])", r"\\$1"), r"\*+", ".*"), F.lit("$")))
     return (wide == narrow) | whole | below | plain
 
 

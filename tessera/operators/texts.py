@@ -90,7 +90,7 @@ def section(text: Column, heading: str) -> Column:
     """EXT-24: what stands between a heading and the next of its level or above; null without it."""
     level = len(heading) - len(heading.lstrip("#"))
     found = F.regexp_extract(text, rf"(?ms)^\Q{heading}\E[ \t]*\n(.*?)(?=^#{{1,{level}}}\s|\z)", 1)
-    return F.when(text.rlike(rf"(?m)^\Q{heading}\E[ \t]*$"), F.trim(found))
+    return F.when(text.rlike(rf"(?m)^\Q{heading}\E[ \t]*$"), F.regexp_replace(found, r"^\s+|\s+$", ""))
 
 
 def versions(text: Column) -> Column:
