@@ -282,7 +282,7 @@ def _candidates(batch: pa.RecordBatch, salts: np.ndarray, least: float) -> tuple
             agree[lo : lo + 8192] = (sigs[i[lo : lo + 8192]] == sigs[j[lo : lo + 8192]]).sum(axis=1)
         i, j = i[agree >= need], j[agree >= need]
         rows, number = np.unique(i, return_inverse=True)
-        for lo, hi in chunks(np.arange(0, len(rows) + 1), 1024):
+        for lo, hi in chunks(np.arange(0, len(rows) + 1), 128):
             edges = np.searchsorted(number, np.arange(lo, hi + 1))
             for k, (keys, places) in enumerate(_paths(sigs[rows[lo:hi]], split, salts)):
                 row, to = rows[lo + k], j[edges[k] : edges[k + 1]]
