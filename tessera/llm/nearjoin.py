@@ -409,7 +409,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of docs whose key is the least of its class; rows with a null key stay."""
+    """The rows of docs whose key is the least of its class; of rows that repeat key and text one stays, and rows with a null
+    key all stay."""
     rows = join(docs, key, text, threshold, recall)
     gone = rows.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(written(gone, "gone").hint("merge"), key, "left_anti").select(*docs.columns)
+    kept = docs.join(written(gone, "gone").hint("merge"), key, "left_anti").select(*docs.columns)
+    if not rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        return kept
+    return kept.filter(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(kept.filter(F.col(key).isNull()))
