@@ -2,8 +2,9 @@
 
 Only DataFrame and SQL functions run here. Calls and results meet in a hash join on conversation and call id, both of
 which spread a long conversation over all tasks. A call's level is the length of the longest chain of calls that it
-waits for, found by peeling the calls that wait for nothing, one round of joins a level, so that no conversation is ever
-gathered in one place. Arguments are exploded and joined to their schemas. Canonical JSON has sorted keys and no spaces.
+waits for. Chains of calls that wait for one other each are followed by doubling, so that a chain of n calls takes
+log2(n) rounds of joins; calls that wait for several are peeled in rounds over the chains between them. No conversation
+is ever gathered in one place. Arguments are exploded and joined to their schemas. Canonical JSON has sorted keys and no spaces.
 
 Repeated rows count once. Of different calls or results with one id the first by turn, then by a hash of its content,
 counts, the others are `repeated`. Calls on a cycle, and those that wait for one, have no level and the status `cyclic`; a call without a
@@ -63,20 +64,44 @@ def first_of(rows: DataFrame, *others: str) -> DataFrame:
 
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id and level of the calls that don't wait for a cycle; what isn't among calls isn't waited for."""
-    nodes = calls.select("conv_id", "call_id").filter("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct().join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
-    waits = written(waits, "waits")
-    found = ready = written(nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "ready")
-    for level in range(1, ROUNDS):
-        if not waits.head(1) or not ready.head(1):
+    key = ["conv_id", "call_id"]
+    nodes = written(calls.select(*key).filter("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct(), "nodes")
+    waits = calls.select(*key, F.explode("after").alias("needs")).distinct()
+    waits = written(waits.join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi"), "waits")
+    degree = written(waits.groupBy(*key).agg(F.count("*").alias("n")), "degree")
+    roots = nodes.join(degree, key, "left_anti").withColumn("level", F.lit(0))
+    # ends: the call at the end of each chain of single waits, which has none or several, and the steps to it.
+    ends = written(waits.join(degree.filter("n = 1"), key, "left_semi").select(*key, F.col("needs").alias("end"), F.lit(1).alias("steps")), "ends")
+    for _ in range(max(1, ends.count()).bit_length() + 1):
+        further = ends.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"))
+        moved = ends.join(further, ["conv_id", "end"], "left").select(*key, F.coalesce("_end", "end").alias("end"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_end").isNotNull().alias("moved"))
+        ends = written(moved, "ends")
+        if not ends.filter("moved").head(1):
             break
-        left = written(waits.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "waits")
-        freed = waits.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti")
-        ready = written(freed.withColumn("level", F.lit(level)), "ready")
-        found, waits = found.unionAll(ready), left
-    else:
-        raise RuntimeError(f"a chain of more than {ROUNDS} calls")
-    return found
+        ends = ends.drop("moved")
+    else:  # what still moves goes round
+        ends = ends.join(ends.select("conv_id", F.col("call_id").alias("end")), ["conv_id", "end"], "left_anti")
+    ends = ends.select(*key, "end", "steps")
+    several = degree.filter("n > 1").select(*key)
+    found = roots
+    if several.head(1):
+        steps = waits.join(several, key, "left_semi").join(ends.select("conv_id", F.col("call_id").alias("needs"), "end", "steps"), ["conv_id", "needs"], "left")
+        single = degree.filter("n = 1").select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("chained"))
+        steps = steps.join(single, ["conv_id", "needs"], "left")
+        end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("chained").isNull(), F.col("needs"))
+        left = written(steps.select(*key, end.alias("end"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "left")
+        found = written(roots, "levels")
+        for _ in range(ROUNDS):
+            met = left.join(found.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"], "left")
+            freed = met.groupBy(*key).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("steps")).alias("level")).filter("open = 0").select(*key, "level")
+            freed = written(freed, "freed")
+            if not freed.head(1):
+                break
+            left, found = written(left.join(freed, key, "left_anti"), "left"), written(found.unionByName(freed), "levels")
+        else:
+            raise RuntimeError(f"more than {ROUNDS} calls that wait for several in a chain")
+    chained = ends.join(found.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return written(found.unionByName(chained), "levels")
 
 
 def _kind(value: Column) -> Column:

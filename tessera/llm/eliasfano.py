@@ -1,8 +1,9 @@
 """Elias-Fano sequences in numpy arrays, and flat files of arrays that are read memory-mapped.
 
 A rising sequence of n numbers below u keeps log2(u / n) low bits of each, in whole bytes; the high parts are unary in a bit vector, a one for each element and a zero after each value of
-the high part. The place of each SAMPLE-th one and of each SAMPLE-th zero is kept, so that reading an element and
-finding the place of a value take a window of the bit vector each. All queries are vectors.
+the high part. The place of each SAMPLE-th one and of each SAMPLE-th zero is kept, and the number of ones before each
+block, by which long runs between two of these places are bisected; so reading an element and finding the place of a
+value take a window or two of the bit vector, however the numbers cluster. All queries are vectors.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow.fs
 
 SAMPLE = 16
+BLOCK = 512
 _ONE = np.uint64(1)
 
 
@@ -38,8 +40,8 @@ def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A rising sequence; arrays() are what it consists of."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, rank: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros, self.rank = n, low_bits, low, high, ones, zeros, rank
         self.shift = np.uint64(low_bits)
         # A window at every byte; the vector ends with enough zero bytes.
         self.windows = np.ndarray((max(len(high) - 7, 0),), "<u8", buffer=high, strides=(1,))
@@ -59,15 +61,16 @@ class EliasFano:
         bits[ones] = 1
         zeros = np.flatnonzero(bits == 0)
         packed = np.concatenate((np.packbits(bits, bitorder="little"), np.zeros(16, np.uint8)))
-        return cls(n, low_bits, low, packed, ones[::SAMPLE].astype(np.int64), np.concatenate(([0], zeros[SAMPLE - 1 :: SAMPLE] + 1)).astype(np.int64))
+        rank = np.searchsorted(ones, np.arange(0, len(bits) + BLOCK, BLOCK)).astype(np.int64)
+        return cls(n, low_bits, low, packed, ones[::SAMPLE].astype(np.int64), np.concatenate(([0], zeros[SAMPLE - 1 :: SAMPLE] + 1)).astype(np.int64), rank)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.head": np.array([self.n, self.low_bits]), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros}
+        return {f"{name}.head": np.array([self.n, self.low_bits]), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros, f"{name}.rank": self.rank}
 
     @classmethod
     def read(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = (int(x) for x in arrays[f"{name}.head"])
-        return cls(n, low_bits, *(arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros")))
+        return cls(n, low_bits, *(arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros", "rank")))
 
     def _skip(self, at: np.ndarray, k: np.ndarray, invert: bool) -> np.ndarray:
         """The places of the k-th ones, or zeros, from the bits `at` on."""
@@ -86,6 +89,24 @@ class EliasFano:
             at, open_ = at[rest] + valid[rest], open_[rest]
         return out
 
+    def _select(self, sample: np.ndarray, k: np.ndarray, invert: bool) -> np.ndarray:
+        """The places of the k-th ones, or zeros, of all."""
+        near = k // SAMPLE
+        at, rest = sample[near], k % SAMPLE
+        until = np.where(near + 1 < len(sample), sample[np.minimum(near + 1, len(sample) - 1)], (len(self.rank) - 1) * BLOCK)
+        if len(far := np.flatnonzero(until - at > 2 * BLOCK)):
+            lo, hi, want = at[far] // BLOCK, np.minimum(until[far] // BLOCK, len(self.rank) - 1), k[far]
+            while (lo < hi).any():
+                mid = (lo + hi + 1) // 2
+                before = mid * BLOCK - self.rank[mid] if invert else self.rank[mid]
+                fits = before <= want
+                lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+            before = lo * BLOCK - self.rank[lo] if invert else self.rank[lo]
+            jump = lo * BLOCK > at[far]
+            at[far[jump]] = lo[jump] * BLOCK
+            rest[far[jump]] = (want - before)[jump]
+        return self._skip(at, rest, invert)
+
     def _low(self, index: np.ndarray) -> np.ndarray:
         out = np.zeros(len(index), np.uint64)
         for b in range(len(self.low)):
@@ -95,7 +116,7 @@ class EliasFano:
     def get(self, index: np.ndarray) -> np.ndarray:
         """The elements at index."""
         index = np.asarray(index, np.int64)
-        place = self._skip(self.ones[index // SAMPLE], index % SAMPLE, False)
+        place = self._select(self.ones, index, False)
         return ((place - index).astype(np.uint64) << self.shift) | self._low(index)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -107,9 +128,9 @@ class EliasFano:
         high = (values >> self.shift).astype(np.int64)
         inside = np.flatnonzero(high // SAMPLE < len(self.zeros))
         high, low = high[inside], values[inside] & ((_ONE << self.shift) - _ONE)
-        at = self.zeros[high // SAMPLE]
-        more = np.flatnonzero(high % SAMPLE)
-        at[more] = self._skip(at[more], high[more] % SAMPLE - 1, True) + 1
+        at = np.zeros(len(high), np.int64)
+        more = np.flatnonzero(high)
+        at[more] = self._select(self.zeros, high[more] - 1, True) + 1
         open_ = np.arange(len(inside))
         while len(open_):
             bit = (self.high[at[open_] >> 3] >> (at[open_] & 7).astype(np.uint8)) & 1
@@ -122,6 +143,30 @@ class EliasFano:
         return out
 
 
+    def search(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The index of each value among the elements from lo to hi, which lie from low to high; -1 for none.
+
+        The place is guessed in proportion at first and halved later, so that evenly spread elements take few steps and
+        none more than a bisection.
+        """
+        out, open_ = np.full(len(values), -1, np.int64), np.flatnonzero(lo < hi)
+        values, lo, hi, low, high = (x[open_].astype(np.int64) for x in (values, lo, hi, low, high))
+        step = 0
+        while len(open_):
+            share = (values - low + 1) / (high - low + 2) if step < 6 else np.full(len(open_), 0.5)
+            mid = np.clip(lo + ((hi - lo) * share).astype(np.int64), lo, hi - 1)
+            found = self.get(mid).astype(np.int64)
+            hit = found == values
+            out[open_[hit]] = mid[hit]
+            less = found < values
+            lo, low = np.where(less, mid + 1, lo), np.where(less, found + 1, low)
+            hi, high = np.where(less, hi, mid), np.where(less, high, found - 1)
+            keep = ~hit & (lo < hi)
+            open_, values, lo, hi, low, high = (x[keep] for x in (open_, values, lo, hi, low, high))
+            step += 1
+        return out
+
+
 def _at(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     parts = urlsplit(uri)
     if parts.scheme in ("", "file"):

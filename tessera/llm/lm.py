@@ -122,10 +122,12 @@ def children(model: Model, depth: int, nodes: np.ndarray, ids: np.ndarray) -> tu
         at, arrays = inside[part], load(level.files[k])
         own = nodes[at] - int(level.edges[k])
         back[at] = _value(arrays["back"][own])
-        # A node without children has no back-off weight; the others' children lie between two pointers.
-        at, own = at[(arrays["back"][own] > 0) | (ids[at] < 0)], own[(arrays["back"][own] > 0) | (ids[at] < 0)]
-        at, own = at[ids[at] >= 0], own[ids[at] >= 0]
-        found = EliasFano.read(arrays, "keys").find(own.astype(np.uint64) * np.uint64(model.words) + ids[at].astype(np.uint64))
+        # Nodes without children have no back-off weight; the others' children lie between two pointers.
+        use = (ids[at] >= 0) & (arrays["back"][own] > 0)
+        at, own = at[use], own[use]
+        pointers = EliasFano.read(arrays, "pointers")
+        base = own * model.words
+        found = EliasFano.read(arrays, "keys").search(base + ids[at], *(pointers.get(own + j).astype(np.int64) for j in (0, 1)), base, base + model.words - 1)
         hit = found >= 0
         out[at[hit]] = found[hit] + level.first[k]
         logs[at[hit]] = _value(arrays["logs"][found[hit]])

@@ -52,6 +52,27 @@ def test_turns_of_conversations(spark):
     assert got[None, 0].level is None
 
 
+def test_levels_are_longest_chains(spark):
+    import random
+
+    rng = random.Random(4)
+    waits = {f"c{i}": sorted({f"c{rng.randrange(i)}" for _ in range(rng.choice([1, 1, 1, 2, 3]))}) if i and rng.random() < 0.9 else [] for i in range(120)}
+    waits |= {f"d{i}": [f"d{i - 1}"] if i else [] for i in range(70)} | {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "c1"], "v": ["w"], "s": ["s"], "g": ["gone"]}
+    level = {}
+
+    def depth(k, seen=()):
+        if k in seen:
+            return None
+        if k not in level:
+            below = [depth(n, (*seen, k)) for n in waits[k] if n in waits]
+            level[k] = None if None in below else 1 + max(below, default=-1)
+        return level[k]
+
+    want = {k: depth(k) for k in waits}
+    calls = spark.createDataFrame([(1, k, a) for k, a in waits.items()], "conv_id long, call_id string, after array<string>")
+    assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {k: v for k, v in want.items() if v is not None}
+
+
 def test_nothing(spark):
     assert rows(spark, [(1, 0, "user", "x")][:0] or []) == []
 
