@@ -4,13 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
 from tessera.llm.supervised import BUCKETS, Sample, distinct, fold, sample
 from tessera.llm.text import raw
-import pyarrow as pa
 
 
 def sampled(texts, labels, features):
@@ -22,22 +22,20 @@ def scores(model, texts, features):
     return model.scores(*distinct(*features(*raw(pa.array(texts)))), len(texts))
 
 
-def test_the_machine_learns_pairs():
-    """Labels that no additive model can tell: one of two words but not both."""
+def test_the_machine_learns_pairs(monkeypatch):
+    """Labels that no additive model can tell: one of two words but not both, which is a matter of the pair."""
     rng = random.Random(0)
     texts, labels = [], []
     for i in range(1200):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(" ".join(["insult"] * a + ["group"] * b + [f"w{rng.randrange(40)}" for _ in range(3)]))
-        labels.append(int(a and b))
+        labels.append(int(a != b))
     learned = sampled(texts, labels, toxicity.features)
-    toxicity_step, toxicity.VECTOR_STEP = toxicity.VECTOR_STEP, 0.1
-    try:
-        machine = toxicity.fit(learned, epochs=40)
-    finally:
-        toxicity.VECTOR_STEP = toxicity_step
+    monkeypatch.setattr(toxicity, "VECTOR_STEP", 0.1)
+    monkeypatch.setattr(toxicity, "VECTOR_DECAY", 0.0)
+    machine = toxicity.fit(learned, epochs=40)
     got = scores(machine, ["insult group x", "insult x", "group x", "x"], toxicity.features)
-    assert got[0] > 0.5 > max(got[1:])
+    assert min(got[1:3]) > 0.5 > max(got[0], got[3])
 
 
 def test_margins_are_the_sums_of_the_definition():
