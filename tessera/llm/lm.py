@@ -37,11 +37,11 @@ ORDER = 2
 STEPS = 24
 #: Bytes of text learned from for each shard of a level.
 SHARD_BYTES = 32 << 20
+#: Bytes of text that are looked up at once, so that each shard gets many lookups at a time.
+CHUNK_BYTES = 4 << 20
 #: Different n-grams that a task holds before it sends them.
 HELD = 1 << 21
 END = mix(np.array([0x5EED], np.uint64))[0]
-#: Words on either side of a shard's edge, so that hashes are dealt by range: the number of these ranges.
-_TOP = np.float64(2.0**64)
 
 
 def _code(log10: np.ndarray) -> np.ndarray:
@@ -126,8 +126,8 @@ def children(model: Model, depth: int, nodes: np.ndarray, ids: np.ndarray) -> tu
         use = (ids[at] >= 0) & (arrays["back"][own] > 0)
         at, own = at[use], own[use]
         pointers = EliasFano.read(arrays, "pointers")
-        base = own * model.words
-        found = EliasFano.read(arrays, "keys").search(base + ids[at], *(pointers.get(own + j).astype(np.int64) for j in (0, 1)), base, base + model.words - 1)
+        base, (lo, hi) = own * model.words, pointers.get(np.concatenate((own, own + 1))).astype(np.int64).reshape(2, -1)
+        found = EliasFano.read(arrays, "keys").search(base + ids[at], lo, hi, base, base + model.words - 1)
         hit = found >= 0
         out[at[hit]] = found[hit] + level.first[k]
         logs[at[hit]] = _value(arrays["logs"][found[hit]])
@@ -168,7 +168,7 @@ def _base(model: Model, counts: np.ndarray) -> np.ndarray:
 
 def _texts(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For some rows at a time: the first and last, their tokens with ends, and the token's row."""
-    for lo, hi in chunks(at):
+    for lo, hi in chunks(at, CHUNK_BYTES):
         words, ends = tokens(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         n = np.diff(ends)
         out = np.full(len(words) + hi - lo, END)
