@@ -107,7 +107,44 @@ QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nea
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
+_UNITS, _IDF, _OTHER = licenses.weights()
+_LICENSES = f"""
+    WITH u(license, term, unit) AS (VALUES {", ".join(f"('{k}', '{w}', {x!r}::DOUBLE)" for k, v in _UNITS.items() for w, x in v.items())}),
+    f(term, idf) AS (VALUES {", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in _IDF.items())}),
+    d AS (SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 10 <> 0 THEN concat(lang, '/', doc_id // 100, '/') WHEN doc_id % 100 <> 0 THEN concat(lang, '/') ELSE '' END) AS folder, text FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS said FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS x FROM documents WHERE text ILIKE '%licen%' OR text ILIKE '%rights%' OR text ILIKE '%public%' OR text ILIKE '%cc%' OR text ILIKE '%mit%')),
+    t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(said, '{licenses.WORD}')) AS term FROM l) GROUP BY ALL),
+    w AS (SELECT doc_id, line, t.term, tf * coalesce(idf, {_OTHER!r}::DOUBLE) AS w FROM t LEFT JOIN f ON f.term = t.term),
+    n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
+    s AS (SELECT w.doc_id, license, round(sum(w.w * unit) / any_value(length), 6) AS score FROM w JOIN u ON u.term = w.term JOIN n ON n.doc_id = w.doc_id AND n.line = w.line GROUP BY w.doc_id, w.line, license),
+    b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= {licenses.MATCH}) WHERE k = 1),
+    o AS (SELECT d.doc_id, concat(folder, d.doc_id, '.txt') AS path, left(folder, length(folder) - 1) AS folder, b.license AS own_license, b.score AS own_score FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
+    g AS (SELECT folder, min_by(own_license, path) AS license FROM o WHERE own_license IS NOT NULL GROUP BY 1),
+    p AS (SELECT o.*, split_part(o.folder, '/', 1) AS f1, concat(split_part(o.folder, '/', 1), '/', split_part(o.folder, '/', 2)) AS f2 FROM o)
+    SELECT doc_id, path, own_license, own_score, coalesce(own_license, a.license, c.license, e.license) AS license,
+        CASE WHEN own_license IS NOT NULL THEN NULL WHEN a.license IS NOT NULL THEN p.folder WHEN c.license IS NOT NULL THEN f2 WHEN e.license IS NOT NULL THEN f1 END AS inherited_from
+    FROM p LEFT JOIN g a ON a.folder = p.folder LEFT JOIN g c ON c.folder = f2 LEFT JOIN g e ON e.folder = f1"""
+_CHAT = """
+    WITH m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+    c AS (SELECT u.*, r.text AS reply, r.turn IS NOT NULL AS answered, EXISTS (SELECT 1 FROM m x WHERE x.conv_id = u.conv_id AND x.turn = u.turn - 1 AND x.role = 'assistant')
+        AND EXISTS (SELECT 1 FROM m x WHERE x.conv_id = u.conv_id AND x.turn = u.turn - 2 AND x.role = 'user') AS waits
+        FROM m u LEFT JOIN m r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.role = 'assistant' WHERE u.role = 'user'),
+    i AS (SELECT *, sum(CASE WHEN waits THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level, CASE WHEN answered THEN 'linked' ELSE 'pending' END AS status FROM i)
+    SELECT conv_id, turn, 'call' AS kind, concat('reply-', turn) AS call_id, level, status, TRUE AS valid,
+        concat('{"arguments":{"prompt":', to_json(text), ',"turn":', turn, '},"call_id":"reply-', turn, '","errors":[],"level":', level, ',"name":"reply",', CASE WHEN reply IS NOT NULL THEN concat('"result":', to_json(reply), ',') ELSE '' END, '"status":"', status, '"}') AS canonical FROM k
+    UNION ALL SELECT conv_id, turn, 'message', NULL, NULL, 'plain', TRUE, concat('{"content":', to_json(text), ',"role":', to_json(role), '}') FROM m
+    WHERE role <> 'user' AND NOT (role = 'assistant' AND EXISTS (SELECT 1 FROM m x WHERE x.conv_id = m.conv_id AND x.turn = m.turn - 1 AND x.role = 'user'))"""
+_WARC = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM p"""
+
 ORACLES: dict[str, str] = {
+    "op1_chat": _CHAT,
+    "op2_licenses": _LICENSES,
+    "op5_warc": _WARC,
     "op8_contamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
