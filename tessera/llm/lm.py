@@ -38,9 +38,9 @@ STEPS = 24
 #: Bytes of text learned from for each shard of a level.
 SHARD_BYTES = 32 << 20
 #: Bytes of text that are looked up at once, so that each shard gets many lookups at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 #: Different n-grams that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 END = mix(np.array([0x5EED], np.uint64))[0]
 
 
