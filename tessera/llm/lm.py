@@ -188,7 +188,8 @@ def _contexts(ids: np.ndarray, row: np.ndarray, end: int) -> np.ndarray:
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    key, count = key[order], np.concatenate(counts)[order]
+    key, count = key[order], np.concatenate(counts)[order].astype(np.int64)
+    del order
     heads = np.flatnonzero(np.diff(key, prepend=key[:1] - np.uint64(1))) if len(key) else np.zeros(0, np.int64)
     return key[heads], np.add.reduceat(count, heads) if len(heads) else count
 
@@ -203,7 +204,7 @@ def _counted(docs: DataFrame, text: str, keys: Callable, shard: Callable, n: int
         def sent() -> Iterator[pa.RecordBatch]:
             key, count = _summed(*held)
             parts = list(_each(shard(key)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([key[p].tobytes() for _, p in parts], pa.binary()), pa.array([count[p].tobytes() for _, p in parts], pa.binary())], names=["shard", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([key[p].tobytes() for _, p in parts], pa.binary()), pa.array([count[p].astype(np.uint32).tobytes() for _, p in parts], pa.binary())], names=["shard", "keys", "counts"])
 
         for batch in steps(batches):
             for _, _, words, row in _texts(*raw(batch.column(at))):
@@ -233,13 +234,15 @@ def _built(parts: DataFrame, name: str, build: Callable) -> list:
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([file]), pa.array([size], pa.int64()), pa.array([total], pa.int64())], names=["shard", "file", "size", "total"])
 
         for batch in batches:
-            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # Packed arrays are used where they are in the batch; only a shard's own are put together.
+            (keys, at), (counts, ends) = raw(batch.column(1)), raw(batch.column(2))
+            for i, shard in enumerate(batch.column(0).to_pylist()):
                 if shard != current:
                     if current is not None:
                         yield closed()
                     current, held = shard, ([], [])
-                held[0].append(np.frombuffer(keys, np.uint64))
-                held[1].append(np.frombuffer(counts, np.int64))
+                held[0].append(keys[at[i] : at[i + 1]].view(np.uint64))
+                held[1].append(counts[ends[i] : ends[i + 1]].view(np.uint32))
         if current is not None:
             yield closed()
 
