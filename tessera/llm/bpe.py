@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.frames import column, with_arrays
 
-MEMO_ENTRIES = 400_000
-BATCH_BYTES = 4 << 20
+MEMO_ENTRIES = 300_000
+BATCH_BYTES = 3 << 20
 MEMO_BYTES = 48
 _SHIFT = 8
 _MASK = (1 << _SHIFT) - 1
@@ -163,18 +163,26 @@ class Bpe:
         ends = np.cumsum(np.add.reduceat(real, stops[:-1])) * 4 if len(pieces) else []
         return [packed[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(pieces) else []
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The packed ids of words."""
-        found, unknown = {w: self.find(w) for w in words}, {}
+    def learn(self, words: set[str], before: str = "") -> dict[str, bytes]:
+        """The packed ids of words, each with `before` in front of it."""
+        found, unknown = {w: self.find(before + w) for w in words}, {}
         for pieces in found.values():
             for p in pieces:
                 if p not in unknown:
                     whole = self.ranks.get(raw := p.encode())
-                    unknown[p] = raw if whole is None else whole
-        hard = [p for p, x in unknown.items() if isinstance(x, bytes)]
-        packed = {p: x.to_bytes(4, "little") for p, x in unknown.items() if isinstance(x, int)}
-        packed |= zip(hard, self.merge([unknown[p] for p in hard]), strict=True)
-        return {w: packed[p[0]] if len(p) == 1 else b"".join([packed[x] for x in p]) for w, p in found.items()}
+                    unknown[p] = raw if whole is None else whole.to_bytes(4, "little")
+        hard = [p for p in unknown if p.encode() not in self.ranks]
+        for p, ids in zip(hard, self.merge([unknown[p] for p in hard]), strict=True):
+            unknown[p] = ids
+        for w, p in found.items():
+            found[w] = unknown[p[0]] if len(p) == 1 else b"".join([unknown[x] for x in p])
+        return found
+
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text that are encoded apart."""
+        if not self.plain:
+            return [text]
+        return self.split_space(text) if self.odd_space(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of texts.
@@ -182,14 +190,17 @@ class Bpe:
         A text is cut before each space that another character follows. No pre-token reaches over such a place, and
         what follows it doesn't change the matches before it: white space there keeps its last character apart.
         """
-        parts = [(self.split_space(t) if self.odd_space(t) else t.split(" ")) if self.plain else [t] for t in texts]
-        seen = set()
-        for p in parts:
-            seen.update(p[1:])
-        memo, later = self.memo, seen.difference(self.memo)
-        learned = self.learn({p[0] for p in parts} | {" " + w for w in later})
-        memo.update((w, learned[" " + w]) for w in later)
-        out = [learned[p[0]] + b"".join(map(memo.__getitem__, p[1:])) for p in parts]
+        seen, heads = set(), set()
+        for text in texts:
+            head, *rest = self.cut(text)
+            heads.add(head)
+            seen.update(rest)
+        memo, first = self.memo, self.learn(heads)
+        memo.update(self.learn(seen.difference(memo), " "))
+        out = []
+        for text in texts:
+            head, *rest = self.cut(text)
+            out.append(first[head] + b"".join(map(memo.__getitem__, rest)))
         if len(memo) > MEMO_ENTRIES:  # what this batch has in use stays, as frequent words are among it
             self.memo = {w: memo[w] for w in seen if len(w) <= MEMO_BYTES}
         return out
