@@ -173,3 +173,24 @@ def bumped(version: Column, bump: Column) -> Column:
         .when(bump == "patch", F.concat(v, major, dot, minor, dot, patch + 1))
     )
     return F.coalesce(F.when(F.size(parts) >= 3, made), version)
+
+
+# Directories and extensions that no patch may touch.
+UNPATCHED_DIRS = [
+    ".git", "node_modules", "dist", "build", "venv", ".venv", "__pycache__", ".pytest_cache", ".mypy_cache", "target", "vendor",
+]
+UNPATCHED_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".pdf", ".zip",
+    ".gz", ".tar", ".so", ".dylib", ".dll", ".pyc", ".pyo", ".bin", ".exe", ".o", ".a", ".lib", ".mp3", ".mp4", ".mov",
+    ".wav", ".sqlite", ".db",
+]
+
+
+def unsafe(path: Column) -> Column:
+    """PRJ-09: why a path may not be patched: skipped_dir, traversal, escape or binary; null if it may. Links are a matter of
+    the file system and not of the path."""
+    parts = F.split(path, "/")
+    return (
+        F.when(F.arrays_overlap(parts, F.array(*map(F.lit, UNPATCHED_DIRS))), "skipped_dir").when(F.array_contains(parts, ".."), "traversal")
+        .when(path.startswith("/"), "escape").when(F.lower(suffix(path)).isin(UNPATCHED_EXTENSIONS), "binary")
+    )

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import cycle_nodes
+
 SYMBOLS = "path string, kind string, name string, parent string, start_line int, end_line int, is_exported boolean, confidence double, error string"
 IMPORTS = "path string, language string, module string, names array<string>, alias string, import_kind string, level int, line int"
 CONFIDENCE = {"python": 1.0, "javascript": 0.55, "typescript": 0.55, "go": 0.8}
@@ -296,3 +298,17 @@ def entrypoints(tree: DataFrame) -> DataFrame:
         F.when((own == "manifest.json") & F.try_variant_get(json, "$.manifest_version", "int").isNotNull(), "extension"),
     ))
     return tree.select("path", F.explode(kinds).alias("kind"))
+
+
+def configurations(tree: DataFrame) -> DataFrame:
+    """EXT-11: path and label of configuration files; of a JSON text with a name and a version, these, else the file's name."""
+    json, own = F.try_parse_json("text"), F.regexp_extract("path", "([^/]*)$", 1)
+    label = F.concat(F.try_variant_get(json, "$.name", "string"), F.lit("@"), F.try_variant_get(json, "$.version", "string"))
+    return tree.filter("kind = 'config'").select("path", F.coalesce(F.when(own.endswith(".json"), label), own).alias("label"))
+
+
+def module_graph(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """GRA-08: the edges between files of a tree and the files on import cycles. Dotted Python names that are files resolve
+    to them, others stay outside."""
+    inner = edges(tree, rules).filter(F.col("target_id").startswith("code:module:"))
+    return inner, cycle_nodes(inner)

@@ -120,7 +120,28 @@ def version_bumps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", P.bumped(version, bump).alias("next"), P.safe_id(F.col("p_brand")).alias("safe"))
 
 
-QUERIES = {f.__name__: f for f in (change_categories, change_groups, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, release_plan, version_bumps)}
+def diff_signals(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-12."""
+    return R.diff_signals(changes(spark, d), ["docs"]).withColumn("hints", F.array_join("hints", ","))
+
+
+def patch_safety(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-09: why paths may not be patched; some are moved into odd places."""
+    path = F.when(F.col("id") % 17 == 0, F.concat(F.lit("../"), "path")).when(F.col("id") % 19 == 0, F.concat(F.lit("dist/"), "path")).when(F.col("id") % 23 == 0, F.concat(F.lit("/"), "path")).otherwise(F.col("path"))
+    return changes(spark, d).select("id", P.unsafe(path).alias("reason"))
+
+
+def review_words(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-28: words of interest in paths, here those of parts."""
+    return changes(spark, d).select("id", F.array_join(R.review_words(F.col("path"), ["bolt", "red", "src", "test"]), ",").alias("words"))
+
+
+def repeated_names(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-26: names that several parts have, and how many."""
+    return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+QUERIES = {f.__name__: f for f in (change_categories, change_groups, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
 
 
 def _in(values: list[str]) -> str:
@@ -187,6 +208,12 @@ ORACLES = {
     "region_paths": f"WITH {_P} SELECT CASE WHEN path LIKE 'tests/economy/%' THEN 'forbidden' WHEN path LIKE 'src/promo/%' THEN 'cautious' WHEN path LIKE 'src/%' OR path LIKE 'docs/%' THEN 'editable' ELSE 'unknown' END AS region, count(*) AS n FROM k GROUP BY 1",
     "commit_headers": f"WITH {_HEAD} SELECT p_partkey, type, scope, breaking, subject, concat_ws(',', CASE WHEN type = '' THEN 'form' END, CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN subject LIKE '%.' THEN 'stop' END) AS problems FROM x",
     "release_plan": f"WITH {_HEAD} SELECT count(*) AS n_commits, count(*) FILTER (type = 'feat') AS n_feat, bool_or(breaking) AS breaking, 'major' AS bump, (SELECT max(concat('v0.', p_size, '.0')) FROM part) AS tag, 'v1.0.0' AS next FROM x",
+    "diff_signals": f"""WITH {_P}, w AS (SELECT *, CASE WHEN category = 'config' AND lower(name) IN {_in(P.CHANGE_CONFIG_EXTENSIONS)} THEN 'other' ELSE category END AS cat FROM k)
+        SELECT count(*) AS n_files, bool_or(cat = 'test') AS tests, bool_or(cat = 'doc') AS docs, bool_or(cat = 'manifest') AS manifests, bool_or(top = 'docs') AS guarded, count(DISTINCT CASE WHEN cat = 'source' THEN top END) AS n_areas,
+        'large_changeset,touches_protected_path,dependency_manifest_changed,cross_module_change' AS hints FROM w""",
+    "patch_safety": f"WITH {_P} SELECT id, CASE WHEN id % 17 <> 0 AND id % 19 = 0 THEN 'skipped_dir' WHEN id % 17 = 0 THEN 'traversal' WHEN id % 23 = 0 THEN 'escape' WHEN suffix = '.png' THEN 'binary' END AS reason FROM k",
+    "review_words": f"WITH {_P} SELECT id, concat_ws(',', CASE WHEN path ILIKE '%bolt%' THEN 'bolt' END, CASE WHEN path ILIKE '%red%' THEN 'red' END, CASE WHEN path ILIKE '%src%' THEN 'src' END, CASE WHEN path ILIKE '%test%' THEN 'test' END) AS words FROM k",
+    "repeated_names": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "version_bumps": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'draft' ELSE concat(CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END, CASE p_partkey % 3 WHEN 0 THEN '2.0.0' WHEN 1 THEN concat('1.', p_size + 1, '.0') ELSE concat('1.', p_size, '.', p_partkey % 10 + 1) END) END AS next,
         FALSE AS safe FROM part""",
 }

@@ -130,6 +130,15 @@ def test_manifests_and_detectors(tree):
     assert {(r.path, r.kind) for r in C.entrypoints(tree).collect()} == {("pkg/mod/a.py", "python_main"), ("main.go", "server"), ("package.json", "node_main")}
 
 
+def test_module_graph_and_configurations(spark, tree):
+    assert {(r.path, r.label) for r in C.configurations(tree).collect()} == {("package.json", "package.json"), ("pyproject.toml", "pyproject.toml")}
+    rows = [("a.py", "python", "import b", "source"), ("b.py", "python", "from . import c\nfrom .c import x", "source"), ("c.py", "python", "import a", "source"), ("d.py", "python", "import a", "source"), ("x.json", "json", '{"name": "n", "version": "1"}', "config")]
+    small = spark.createDataFrame(rows, "path string, language string, text string, kind string")
+    edges, cyclic = C.module_graph(small)
+    assert {r.id for r in cyclic.collect()} == {"code:module:a.py", "code:module:b.py", "code:module:c.py"} and edges.count() == 4
+    assert [r.label for r in C.configurations(small).collect()] == ["n@1"]
+
+
 def test_git_texts(spark):
     lines = lambda *x: spark.createDataFrame([(t,) for t in x], "line string")
     assert [tuple(r) for r in lines("M  a", " M b", "?? c", "R  x -> y").select(*trees.git_status(F.col("line"))).collect()] == [("M", True, "a"), ("M", False, "b"), ("A", False, "c"), ("R", True, "y")]
