@@ -32,7 +32,7 @@ def commit_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_check(spark: SparkSession, d: str) -> DataFrame:
-    """RUL-01, AGG-13 over the first 500 ids and their lines; the limit of lines is given."""
+    """RUL-01, AGG-13 with a limit of lines."""
     return R.budget(changes(spark, d), max_lines=5000)
 
 

@@ -21,8 +21,8 @@ def doc_update_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verification_items(spark: SparkSession, d: str) -> DataFrame:
-    """GRA-05: nations as changes, their suppliers as models and their customers as endpoints."""
-    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("model").alias("type")).unionAll(table(spark, d, "customer").filter("c_custkey < 90").select("c_nationkey", F.lit("api_endpoint")))
+    """GRA-05: nations as changes, their suppliers as models and their rich customers in building as endpoints."""
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("model").alias("type")).unionAll(table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' AND c_acctbal > 9000").select("c_nationkey", F.lit("api_endpoint")))
     return U.verification(rows, "nation").select("nation", F.array_join("items", ",").alias("items"))
 
 
@@ -34,7 +34,7 @@ def merge_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_targets(spark: SparkSession, d: str) -> DataFrame:
     """JOI-11: names of nations, paths of parts and names of parts, looked up among modules, files and symbols."""
-    part = table(spark, d, "part").filter("p_partkey < 40")
+    part = table(spark, d, "part")
     nodes = part.select(F.concat(F.lit("code:module:a/"), "p_partkey", F.lit(".py")).alias("id"), F.lit("f").alias("name"), F.lit("").alias("file_path"))
     nodes = nodes.unionAll(part.filter("p_partkey % 2 = 0").select(F.concat(F.lit("module:a."), "p_partkey"), F.lit("m"), F.lit("")))
     nodes = nodes.unionAll(part.select(F.concat(F.lit("code:function:a/"), "p_partkey", F.lit(".py:"), "p_name"), "p_name", F.concat(F.lit("a/"), "p_partkey", F.lit(".py"))))
@@ -60,10 +60,10 @@ ORACLES = {
         e AS (SELECT CASE WHEN trim(doc) = '(all docs)' THEN 'README.md' ELSE trim(doc) END AS doc, CASE type WHEN 'stale_capability' THEN 0 WHEN 'other' THEN 2 ELSE 1 END AS k, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS p, p_type FROM i)
         SELECT doc, ['capability_boundary', 'status_sync', 'expression_alignment'][min(k) + 1] AS update_kind, ['high', 'medium', 'low'][min(p) + 1] AS priority, count(*) AS n_issues, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS reasons
         FROM e WHERE doc NOT LIKE 'history/%' GROUP BY doc""",
-    "verification_items": """WITH r AS (SELECT s_nationkey AS nation, 'm' AS t FROM supplier UNION ALL SELECT c_nationkey, 'a' FROM customer WHERE c_custkey < 90)
+    "verification_items": """WITH r AS (SELECT s_nationkey AS nation, 'm' AS t FROM supplier UNION ALL SELECT c_nationkey, 'a' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)
         SELECT nation, concat_ws(',', CASE WHEN bool_or(t = 'a') THEN 'api' END, CASE WHEN bool_or(t = 'm') THEN 'model_compatibility' END, CASE WHEN count(*) > 3 THEN 'regression' END, CASE WHEN count(*) > 5 THEN 'performance' END) AS items FROM r GROUP BY 1""",
     "merge_readiness": "SELECT user_id, count(*) FILTER (event_type = 'error') AS blockers, count(*) FILTER (event_type = 'view') AS warnings, count(*) FILTER (event_type = 'error') = 0 AS ready FROM events GROUP BY 1",
-    "impact_targets": """WITH p AS (SELECT * FROM part WHERE p_partkey < 40), s AS (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY concat('code:function:a/', p_partkey, '.py:', p_name)) AS k FROM p)
+    "impact_targets": """WITH p AS (SELECT * FROM part), s AS (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY concat('code:function:a/', p_partkey, '.py:', p_name)) AS k FROM p)
         SELECT concat('a/', p_partkey, '.py') AS query, concat('code:module:a/', p_partkey, '.py') AS id FROM p WHERE p_partkey % 3 = 0
         UNION ALL SELECT concat('a/', p_partkey, '.py'), concat('module:a.', p_partkey) FROM p WHERE p_partkey % 6 = 0
         UNION ALL SELECT concat('a.', p_partkey), concat('module:a.', p_partkey) FROM p WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 0
