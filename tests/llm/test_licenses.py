@@ -4,8 +4,6 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from tessera.llm import licenses as L
 
 
