@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.frames import column, steps, with_arrays
+from tessera.llm.frames import bounded, column, steps, with_arrays
 from tessera.llm.text import SHINGLE, chunks, mix, raw, shingles, tokens
 
 LEAST = 0.8
@@ -103,7 +103,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 
     Rows that repeat a key are documents or items of their own. Null texts hold nothing and are in nothing.
     """
-    spark = docs.sparkSession
+    bounded(spark := docs.sparkSession)
     docs = docs.select(key, text)
     schema = T.StructType([docs.schema[key], items.schema[item_key], *[T.StructField(n, T.LongType()) for n in ("shared", "n_shingles")], T.StructField("containment", T.DoubleType())])
     kind = to_arrow_type(items.schema[item_key].dataType)

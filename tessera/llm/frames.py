@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 STEP_BYTES = 8 << 20
+#: Bytes of an Arrow batch between Spark and Python, where a count of rows alone would let long texts fill memory.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless they are bounded closer."""
+    value = spark.conf.get(BATCH_SETTING, "")
+    if not (value.isdigit() and 0 < int(value) <= BATCH_BYTES):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def steps(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +33,7 @@ def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields
 
     Columns of df with the name of a new one go, and those in `drop`, after use.
     """
+    bounded(df.sparkSession)
     names = {f.name.lower() for f in fields} | {x.lower() for x in drop}
     kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
     schema = T.StructType([df.schema.fields[i] for i in kept] + fields)

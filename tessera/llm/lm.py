@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.eliasfano import EliasFano, load, save
-from tessera.llm.frames import column, steps, with_arrays
+from tessera.llm.frames import bounded, column, steps, with_arrays
 from tessera.llm.store import fresh_path, written
 from tessera.llm.text import chunks, mix, raw, tokens
 
@@ -253,6 +253,7 @@ def _built(parts: DataFrame, name: str, build: Callable) -> list:
 def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """The model of all rows of docs."""
     spark, docs = docs.sparkSession, docs.select(text)
+    bounded(spark)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = -(-size // SHARD_BYTES) or 1
     folder = fresh_path(spark, "trie")

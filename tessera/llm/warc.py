@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import steps
+from tessera.llm.frames import bounded, steps
 from tessera.llm.store import fresh_path, written
 
 ROLL = 1 << 29
@@ -99,6 +99,7 @@ def _deduplicated(pages: DataFrame, key: str, url: str, payload: str, least: int
 
 def write(pages: DataFrame, key: str, url: str, payload: str, least: int = 0) -> DataFrame:
     """Archives of the rows of pages in the shared folder; returns their index."""
+    bounded(pages.sparkSession)
     folder = fresh_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
