@@ -13,6 +13,8 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where none is set, as in tests, a temporary one for this session."""
     if not (found := spark.conf.get(SETTING, None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
