@@ -15,8 +15,8 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 <<
 
 def bounded(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, unless they are bounded closer."""
-    value = spark.conf.get(BATCH_SETTING, "")
-    if not (value.isdigit() and 0 < int(value) <= BATCH_BYTES):
+    value = spark.conf.get(BATCH_SETTING, None)
+    if value is None or not value.isdigit() or not 0 < int(value) <= BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
