@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
-from tessera.llm.supervised import BUCKETS, Sample, distinct, fold, sample
+from tessera.llm.supervised import BUCKETS, SAMPLE, Sample, distinct, fold, sample
 from tessera.llm.text import raw
 
 
@@ -38,6 +38,20 @@ def test_the_machine_learns_pairs(monkeypatch):
     assert min(got[1:3]) > 0.5 > max(got[0], got[3])
 
 
+@pytest.mark.parametrize("n", [1200, 2 * SAMPLE - 500])
+def test_the_machine_learns_pairs_as_configured(n):
+    """The same labels, learned as by the queries, with few rows and with nearly as many as they learn from at most."""
+    rng = random.Random(0)
+    texts, labels = [], []
+    for i in range(n + 500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(["insult"] * a + ["group"] * b + [f"w{rng.randrange(40)}" for _ in range(3)]))
+        labels.append(int(a != b))
+    machine = toxicity.tuned(sampled(texts[:-500], labels[:-500], toxicity.features))
+    right = (scores(machine, texts[-500:], toxicity.features) > 0.5) == labels[-500:]
+    assert right.mean() > 0.98
+
+
 def test_margins_are_the_sums_of_the_definition():
     rng = np.random.default_rng(0)
     machine = toxicity.Machine(0.5, rng.normal(size=BUCKETS), rng.normal(size=(BUCKETS, 3)))
