@@ -1,4 +1,4 @@
-"""License scans: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine of lines and blocks to licence templates, then inheritance from the nearest ancestor directory.
 
 Only DataFrame and SQL functions run here. Each line of a text is compared with all templates. Term weights are counts
 times inverse document frequencies among the templates; terms that no template has weigh the most. Lines without a
@@ -6,6 +6,13 @@ telling term are left out before anything is joined: the rest of a template's te
 length, so such a line can't match. What is left are joins of (line, term) with the template terms, a table whose size
 is that of TEMPLATES. A file's licence is that of its best line, the first template by name on a tie.
 
+Standard headers and full licence texts, wrapped as they may be, are compared by blocks of words: the terms are runs of
+SHINGLE words, so comment marks and line ends don't count, and terms that no template has are left out, so that code
+around a header doesn't count either; a term counts once. A template has the blocks of twice its span, the power of two from its number of
+terms on, that begin at each multiple of the span; any place where it can stand lies in one of them whole. A block goes
+before a line, as it says more. Texts without a word of LEGAL, of which each header and licence text has one, have no
+blocks.
+
 A file without a licence inherits that of the nearest directory on its path, its own first, for which a file declares
 one; of several in a directory the least path decides. Directories are resolved once each, before files meet them.
 Nulls: a null text has no lines; a null path has no directory. Repeated rows are each a row of the result.
@@ -16,8 +23,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib.resources import files as resources
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCH = 0.6
@@ -40,10 +48,19 @@ TEMPLATES = {
 #: Words that any text may have; the first of them that can't make a match between them tell nothing.
 COMMON = ("the", "to", "of", "this", "is", "under", "by", "all", "work", "3", "2", "general", "version")
 
+#: Words in a term of a block.
+SHINGLE = 3
+LEGAL = r"(?i)warrant|distribut|permission"
+#: Standard headers and full texts; a licence's name is what comes before a space.
+BLOCKS = {x.name.removesuffix(".txt").replace(".header", " header"): x.read_text("utf-8") for x in resources("tessera.llm").joinpath("licence_texts").iterdir()}
+
 
 def weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
     """Unit vectors of the templates, the terms' inverse document frequencies and that of any other term."""
-    counts = {k: Counter(re.findall(WORD, v.lower())) for k, v in templates.items()}
+    return _weights({k: Counter(re.findall(WORD, v.lower())) for k, v in templates.items()})
+
+
+def _weights(counts: dict[str, Counter]) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
     n, seen = len(counts), Counter(w for c in counts.values() for w in c)
     idf = {w: math.log((1 + n) / (1 + d)) + 1 for w, d in seen.items()}
     raw = {k: {w: tf * idf[w] for w, tf in c.items()} for k, c in counts.items()}
@@ -82,6 +99,41 @@ def matches(files: DataFrame, key: str, text: str, templates: dict[str, str] = T
     return scores.groupBy(key).agg(F.min(best).alias("best")).select(key, F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
 
 
+def shingles(text: str) -> list[str]:
+    """The runs of SHINGLE words of a text."""
+    words = re.findall(WORD, text.lower())
+    return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+
+
+def blocks(files: DataFrame, key: str, text: str, templates: dict[str, str] = BLOCKS, match: float = MATCH) -> DataFrame:
+    """key, license and score of the files with a block like a header or a licence text."""
+    spark = files.sparkSession
+    said = {k: shingles(v) for k, v in templates.items()}
+    units, idf, _ = _weights({k: Counter(set(v)) for k, v in said.items()})
+    spans = {k: 1 << (len(v) - 1).bit_length() for k, v in said.items()}
+    terms = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    rows = [(w, k, k.split(" ")[0], spans[k], x) for k, v in units.items() for w, x in v.items()]
+    vectors = F.broadcast(spark.createDataFrame(rows, "term string, template string, license string, span int, unit double"))
+    # Rows that repeat a key are told apart by what they say.
+    said = files.filter(F.col(text).rlike(LEGAL)).select(key, F.lower(text).alias("said"))
+    words = said.select(key, F.xxhash64("said").alias("said"), F.regexp_extract_all("said", F.lit(WORD), 0).alias("words")).filter(F.size("words") >= SHINGLE)
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(SHINGLE)]))
+    known = words.select(key, "said", F.posexplode(runs).alias("at", "term")).join(terms, "term")
+    within = F.explode(F.array(*[F.struct(F.lit(n).alias("span"), (F.floor(F.col("at") / n) - back).alias("block")) for n in sorted(set(spans.values())) for back in (0, 1)]))
+    block = [key, "said", "span", "block"]
+    weighed = known.select(key, "said", "term", "idf", within.alias("in")).select(key, "said", "in.span", "in.block", "term", "idf").groupBy(*block, "term").agg(F.first("idf").alias("w"))
+    weighed = weighed.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*block))))
+    dots = weighed.join(vectors, ["term", "span"]).groupBy(*block, "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.first("length").alias("length"))
+    scores = dots.select(key, "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= match)
+    return scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("least"), "license")).alias("best")).select(key, F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
+
+
+def declared_by(files: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """key, license and score of the files with a block or else a line like a template."""
+    found = blocks(files, key, text).withColumn("rank", F.lit(0)).unionByName(matches(files, key, text, templates).withColumn("rank", F.lit(1)))
+    return found.groupBy(key).agg(F.min(F.struct("rank", "license", "score")).alias("best")).select(key, "best.license", "best.score")
+
+
 def declares(path: Column) -> Column:
     """Whether a path is that of a licence file."""
     return F.regexp_extract(path, "([^/]*)$", 1).rlike(r"(?i)^(licen[cs]e|copying|notice)(\.|$)")
@@ -108,5 +160,5 @@ def inherited(files: DataFrame, path: str = "path", own: str = "own_license", de
 
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", declared: Column | None = None, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """files without their text, with own_license, own_score, license and inherited_from."""
-    own = matches(files, key, text, templates).select(key, F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    own = declared_by(files, key, text, templates).select(key, F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     return inherited(files.drop(text).join(own, key, "left"), path, declared=declared)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 from tessera.llm import licenses as L
@@ -72,3 +73,55 @@ def test_query(spark, sf_dir):
             at = at.rpartition("/")[0]
             want = (given.get(at), at if at in given else None)
         assert (r.path, r.own_license, r.license, r.inherited_from) == (path[r.doc_id], own[r.doc_id][0], *want)
+
+
+GPL = """/*
+ * Frob is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * Frob is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+APACHE = """// Copyright 2020 The Frob Authors. All rights reserved.
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License."""
+CODE = "\n".join(f"def value{i}(x): return x + {i}  # the value of the work" for i in range(300))
+
+
+def test_headers_and_full_texts(spark):
+    """Each stands at some place between lines of code, wrapped in its own way."""
+    full = lambda name, width: "Copyright (c) 2020, Me.\nAll rights reserved.\n\n" + textwrap.fill(" ".join(L.BLOCKS[name].split()), width)
+    want, texts = [], []
+    for name, text in [("GPL-3.0", GPL), ("GPL-2.0", GPL.replace("version 3", "version 2")), ("LGPL-3.0", GPL.replace("GNU", "GNU Lesser")), ("MPL-2.0", MPL), ("Apache-2.0", APACHE)]:
+        want += [name] * 3
+        texts += [text, f"{text}\n{CODE}", f"{CODE}\n{text}\n{CODE}"]
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"):
+        want += [name] * 2
+        texts += [full(name, 50), f"{CODE[:999]}\n{full(name, 72)}"]
+    # A sentence of a licence isn't one; a line still is, and rows may repeat a key.
+    want += [None, None, "MIT", None]
+    texts += ["This is distributed in the hope that it will be useful.", CODE, "without warranty\nReleased under the MIT License.", None]
+    rows = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)] + [(0, "f", texts[0])], "id int, path string, text string")
+    got = L.scan(rows, "id").collect()
+    assert len(got) == len(texts) + 1
+    assert {r.id: r.own_license for r in got} == dict(enumerate(want))
+
+
+def test_every_block_has_a_legal_word():
+    assert all(re.search(L.LEGAL, text) for text in L.BLOCKS.values())
