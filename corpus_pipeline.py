@@ -1,7 +1,7 @@
 """Corpus cleaning from documents to token ids.
 
 Each stage reads what the one before it wrote: low quality goes, then toxic documents, then all but one of each class of
-near copies, then documents that hold a benchmark item; the rest are encoded. All stages but the last return the columns
+near copies, then documents that hold a benchmark item; the rest are encoded and decoded again. All stages but the last return the columns
 of documents. Models are fitted on the labelled rows among the documents that a stage gets.
 """
 
@@ -44,8 +44,9 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: doc_id, lang and source with the packed ids of the text and their number."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS, public_tokenizers.PATTERN).drop("text")
+    """Byte-level BPE: doc_id, lang and source with the packed ids of the text, their number and a digest of the decoded bytes."""
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(ids, BPE_RANKS, public_tokenizers.PATTERN).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [("quality", good), ("toxicity", civil), ("near copies", distinct), ("decontamination", unseen), ("encoding", encoded)]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline as C
 import public_tokenizers as P
 from tessera.llm import bpe
@@ -34,3 +36,10 @@ def test_no_documents(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_the_last_stage_decodes(spark, sf_dir):
+    texts = [(1, "de", "web", "Grüße, Welt\n\n 12"), (2, "en", "web", ""), (3, "en", "web", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, source string, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in C.STAGES[-1][1](spark, docs, sf_dir).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, _, _, t in texts}
