@@ -3,15 +3,23 @@
 A text is the set of its five-word shingles (one of one to four words has a single shingle of them all). Equal sequences
 of words are one class of copies, kept as a node with a fingerprint; only nodes are compared, so copies never multiply.
 
-Each node is embedded as WIDTH MinHash values. In each run a node samples about BRANCHES of them, and nodes that sample
+Each node is embedded as WIDTH MinHash values. In each run a node samples a few of them (three at the threshold of 0.8), and nodes that sample
 one value at one place share a bucket. Two nodes of similarity s have s * WIDTH values in common, so they share
-BRANCHES * s buckets in the mean. A bucket of more than SMALL nodes is split again by the values that its nodes sample
-below it, to the depth DEPTH; one whose nodes are alike, as ALIKE of them have the same value at a probed place, isn't
-split, since no value would split it. Small buckets are brute-forced; what is large still is cut into blocks of BLOCK nodes and each pair of blocks is brute-forced as a bucket
-of its own, so nothing is capped. Runs are repeated until a pair at the threshold is missed with a chance below
-1 - recall. Which buckets two nodes share follows from their values, so a pair is looked at once, in the first bucket in
-the order of the recursion that it shares and that isn't split; the buckets before it are known from the node's values
-and the list of its buckets that were split.
+3 * s buckets in the mean. A bucket of more than SMALL nodes is split again by the values that its nodes sample below it,
+until it is small or its nodes are alike: ALIKE of them have the same value at a probed place, so no value would split
+it. From the fourth level on nodes sample fewer values, by which pairs at the threshold still meet with a chance that
+doesn't fall with the depth, while buckets of less similar nodes shrink. Small buckets are brute-forced.
+
+Alike buckets have pivots: the node that comes first in an order of all nodes. Buckets that hold the same cloud of nodes
+mostly have the same pivot, so the many alike buckets of a cloud become a few groups, each a pivot and the nodes that
+share an alike bucket with it. A group is brute-forced in pairs of blocks of at most BLOCK nodes and about BLOCK_BYTES of
+shingles, each a bucket of its own, so nothing is capped and no task gets a whole group. The links of a cloud are
+counted exactly, so a cloud of n different texts takes n * n / 2 comparisons of MinHash values, and n / BLOCK rows for each
+of its nodes.
+
+Runs are repeated until a pair at the threshold is missed with a chance below 1 - recall. A pair is looked at once: in the
+least group that it shares; if it shares none, in the first bucket in the order of the recursion that it shares and that
+isn't split. The buckets before it are known from the node's values and the list of its buckets that were split.
 
 Brute force has two steps: pairs whose MinHash values agree too seldom go, by five standard deviations; the nodes left
 get their shingles, read again from their texts, and exact similarities decide. Links are similarities of at least the
@@ -41,12 +49,15 @@ from tessera.llm.text import chunks, mix, raw, shingles, tokens
 THRESHOLD = 0.8
 RECALL = 0.9999
 WIDTH = 128
-BRANCHES = 3
+#: Values common to a pair at the threshold that it samples in the mean, at the first levels and at those below them.
+FIRST, LATER, FIRST_LEVELS = 2.4, 1.4, 3
 SMALL = 48
-BLOCK = 512
-DEPTH = 3
+BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 ALIKE = 0.5
 PAIRS = 1 << 16
+#: Rows of a bucket or group from which it is hot: its rows aren't dealt by it. At most SENT_HOT hot ones are sent to executors.
+HOT, SENT_HOT = 2048, 100_000
 #: Nodes whose keys are sent to all executors to find their texts; for more of them texts are joined by key.
 SENT_KEYS = 500_000
 
@@ -55,11 +66,16 @@ _ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = _SEEDS.astype(np.uint32)
 
 
+def branches(level: int, threshold: float) -> float:
+    """How many of its values a node samples at a level in the mean."""
+    return min(WIDTH, (FIRST if level <= FIRST_LEVELS else LATER) / threshold)
+
+
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold shares a leaf bucket with the chance `recall`, at the greatest depth."""
+    """Runs after which a pair at the threshold shares a leaf bucket with the chance `recall`, however deep it is."""
     met = 1.0
-    for _ in range(DEPTH):
-        met = 1 - (1 - met * BRANCHES / WIDTH) ** (threshold * WIDTH)
+    for level in (*[FIRST_LEVELS + 1] * 200, *range(FIRST_LEVELS, 0, -1)):
+        met = 1 - (1 - met * branches(level, threshold) / WIDTH) ** (threshold * WIDTH)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -99,17 +115,18 @@ def _sets(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[list[bytes], list[
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, fp, and sig: null for rows without words."""
+    """key, fp, sig (null for rows without words) and size, the number of shingles."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
 
     def compute(batch: pa.RecordBatch) -> list:
-        marks, sigs = [], []
+        marks, sigs, sizes = [], [], []
         for fps, sets in _sets(*raw(batch.column(1))):
             marks += fps
             sigs += [signature(s).tobytes() if len(s) else None for s in sets]
-        return [pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())]
+            sizes += map(len, sets)
+        return [pa.array(marks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())]
 
-    return with_arrays(docs, compute, [T.StructField("fp", T.BinaryType()), T.StructField("sig", T.BinaryType())], ("text",))
+    return with_arrays(docs, compute, [T.StructField("fp", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())], ("text",))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,18 +135,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data.tobytes(), np.uint32).reshape(len(column), WIDTH)
 
 
-def _chosen(sigs: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are sampled below a salt, and the keys of the buckets that they lead to."""
+def _chosen(sigs: np.ndarray, salt: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are sampled below a salt, `rate` of a node's in the mean, and the keys of the buckets that they lead to."""
     place = np.arange(1, WIDTH + 1, dtype=np.uint64) << np.uint64(32)
     keys = mix((sigs.astype(np.uint64) | place) ^ salt[:, None])
-    return mix(keys ^ np.uint64(0x5851F42D4C957F2D)) < np.uint64(BRANCHES * 2**64 // WIDTH), keys
+    return mix(keys ^ np.uint64(0x5851F42D4C957F2D)) < np.uint64(min(int(rate * 2**64) // WIDTH, 2**64 - 1)), keys
 
 
 def _run_salts(runs: int) -> np.ndarray:
     return mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
-def _top(nodes: DataFrame, runs: int) -> DataFrame:
+def _top(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
     """fp, bucket and probe of each bucket at the top; probe: the node's value at a place that the bucket's key gives."""
     salts = _run_salts(runs)
 
@@ -137,7 +154,7 @@ def _top(nodes: DataFrame, runs: int) -> DataFrame:
         for batch in steps(batches, 1 << 20):
             sigs = _matrix(batch.column(1))
             for salt in salts:
-                on, keys = _chosen(sigs, np.full(len(sigs), salt))
+                on, keys = _chosen(sigs, np.full(len(sigs), salt), branches(1, threshold))
                 row, _ = np.nonzero(on)
                 yield _bucketed(batch, sigs, row, keys[on])
 
@@ -149,57 +166,79 @@ def _bucketed(batch: pa.RecordBatch, sigs: np.ndarray, row: np.ndarray, keys: np
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys.astype(np.int64)), pa.array(probe)], names=["fp", "bucket", "probe"])
 
 
-def _below(large: DataFrame) -> DataFrame:
-    """fp, bucket and probe of the buckets one level below."""
+def _below(large: DataFrame, level: int, threshold: float) -> DataFrame:
+    """fp, bucket and probe of the buckets of `level`, one below those of large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1 << 20):
             sigs = _matrix(batch.column(1))
-            on, keys = _chosen(sigs, batch.column(2).to_numpy().astype(np.uint64))
+            on, keys = _chosen(sigs, batch.column(2).to_numpy().astype(np.uint64), branches(level, threshold))
             yield _bucketed(batch, sigs, np.nonzero(on)[0], keys[on])
 
     return large.select("fp", "sig", "bucket").mapInArrow(run, "fp binary, bucket long, probe long")
 
 
-def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
-    """fp, sig, bucket, home, side and splits of the nodes in leaf buckets.
+def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which has one row for each key and the number n of its rows; hot keys stay where they are."""
+    hot = table.filter(F.col("n") > HOT)
+    if not 0 < hot.count() <= SENT_HOT:
+        return rows.join(table.hint("merge"), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= HOT).hint("merge"), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
 
-    home: the bucket of which this one is a pair of blocks, or itself; splits: the node's buckets that were split. Pairs
-    in a bucket are of different sides where these aren't 0.
+def _leaves(nodes: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, int]:
+    """The nodes in leaf buckets and in blocks of groups, and the number of levels: fp, sig, size, bucket, home, side,
+    grouped, splits and groups.
+
+    home: the group of which this bucket is a pair of blocks (then grouped), or the bucket itself; splits: the node's buckets
+    that were split; groups: its groups. Pairs in a bucket are of different sides where these aren't 0.
     """
-    found = written(_top(nodes, runs), "paths")
-    rows_out, splits = [], []
-    for level in range(1, DEPTH + 1):
+    found, level = written(_top(nodes, runs, threshold), "paths"), 1
+    rows_out, splits, grouped = [], [], []
+    while True:
         sizes = written(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        rows = found.join(sizes.hint("merge"), "bucket")
-        rows_out.append(rows.filter(F.col("n") <= SMALL).select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side")))
+        hot = sizes.filter(F.col("n") > HOT).select("bucket")
+        cold = found.join(F.broadcast(hot), "bucket", "left_anti") if 0 < hot.count() <= SENT_HOT else found
+        rows = cold.join(sizes.filter(F.col("n") <= SMALL).hint("merge"), "bucket")
+        rows_out.append(rows.select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side"), F.lit(False).alias("grouped")))
         if not sizes.filter(F.col("n") > SMALL).head(1):
             break
-        big = rows.filter(F.col("n") > SMALL)
-        modes = written(big.groupBy("bucket", "probe").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max("c").alias("mode")), "modes")
-        big = big.join(modes.hint("merge"), "bucket")
-        alike = F.lit(True) if level == DEPTH else F.col("mode") >= ALIKE * F.col("n")
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit(level)), parts).cast("int")
-        whole = big.filter(alike).select("fp", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"), F.lit("block"))
+        big = written(_met(found, sizes.filter(F.col("n") > SMALL), "bucket").drop("n"), "big")
+        first = F.min(F.struct(F.xxhash64("fp").alias("place"), "fp")).alias("first")
+        kinds = big.groupBy("bucket", "probe").agg(F.count("*").alias("c"), first).groupBy("bucket").agg(F.max("c").alias("mode"), F.sum("c").alias("n"), F.min("first").alias("first"))
+        kinds = written(kinds.select("bucket", "n", (F.col("mode") >= ALIKE * F.col("n")).alias("alike"), F.xxhash64("first.fp", F.lit("pivot")).alias("group")), "kinds")
+        told = written(_met(big.select("fp", "bucket"), kinds, "bucket").select("fp", "bucket", "alike", "group"), "told")
+        grouped.append(told.filter("alike").select("fp", "group"))
+        split = told.filter("NOT alike").select("fp", "bucket")
+        if not split.head(1):
+            break
+        splits.append(split)
+        level += 1
+        found = written(_below(split.join(nodes.hint("merge").select("fp", "sig"), "fp"), level, threshold), "paths")
+    none = nodes.select("fp", F.lit(0).cast("long").alias("x"), F.lit(0).alias("kind")).limit(0)
+    lists = [none, *[x.select("fp", F.col("bucket").alias("x"), F.lit(1).alias("kind")) for x in splits]]
+    if grouped:
+        groups = reduce(DataFrame.unionAll, grouped).distinct().join(nodes.hint("merge").select("fp", "size"), "fp")
+        groups = written(groups, "groups")
+        lists.append(groups.select("fp", F.col("group").alias("x"), F.lit(2).alias("kind")))
+        sizes = groups.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+        parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
+        sizes = written(sizes.select("group", "n", parts.alias("parts")), "sizes")
+        whole = _met(groups.select("fp", "group"), sizes, "group")
+        whole = whole.select("fp", "group", F.pmod(F.xxhash64("fp", F.lit("part")), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        block = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"), F.lit("block"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        rows_out.append(whole.select("fp", block.alias("bucket"), F.col("bucket").alias("home"), side.alias("side")))
-        if level < DEPTH:
-            split = written(big.filter(~alike).select("fp", "bucket"), "split")
-            splits.append(split)
-            found = written(_below(split.join(nodes.hint("merge").select("fp", "sig"), "fp")), "paths")
-    rows, own = reduce(DataFrame.unionAll, rows_out), nodes.select("fp", "sig")
-    if splits:
-        lists = reduce(DataFrame.unionAll, splits).groupBy("fp").agg(F.collect_set("bucket").alias("splits"))
-        own = written(own.join(lists.hint("merge"), "fp", "left"), "own")
-    else:
-        own = own.withColumn("splits", F.lit(None).cast("array<long>"))
-    return rows.join(own.hint("merge"), "fp").select("fp", "sig", "bucket", "home", "side", "splits")
+        rows_out.append(whole.select("fp", block.alias("bucket"), F.col("group").alias("home"), side.alias("side"), F.lit(True).alias("grouped")))
+    one = [F.collect_list(F.when(F.col("kind") == k, F.col("x"))).alias(name) for k, name in ((1, "splits"), (2, "groups"))]
+    lists = reduce(DataFrame.unionAll, lists).groupBy("fp").agg(*one)
+    own = written(nodes.select("fp", "sig", "size").join(lists.hint("merge"), "fp", "left"), "own")
+    rows = reduce(DataFrame.unionAll, rows_out)
+    return rows.join(own.hint("merge"), "fp").select("fp", "sig", "size", "bucket", "home", "side", "grouped", "splits", "groups"), level
 
 
 def _groups(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """The rows again, such that each batch ends with the end of a run of equal values in the column `at`, after 2 * BLOCK
+    """The rows again, such that each batch ends with the end of a run of equal values in the column `at`, after BLOCK
     rows or, where a run is longer, with that run."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
@@ -211,7 +250,7 @@ def _groups(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
             rest = []
         lo, ends = 0, (np.flatnonzero(np.diff(keys)) + 1).tolist()
         for k, end in enumerate(ends):
-            if k + 1 == len(ends) or ends[k + 1] - lo > 2 * BLOCK:
+            if k + 1 == len(ends) or ends[k + 1] - lo > BLOCK:
                 yield _one([*rest, batch.slice(lo, end - lo)])
                 rest, lo = [], end
         rest.append(batch.slice(lo))
@@ -243,21 +282,21 @@ def _pairs(bucket: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, n
         lo = hi
 
 
-def _paths(sigs: np.ndarray, split: np.ndarray, salts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _paths(sigs: np.ndarray, split: np.ndarray, salts: np.ndarray, depth: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each node the buckets that it is in and that aren't split, in the order of the recursion: their keys, and the
-    places of the values sampled on the way, DEPTH for each (the last repeated)."""
-    on, keys = (np.concatenate(x, axis=1) for x in zip(*[_chosen(sigs, np.full(len(sigs), salt)) for salt in salts], strict=True))
+    places of the values sampled on the way, `depth` for each (the last repeated)."""
+    on, keys = (np.concatenate(x, axis=1) for x in zip(*[_chosen(sigs, np.full(len(sigs), salt), branches(1, threshold)) for salt in salts], strict=True))
     row, col = np.nonzero(on)
     key, order, places = keys[on], col[:, None], (col % WIDTH)[:, None]
     done = []
-    for level in range(1, DEPTH + 1):
-        open_ = np.isin(key, split) if level < DEPTH and len(split) else np.zeros(len(key), dtype=bool)
-        pad = [(0, 0), (0, DEPTH - level)]
+    for level in range(1, depth + 1):
+        open_ = np.isin(key, split) if level < depth and len(split) else np.zeros(len(key), dtype=bool)
+        pad = [(0, 0), (0, depth - level)]
         done.append((row[~open_], key[~open_], np.pad(order[~open_], pad, constant_values=-1), np.pad(places[~open_], pad, mode="edge")))
         if not open_.any():
             break
         at = np.flatnonzero(open_)
-        on, keys = _chosen(sigs[row[at]], key[at])
+        on, keys = _chosen(sigs[row[at]], key[at], branches(level + 1, threshold))
         parent, col = np.nonzero(on)
         at = at[parent]
         row, key = row[at], keys[on]
@@ -269,24 +308,51 @@ def _paths(sigs: np.ndarray, split: np.ndarray, salts: np.ndarray) -> list[tuple
     return [(key[lo:hi], places[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _candidates(batch: pa.RecordBatch, salts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a batch of leaves that agree often enough and that share no bucket before this one."""
-    sigs, bucket, side = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(4).to_numpy()
-    home = batch.column(3).to_numpy().astype(np.uint64)
-    split = np.unique(batch.column(5).flatten().to_numpy().astype(np.uint64))
+def _lists(column: pa.Array, pad: int) -> np.ndarray:
+    """The sorted values of each row's list, as rows of a matrix filled up with pad."""
+    at = np.concatenate(([0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
+    n, values = np.diff(at), column.flatten().to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.full((len(n), max(1, int(n.max(initial=0)))), pad)
+    out[row, np.arange(len(values)) - at[row]] = values[np.lexsort((values, row))]
+    return out
+
+
+def _here(groups: pa.Array, i: np.ndarray, j: np.ndarray, home: np.ndarray, grouped: np.ndarray) -> np.ndarray:
+    """Which pairs belong to their bucket as far as groups tell: those whose least common group it is of, or that have none."""
+    of_i, of_j = _lists(groups, np.iinfo(np.int64).min), _lists(groups, np.iinfo(np.int64).max)
+    here, step = np.zeros(len(i), dtype=bool), max(1, (1 << 21) // of_i.shape[1] ** 2)
+    for lo in range(0, len(i), step):
+        a, own = of_i[i[lo : lo + step]], home[i[lo : lo + step]]
+        common = (a[:, :, None] == of_j[j[lo : lo + step]][:, None, :]).any(axis=2)
+        least = a[np.arange(len(a)), common.argmax(axis=1)]
+        here[lo : lo + step] = np.where(grouped[i[lo : lo + step]], least == own, ~common.any(axis=1))
+    return here
+
+
+def _candidates(batch: pa.RecordBatch, salts: np.ndarray, depth: int, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a batch of leaves that agree often enough, are of sizes near enough, and belong to this bucket."""
+    sigs, size, bucket, home, side = _matrix(batch.column(1)), *[batch.column(k).to_numpy() for k in (2, 3, 4, 5)]
+    grouped, split = batch.column(6).to_numpy(zero_copy_only=False), np.unique(batch.column(7).flatten().to_numpy().astype(np.uint64))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     need = least * WIDTH
     for i, j in _pairs(bucket, side):
+        near = np.minimum(size[i], size[j]) >= (threshold - 1e-9) * np.maximum(size[i], size[j])
+        i, j = i[near], j[near]
         agree = np.zeros(len(i), np.int64)
         for lo in range(0, len(i), 8192):
             agree[lo : lo + 8192] = (sigs[i[lo : lo + 8192]] == sigs[j[lo : lo + 8192]]).sum(axis=1)
         i, j = i[agree >= need], j[agree >= need]
+        here = _here(batch.column(8), i, j, home, grouped)
+        i, j = i[here], j[here]
+        out.append((i[grouped[i]], j[grouped[i]]))
+        i, j = i[~grouped[i]], j[~grouped[i]]
         rows, number = np.unique(i, return_inverse=True)
         for lo, hi in chunks(np.arange(0, len(rows) + 1), 128):
             edges = np.searchsorted(number, np.arange(lo, hi + 1))
-            for k, (keys, places) in enumerate(_paths(sigs[rows[lo:hi]], split, salts)):
+            for k, (keys, places) in enumerate(_paths(sigs[rows[lo:hi]], split, salts, depth, threshold)):
                 row, to = rows[lo + k], j[edges[k] : edges[k + 1]]
-                before = places[: int(np.argmax(keys == home[row]))]
+                before = places[: int(np.argmax(keys == home[row].astype(np.uint64)))]
                 for some in (before[:3], before[3:]):
                     if len(some) and len(to):
                         same = sigs[to] == sigs[row]
@@ -295,28 +361,28 @@ def _candidates(batch: pa.RecordBatch, salts: np.ndarray, least: float) -> tuple
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _kept(leaves: DataFrame, salts: np.ndarray, least: float) -> DataFrame:
+def _kept(leaves: DataFrame, salts: np.ndarray, depth: int, least: float, threshold: float) -> DataFrame:
     """The rows of leaf buckets that have a candidate in theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, 2):
-            i, j = _candidates(batch, salts, least)
+        for batch in _groups(batches, 3):
+            i, j = _candidates(batch, salts, depth, least, threshold)
             yield batch.take(pa.array(np.unique(np.concatenate((i, j)))))
 
     ordered = leaves.repartition("bucket").sortWithinPartitions("bucket", "fp")
     return ordered.mapInArrow(run, leaves.schema)
 
 
-def _links(kept: DataFrame, salts: np.ndarray, least: float, threshold: float) -> DataFrame:
+def _links(kept: DataFrame, salts: np.ndarray, depth: int, least: float, threshold: float) -> DataFrame:
     """a, b and n for each node with links in a bucket: b is the node that stands for its part of the bucket's links, n
     the number of its links there. kept: leaves with the shingles of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, 2):
-            i, j = _candidates(batch, salts, least)
-            order, bucket = np.lexsort((j, i)), batch.column(2).to_numpy()
+        for batch in _groups(batches, 3):
+            i, j = _candidates(batch, salts, depth, least, threshold)
+            order, bucket = np.lexsort((j, i)), batch.column(3).to_numpy()
             i, j = i[order], j[order]
-            data, at = raw(batch.column(6))
+            data, at = raw(batch.column(9))
             values, at = np.frombuffer(data.tobytes(), np.uint64), at // 8
             shared = np.zeros(len(i), np.int64)
             for lo, hi in _spans(bucket[i]):
@@ -394,10 +460,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     salts = _run_salts(runs := runs_for(recall, threshold))
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / WIDTH)
     signed = written(_signed(docs, key, text), "signed")
-    nodes = written(signed.groupBy("fp").agg(F.min("id").alias("id"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
-    kept = written(_kept(_leaves(nodes.filter(F.col("sig").isNotNull()), runs), salts, least), "kept")
+    nodes = written(signed.groupBy("fp").agg(F.min("id").alias("id"), F.first("sig", ignorenulls=True).alias("sig"), F.max("size").alias("size")), "nodes")
+    leaves, depth = _leaves(nodes.filter(F.col("sig").isNotNull()), runs, threshold)
+    kept = written(_kept(leaves, salts, depth, least, threshold), "kept")
     sets = _shingled(docs, nodes, kept.select("fp").distinct(), key, text)
-    links = written(_links(kept.join(sets.hint("merge"), "fp").select(*kept.columns, "shingles"), salts, least, threshold), "links")
+    links = written(_links(kept.join(sets.hint("merge"), "fp").select(*kept.columns, "shingles"), salts, depth, least, threshold), "links")
     roots = components(links)
     degree = links.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
     linked = written(roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "id").hint("merge"), "fp"), "linked")
