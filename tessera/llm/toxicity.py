@@ -1,12 +1,14 @@
 """Toxicity scores of a factorization machine over hashed terms.
 
 A text's terms are its words, split at white space and ASCII punctuation and lower-cased in ASCII, and their prefixes
-of four and five bytes, which stand for stems. Each distinct term counts once, so a score doesn't depend on a text's
+of four, six and eight bytes, which stand for stems. Each distinct term counts once, so a score doesn't depend on a text's
 length. The machine has a weight and a short vector for each hashed term: the dot products of the vectors are the
-weights of pairs of terms, which an additive model lacks. It is fitted by AdaGrad on a bounded labelled sample and
-moved to the share of label 1 among all rows learned from. How fast vectors move and decay and how many epochs there
-are is chosen by cross-validation inside that sample, so pairs weigh as much as they help. Terms in fewer than MIN_ROWS rows of the sample have no
-weight. A text without terms, empty or null, gets the score of the intercept.
+weights of pairs of terms, which an additive model lacks. The sum over pairs is divided by the root of the number of terms, since a long
+text has more pairs than a short one by the square of its length, most of them of words that say nothing. Weights start from
+a part of the terms' log ratios of rows between the classes, less a standard error, so that rare telling terms count; vectors start from
+small random values. The machine is fitted by AdaGrad on a bounded labelled sample and moved to the share of label 1
+among all rows learned from. Terms in fewer than MIN_ROWS rows of the sample have no weight and aren't counted. The
+settings were chosen by cross-validation among rows outside the held-out fold. A text without terms, empty or null, gets the score of the intercept.
 """
 
 from __future__ import annotations
@@ -21,20 +23,20 @@ from tessera.llm.text import PUNCTUATION, mix, terms
 
 FACTORS = 6
 EPOCHS = 14
-BATCH = 250
+BATCH = 100
 MIN_ROWS = 10
-STEP = 1.2
-DECAY = 1e-6
-VECTOR_STEP = 0.002
-VECTOR_DECAY = 1e-2
-#: Vector steps, vector decays and epochs that `tuned` chooses from: from pairs that hardly move to pairs that 70 steps teach.
-SETTINGS = ((VECTOR_STEP, VECTOR_DECAY, EPOCHS), (0.01, 1e-3, 20), (0.03, 1e-3, 14))
-FOLDS = 3
+STEP = 0.1
+DECAY = 1e-4
+BIAS_STEP = 0.3
+VECTOR_STEP = 0.1
+VECTOR_DECAY = 1e-4
+#: The share of the log ratios that weights start from, and the deviation of the vectors' first values.
+RATIO, START = 0.4, 0.05
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and prefixes, and their rows."""
-    ends, words, *stems = terms(data, at, gaps=PUNCTUATION, prefixes=(4, 5))
+    ends, words, *stems = terms(data, at, gaps=PUNCTUATION, prefixes=(4, 6, 8))
     row = np.repeat(np.arange(len(at) - 1), np.diff(ends))
     out, rows = [words], [row]
     for h in stems:
@@ -46,7 +48,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """bias + sum of weights + sum over pairs of terms of the dot products of their vectors."""
+    """bias + sum of weights + sum over pairs of n terms of the dot products of their vectors, divided by the root of n."""
 
     bias: float
     weights: np.ndarray
@@ -60,16 +62,26 @@ class Machine:
             heads = np.flatnonzero(np.diff(row, prepend=-1))
             v = self.vectors[bucket]
             both = np.square(np.add.reduceat(v, heads, axis=0)) - np.add.reduceat(v * v, heads, axis=0)
-            out[row[heads]] += 0.5 * both.sum(axis=1)
+            out[row[heads]] += 0.5 * both.sum(axis=1) / np.sqrt(np.diff(np.append(heads, len(row))))
         return out
 
     def scores(self, row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         return sigmoid(self.margins(row, bucket, n))
 
 
-def fit(learned: Sample, factors: int = FACTORS, epochs: int = EPOCHS, step: float | None = None, decay: float | None = None) -> Machine:
+def ratios(term: np.ndarray, label: np.ndarray, m: int, ones: float, n: int) -> np.ndarray:
+    """For each of m terms the log ratio of the shares of rows with it among those of label 1 and 0, a standard error nearer to
+    zero; 0 where a class has no rows."""
+    zeros = n - ones
+    if not ones or not zeros:
+        return np.zeros(m)
+    one, zero = np.bincount(term[label == 1], minlength=m) + 1, np.bincount(term[label == 0], minlength=m) + zeros / ones
+    ratio = np.log(one / (ones + 2)) - np.log(zero / (zeros + 2 * zeros / ones))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - np.sqrt(1 / one + 1 / zero), 0)
+
+
+def fit(learned: Sample, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     """A machine for the sample; the order of rows and the first vectors come from a fixed seed."""
-    step, decay = VECTOR_STEP if step is None else step, VECTOR_DECAY if decay is None else decay
     n, rng = len(learned.labels), np.random.default_rng(7)
     kept, place = np.unique(learned.buckets, return_inverse=True)
     often = np.bincount(place, minlength=len(kept)) >= MIN_ROWS
@@ -78,9 +90,10 @@ def fit(learned: Sample, factors: int = FACTORS, epochs: int = EPOCHS, step: flo
     row, term = learned.rows[use], number[place[use]]
     at = np.searchsorted(row, np.arange(n + 1))
     m = int(often.sum())
-    w, v, b = np.zeros(m, np.float32), rng.normal(0, 0.01, (m, factors)).astype(np.float32), 0.0
-    gw, gv, gb = np.full(m, 1e-2, np.float32), np.full((m, factors), 1e-2, np.float32), 1e-2
     y = learned.labels.astype(np.float32)
+    first = (RATIO * ratios(term, y[row], m, float(y.sum()), n)).astype(np.float32)
+    w, v, b = first.copy(), rng.normal(0, START, (m, factors)).astype(np.float32), log_odds(float(y.mean())) if n else 0.0
+    gw, gv, gb = np.full(m, 1e-2, np.float32), np.full((m, factors), 1e-2, np.float32), 1e-2
     for _ in range(epochs if n else 0):
         order = rng.permutation(n)
         for lo in range(0, n, BATCH):
@@ -89,17 +102,18 @@ def fit(learned: Sample, factors: int = FACTORS, epochs: int = EPOCHS, step: flo
             for i, r in enumerate(pick):
                 x[i, term[at[r] : at[r + 1]]] = 1
             s = x @ v
-            margin = b + x @ w + 0.5 * (np.square(s).sum(1) - (x @ (v * v)).sum(1))
+            share = (1 / np.sqrt(np.maximum(at[pick + 1] - at[pick], 1))).astype(np.float32)
+            margin = b + x @ w + 0.5 * share * (np.square(s).sum(1) - (x @ (v * v)).sum(1))
             g = ((sigmoid(margin) - y[pick]) / len(pick)).astype(np.float32)
-            pull = x.T @ g
-            dw = pull + DECAY * w
-            dv = x.T @ (g[:, None] * s) - pull[:, None] * v + decay * v
+            pull = g * share
+            dw = x.T @ g + DECAY * (w - first)
+            dv = x.T @ (pull[:, None] * s) - (x.T @ pull)[:, None] * v + VECTOR_DECAY * v
             gw += dw * dw
             gv += dv * dv
             gb += float(g.sum()) ** 2
             w -= STEP * dw / np.sqrt(gw)
-            v -= step * dv / np.sqrt(gv)
-            b -= STEP * float(g.sum()) / gb**0.5
+            v -= VECTOR_STEP * dv / np.sqrt(gv)
+            b -= BIAS_STEP * float(g.sum()) / gb**0.5
     if n:
         b += log_odds(learned.prior) - log_odds(float(y.mean()))
     weights, vectors = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, factors), np.float32)
@@ -108,38 +122,12 @@ def fit(learned: Sample, factors: int = FACTORS, epochs: int = EPOCHS, step: flo
     return Machine(b, weights, vectors)
 
 
-def part(learned: Sample, rows: np.ndarray) -> Sample:
-    """Some rows of a sample, with their own share of label 1."""
-    parts, labels = [learned.buckets[learned.at[i] : learned.at[i + 1]] for i in rows], learned.labels[rows]
-    at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    return Sample(np.concatenate(parts) if parts else learned.buckets[:0], at, labels, float(labels.mean()) if len(rows) else 0.5)
-
-
-def losses(learned: Sample, factors: int = FACTORS) -> list[float]:
-    """Of each of SETTINGS, the log loss of the sample's rows, each by a machine of the other folds."""
-    folds, out = np.random.default_rng(5).permutation(len(learned.labels)) % FOLDS, []
-    for step, decay, epochs in SETTINGS:
-        total = 0.0
-        for k in range(FOLDS):
-            machine, rest = fit(part(learned, np.flatnonzero(folds != k)), factors, epochs, step, decay), part(learned, np.flatnonzero(folds == k))
-            p = machine.scores(rest.rows, rest.buckets.astype(np.int64), len(rest.labels))
-            total -= float(np.log(np.where(rest.labels == 1, p, 1 - p)).sum())
-        out.append(total / max(len(learned.labels), 1))
-    return out
-
-
-def tuned(learned: Sample) -> Machine:
-    """A machine for the sample by the one of SETTINGS that does best on rows of the sample it wasn't fitted on."""
-    step, decay, epochs = SETTINGS[int(np.argmin(losses(learned)))]
-    return fit(learned, epochs=epochs, step=step, decay=decay)
-
-
 def train(docs: DataFrame, labels: DataFrame, learned: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> Machine:
     """The machine of at most `limit` rows of each class among the labelled ones for which `learned` holds."""
-    return tuned(sample(docs, labels, key, text, label, learned, features, limit))
+    return fit(sample(docs, labels, key, text, label, learned, features, limit))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of each text. What is sent to executors has a fixed size, that of BUCKETS vectors."""
+    """docs with a score from 0 to 1 of each text; a column that has the score's name already is replaced. What is sent to executors has a fixed size, that of BUCKETS vectors."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return scored(docs, text, features, lambda row, bucket, n: shared.value.scores(row, bucket, n), name)
