@@ -124,8 +124,20 @@ class EliasFano:
         place = self._select(self.ones, index, False)
         return ((place - index).astype(np.uint64) << self.shift) | self._low(index)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 for those that the sequence hasn't."""
+    def pairs(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements at index and those after them; the second ones' bits are mostly in the word after the first ones'."""
+        index = np.asarray(index, np.int64)
+        place = self._select(self.ones, index, False)
+        at = place + 1
+        word = self.windows[at >> 3] >> (at & 7).astype(np.uint64)
+        after = at + np.bitwise_count((word & (~word + _ONE)) - _ONE)
+        if len(far := np.flatnonzero(word == 0)):
+            after[far] = self._select(self.ones, index[far] + 1, False)
+        return ((place - index).astype(np.uint64) << self.shift) | self._low(index), ((after - index - 1).astype(np.uint64) << self.shift) | self._low(index + 1)
+
+    def find(self, values: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The index of each value, -1 for those that the sequence hasn't, -2 for those not met among the first `most` elements
+        with their high part."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -136,10 +148,14 @@ class EliasFano:
         at = np.zeros(len(high), np.int64)
         more = np.flatnonzero(high)
         at[more] = self._select(self.zeros, high[more] - 1, True) + 1
-        open_ = np.arange(len(inside))
+        open_, looked = np.arange(len(inside)), 0
         while len(open_):
             bit = (self.high[at[open_] >> 3] >> (at[open_] & 7).astype(np.uint8)) & 1
             open_ = open_[bit == 1]
+            if looked == most:
+                out[inside[open_]] = -2
+                break
+            looked += 1
             index = at[open_] - high[open_]
             same = self._low(index) == low[open_]
             out[inside[open_[same]]] = index[same]

@@ -11,10 +11,13 @@ among the children of the context's node. Probabilities and back-off weights are
 Probabilities are Witten-Bell interpolated: p(w | c) = (n(c, w) + t(c) p(w | c')) / (n(c) + t(c)), with t(c) the number
 of different words after c and c' the context without its first word; below all is (n(w) + 1) / (N + V + 1).
 
-Counting: each task counts the n-grams of its part, and sends them as packed arrays to the shard that their range of
-nodes has; a shard merges what it gets and writes its level to a file in the shared folder, whose place and size is all
-that reaches the driver. Shards follow the input's size, levels are mapped into memory by those who score, so neither
-the model nor a count is held as a whole by anyone. An n-gram's count and the tree hold all rows learned from.
+Counting: each task counts the n-grams of its part, and sends them as packed arrays to the part of a shard that their
+node and a hash give. A part merges what it gets, so that the counts that all tasks have of a frequent context's n-grams meet in as
+many places as its weight asks for; a shard then merges distinct n-grams only, and writes its level to a file in the shared
+folder, whose place and size is all that reaches the driver. Shards are cut by the counts of their nodes, which bound the n-grams
+below them, and follow the input's size; a context lies in one shard, so a shard has at most as many n-grams as its share of the
+tokens or, for a single context, as there are words. Levels are mapped into memory by those who score, so neither the model nor a count is held as a whole by
+anyone. An n-gram's count and the tree hold all rows learned from.
 """
 
 from __future__ import annotations
@@ -37,10 +40,14 @@ ORDER = 2
 STEPS = 24
 #: Bytes of text learned from for each shard of a level.
 SHARD_BYTES = 32 << 20
+#: Bytes of text that a token stands for, where shards are weighed.
+TOKEN_BYTES = 6
 #: Bytes of text that are looked up at once, so that each shard gets many lookups at a time.
 CHUNK_BYTES = 3 << 19
 #: Different n-grams that a task holds before it sends them.
 HELD = 1 << 20
+#: Children of a node up to which they count as few.
+FEW = 6
 END = mix(np.array([0x5EED], np.uint64))[0]
 
 
@@ -122,12 +129,15 @@ def children(model: Model, depth: int, nodes: np.ndarray, ids: np.ndarray) -> tu
         at, arrays = inside[part], load(level.files[k])
         own = nodes[at] - int(level.edges[k])
         back[at] = _value(arrays["back"][own])
-        # Nodes without children have no back-off weight; the others' children lie between two pointers.
+        # Nodes without children have no back-off weight; the others' children lie between two pointers. Where nodes have few
+        # children, the high part of a context's child leads to it, and pointers are for contexts with many.
         use = (ids[at] >= 0) & (arrays["back"][own] > 0)
         at, own = at[use], own[use]
-        pointers = EliasFano.read(arrays, "pointers")
-        base, (lo, hi) = own * model.words, pointers.get(np.concatenate((own, own + 1))).astype(np.int64).reshape(2, -1)
-        found = EliasFano.read(arrays, "keys").search(base + ids[at], lo, hi, base, base + model.words - 1)
+        base, keys = own * model.words, EliasFano.read(arrays, "keys")
+        found = keys.find(base + ids[at], FEW) if keys.n < FEW * len(arrays["back"]) else np.full(len(at), -2)
+        many = np.flatnonzero(found == -2)
+        lo, hi = (x.astype(np.int64) for x in EliasFano.read(arrays, "pointers").pairs(own[many]))
+        found[many] = keys.search(base[many] + ids[at[many]], lo, hi, base[many], base[many] + model.words - 1)
         hit = found >= 0
         out[at[hit]] = found[hit] + level.first[k]
         logs[at[hit]] = _value(arrays["logs"][found[hit]])
@@ -194,17 +204,44 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[heads], np.add.reduceat(count, heads) if len(heads) else count
 
 
-def _counted(docs: DataFrame, text: str, keys: Callable, shard: Callable, n: int) -> DataFrame:
-    """shard, keys and counts, packed: the partial counts that tasks make of texts."""
-    at = column(docs, text)
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: what is alike lies together and packs well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(data: np.ndarray, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+_PACKED = "part int, shard int, keys binary, counts binary"
+
+
+def _packed(groups: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of part, shard, rising keys as differences, and counts."""
+    part, shard, keys, counts = zip(*groups, strict=True) if groups else ([], [], [], [])
+    keys = [_planes(np.diff(k, prepend=np.uint64(0))) for k in keys]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array([_planes(c.astype(np.int64)) for c in counts], pa.binary())], names=["part", "shard", "keys", "counts"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    (keys, at), (counts, ends) = raw(batch.column(2)), raw(batch.column(3))
+    for i, (part, shard) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        yield part, shard, np.cumsum(_values(keys[at[i] : at[i + 1]], np.uint64)), _values(counts[ends[i] : ends[i + 1]], np.int64)
+
+
+def _counted(docs: DataFrame, text: str, keys: Callable, shard: Callable, parts: np.ndarray) -> DataFrame:
+    """The distinct n-grams of texts with their counts, packed by shard; parts: how many parts each shard has."""
+    at, first = column(docs, text), np.concatenate(([0], np.cumsum(parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
 
         def sent() -> Iterator[pa.RecordBatch]:
             key, count = _summed(*held)
-            parts = list(_each(shard(key)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([key[p].tobytes() for _, p in parts], pa.binary()), pa.array([count[p].astype(np.uint32).tobytes() for _, p in parts], pa.binary())], names=["shard", "keys", "counts"])
+            own = shard(key)
+            part = first[own] + (mix(key.copy()) % parts[own].astype(np.uint64)).astype(np.int64)
+            yield _packed([(k, int(own[p[0]]), key[p], count[p]) for k, p in _each(part)])
 
         for batch in steps(batches):
             for _, _, words, row in _texts(*raw(batch.column(at))):
@@ -220,36 +257,63 @@ def _counted(docs: DataFrame, text: str, keys: Callable, shard: Callable, n: int
         if held[0]:
             yield from sent()
 
-    return docs.mapInArrow(run, "shard int, keys binary, counts binary").repartition(n, "shard").sortWithinPartitions("shard")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            for _, own, key, count in _unpacked(batch):
+                keys, counts = held.setdefault(own, ([], []))
+                keys.append(key)
+                counts.append(count)
+        for own in list(held):
+            key, count = _summed(*held.pop(own))
+            for lo in range(0, len(key), HELD):
+                yield _packed([(0, own, key[lo : lo + HELD], count[lo : lo + HELD])])
+
+    made = docs.mapInArrow(run, _PACKED)
+    if parts.max() > 1:
+        made = made.repartitionById(int(first[-1]), F.col("part")).mapInArrow(merged, _PACKED)
+    return made.repartitionById(len(parts), F.col("shard")).sortWithinPartitions("shard")
 
 
-def _built(parts: DataFrame, name: str, build: Callable) -> list:
-    """shard, file, size and total of each shard: what build(shard, keys, counts) makes of its counts."""
+def _built(grams: DataFrame, name: str, build: Callable, weight: int) -> list:
+    """shard, file, size, total and cuts of each shard: what build(shard, keys, counts) makes of its n-grams. cuts: the places of
+    n-grams at which their counts pass a multiple of weight, and the sums of counts up to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, ([], [])
 
         def closed() -> pa.RecordBatch:
-            file, size, total = build(current, *_summed(*held))
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([file]), pa.array([size], pa.int64()), pa.array([total], pa.int64())], names=["shard", "file", "size", "total"])
+            keys, counts = _summed(*held)
+            held[0].clear()
+            held[1].clear()
+            sums = np.cumsum(counts)
+            at = np.concatenate(([0], np.flatnonzero(np.diff(sums // weight)) + 1))
+            cuts = np.stack((at, np.diff(np.append(np.where(at > 0, sums[at - 1], 0), sums[-1])))).astype(np.int64)
+            file, size, total = build(current, keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([file]), pa.array([size], pa.int64()), pa.array([total], pa.int64()), pa.array([cuts.tobytes()], pa.binary())], names=["shard", "file", "size", "total", "cuts"])
 
         for batch in batches:
-            # Packed arrays are used where they are in the batch; only a shard's own are put together.
-            (keys, at), (counts, ends) = raw(batch.column(1)), raw(batch.column(2))
-            for i, shard in enumerate(batch.column(0).to_pylist()):
+            for _, shard, keys, counts in _unpacked(batch):
                 if shard != current:
                     if current is not None:
                         yield closed()
-                    current, held = shard, ([], [])
-                held[0].append(keys[at[i] : at[i + 1]].view(np.uint64))
-                held[1].append(counts[ends[i] : ends[i + 1]].view(np.uint32))
+                    current = shard
+                held[0].append(keys)
+                held[1].append(counts)
         if current is not None:
             yield closed()
 
-    made = written(parts.mapInArrow(run, "shard int, file string, size long, total long"), name)
+    made = written(grams.mapInArrow(run, "shard int, file string, size long, total long, cuts binary"), name)
     return sorted(made.collect(), key=lambda r: r["shard"])
 
 
+def _cuts(made: list, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first nodes of the shards of the next level, and the weight of each; first: that of each shard of this one."""
+    each = [np.frombuffer(r["cuts"], np.int64).reshape(2, -1) for r in made]
+    nodes = [x[0] + k for x, k in zip(each, first, strict=True)]
+    return np.append(np.concatenate(nodes), first[-1] + made[-1]["size"]).astype(np.uint64), np.concatenate([x[1] for x in each])
+
+
 def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """The model of all rows of docs."""
     spark, docs = docs.sparkSession, docs.select(text)
@@ -264,7 +328,9 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         arrays = EliasFano.of(keys - cut[shard], width).arrays("keys") | {"counts": counts}
         return save(folder, arrays), len(keys), int(counts.sum())
 
-    made = _built(_counted(docs, text, lambda words, row: words, lambda keys: _range_of(cut, keys), n), "words", vocabulary)
+    grams = _counted(docs, text, lambda words, row: words, lambda keys: _range_of(cut, keys), np.ones(n, np.int64))
+    weight = max(1, size // n // TOKEN_BYTES)
+    made = _built(grams, "words", vocabulary, weight)
     if not made:
         empty = save(folder, EliasFano.of(np.zeros(0, np.uint64), 1).arrays("keys") | {"counts": np.zeros(0, np.int64)})
         return Model(1, 0, [Level([empty], np.array([0, 0]), np.array([0, (1 << 64) - 1], np.uint64))])
@@ -272,27 +338,31 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     edges[0] = cut[made[0]["shard"]]
     model = Model(1, sum(r["total"] for r in made), [Level([r["file"] for r in made], np.concatenate(([0], np.cumsum([r["size"] for r in made]))), edges)])
     for depth in range(2, order + 1):
-        _grow(docs, text, model, depth, n, folder)
+        made = _grow(docs, text, model, depth, *_cuts(made, model.levels[-1].first[[r["shard"] if depth > 2 else k for k, r in enumerate(made)]]), weight, folder)
     return model
 
 
-def _grow(docs: DataFrame, text: str, model: Model, depth: int, n: int, folder: str) -> None:
-    """Give model the level `depth`."""
+def _ends(model: Model, most: int) -> list[int]:
+    """The nodes of one end, two ends and so on."""
+    end = numbers(model, np.array([END]))[0]
+    nodes = [end]
+    for depth in range(2, most + 1):
+        nodes.append(children(model, depth, nodes[-1], end)[0])
+    return [int(x[0]) for x in nodes]
+
+
+def _grow(docs: DataFrame, text: str, model: Model, depth: int, cut: np.ndarray, weights: np.ndarray, weight: int, folder: str) -> list:
+    """Give model the level `depth`, in shards of the nodes from each of cut to the next; what _built() returns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    parents, words = model.levels[-1].size, np.uint64(model.words)
-    cut = np.unique(np.array([parents * k // n for k in range(n + 1)], np.uint64))
+    words = np.uint64(model.words)
 
     def keys(tokens_: np.ndarray, row: np.ndarray) -> np.ndarray:
         known = shared.value
         ids, _ = numbers(known, tokens_)
-        node, before = ids, ids
-        end = int(numbers(known, np.array([END]))[0][0])
-        nodes = [_contexts(ids, row, end)]
-        for _ in range(2, depth):
-            nodes.append(_contexts(nodes[-1], row, end))
-        node = nodes.pop()
+        ends, node = _ends(known, depth - 1), ids
         for d in range(2, depth):
-            node = children(known, d, node, nodes.pop())[0]
+            node = children(known, d, _contexts(node, row, ends[d - 2]), ids)[0]
+        node = _contexts(node, row, ends[-1])
         return (node[node >= 0].astype(np.uint64) * words + ids[node >= 0].astype(np.uint64))
 
     def level(shard: int, keys: np.ndarray, counts: np.ndarray) -> tuple[str, int, int]:
@@ -312,7 +382,8 @@ def _grow(docs: DataFrame, text: str, model: Model, depth: int, n: int, folder:
         arrays |= EliasFano.of(pointers.astype(np.uint64), len(keys) + 1).arrays("pointers") | {"logs": _code(logs), "back": back}
         return save(folder, arrays), len(keys), int(counts.sum())
 
-    made = _built(_counted(docs, text, keys, lambda k: _range_of(cut, k // words), len(cut) - 1), f"grams-{depth}", level)
+    parts = -(-weights // weight)
+    made = _built(_counted(docs, text, keys, lambda k: _range_of(cut, k // words), parts), f"grams-{depth}", level, weight)
     by_shard = {r["shard"]: r for r in made}
     files, sizes = [], []
     for k in range(len(cut) - 1):
@@ -325,13 +396,15 @@ def _grow(docs: DataFrame, text: str, model: Model, depth: int, n: int, folder:
             sizes.append(0)
     model.levels.append(Level(files, np.concatenate(([0], np.cumsum(sizes))), cut))
     model.order = depth
+    return made
 
 
 def _lower(model: Model, depth: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
     """log10 p(word | words of the node but the first), for nodes of level depth - 1 whose children the words are."""
     if depth == 2:
         return _base(model, counts_of(model, word))
-    return children(model, depth - 1, _suffix(model, depth - 1, node), word)[1]
+    heads = np.flatnonzero(np.diff(node, prepend=-1))
+    return children(model, depth - 1, np.repeat(_suffix(model, depth - 1, node[heads]), np.diff(np.append(heads, len(node)))), word)[1]
 
 
 def log_probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -339,16 +412,11 @@ def log_probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, row: np
     out = _base(model, counts)
     if model.order < 2:
         return out
-    end = int(numbers(model, np.array([END]))[0][0])
-    before = [ids]
-    for _ in range(model.order - 1):
-        before.append(_contexts(before[-1], row, end))
-    for depth in range(2, model.order + 1):
-        node = before[depth - 1]
-        for d in range(2, depth):
-            node = children(model, d, node, before[depth - d])[0]
-        child, logs, back = children(model, depth, node, ids)
-        out = np.where(child >= 0, logs, back + out)
+    # What a token ends at one level is what the token after it has for a context at the next.
+    nodes = ids
+    for depth, end in enumerate(_ends(model, model.order - 1), 2):
+        nodes, logs, back = children(model, depth, _contexts(nodes, row, end), ids)
+        out = np.where(nodes >= 0, logs, back + out)
     return out
 
 
