@@ -9,7 +9,7 @@ is ever gathered in one place. Arguments are exploded and joined to their schema
 Repeated rows count once. Of different calls or results with one id the first by turn, then by a hash of its content,
 counts, the others are `repeated`. Calls on a cycle, and those that wait for one, have no level and the status `cyclic`; a call without a
 result is `pending`, a result without a call `orphan`. Arguments that aren't a JSON object give the error `not an object`.
-Nulls: a row without a conversation or call id is linked to nothing.
+Nulls: a row without a conversation or call id is linked to nothing. Other columns have no part in the result, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ CALL = "tool_calls array<struct<id string, name string, arguments string, after
 RESULT = "tool_call_id string, content string"
 #: Most rows of a schema table that is sent to all executors; a larger one is joined by key.
 SENT_SCHEMAS = 10_000
-ROUNDS = 1000
 
 
 def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,15 +90,13 @@ def levels(calls: DataFrame) -> DataFrame:
         end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("chained").isNull(), F.col("needs"))
         left = written(steps.select(*key, end.alias("end"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "left")
         found = written(roots, "levels")
-        for _ in range(ROUNDS):
+        while True:  # each round frees a call at least, or is the last
             met = left.join(found.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"], "left")
             freed = met.groupBy(*key).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("steps")).alias("level")).filter("open = 0").select(*key, "level")
             freed = written(freed, "freed")
             if not freed.head(1):
                 break
             left, found = written(left.join(freed, key, "left_anti"), "left"), written(found.unionByName(freed), "levels")
-        else:
-            raise RuntimeError(f"more than {ROUNDS} calls that wait for several in a chain")
     chained = ends.join(found.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
     return written(found.unionByName(chained), "levels")
 

@@ -14,6 +14,7 @@ Sketches are sent to all executors in blocks of BLOCK_BYTES of items' texts; mor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.frames import bounded, column, steps, with_arrays
+from tessera.llm.frames import bounded, column, steps, unused, with_arrays
 from tessera.llm.text import SHINGLE, chunks, mix, raw, shingles, tokens
 
 LEAST = 0.8
@@ -86,22 +87,21 @@ class Items:
         return [(lo + r, i, shared) for lo, hi in chunks(at) for r, i, shared in self.search(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])]
 
 
-def blocks(items: DataFrame, key: str, text: str, least: float = LEAST) -> list[Items]:
-    """The items in blocks of about BLOCK_BYTES of text."""
+def blocks(items: DataFrame, key: str, text: str, least: float = LEAST) -> Iterator[Items]:
+    """The items in blocks of about BLOCK_BYTES of text, of which the driver holds one at a time."""
     size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    parts = items.select(key, text).withColumn("_block", F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n)))
-    made = []
+    block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n))
     for k in range(n):
-        rows = sorted(((r[0], r[1]) for r in parts.filter(F.col("_block") == k).collect()), key=lambda r: (str(r[0]), r[1] or ""))
-        made.append(Items([r[0] for r in rows], [r[1] for r in rows], least))
-    return made
+        rows = sorted(((r[0], r[1]) for r in items.filter(block == k).select(key, text).collect()), key=lambda r: (str(r[0]), r[1] or ""))
+        yield Items([r[0] for r in rows], [r[1] for r in rows], least)
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each document and item that it holds: their keys, shared and n_shingles of the item, containment.
 
-    Rows that repeat a key are documents or items of their own. Null texts hold nothing and are in nothing.
+    Rows that repeat a key are documents or items of their own. Null texts hold nothing and are in nothing. Other
+    columns of docs and items have no part in the result.
     """
     bounded(spark := docs.sparkSession)
     docs = docs.select(key, text)
@@ -125,8 +125,8 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no item, with their columns as they are."""
-    out, names = docs, docs.columns
+    """The rows of docs that hold no item, with their columns as they are, whatever they are called."""
+    out, names, flag = docs, docs.columns, unused(docs, "holds_item")
     for block in blocks(items, item_key, item_text, least):
         shared, at = docs.sparkSession.sparkContext.broadcast(block), column(docs, text)
 
@@ -135,5 +135,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
             flags[[r for r, _, _ in shared.value.search_column(batch.column(at))]] = True
             return [pa.array(flags)]
 
-        out = with_arrays(out, held, [T.StructField("_holds_item", T.BooleanType())]).filter(~F.col("_holds_item")).select(*names)
+        out = with_arrays(out, held, [T.StructField(flag, T.BooleanType())]).filter(~F.col(flag)).select(*names)
     return out

@@ -49,3 +49,11 @@ def with_arrays(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields
 def column(df: DataFrame, name: str) -> int:
     """The place of the column called name."""
     return df.columns.index(name)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

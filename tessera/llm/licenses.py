@@ -28,6 +28,8 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import unused
+
 MATCH = 0.6
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Short forms of notices, as files carry them.
@@ -147,18 +149,21 @@ def directory(path: Column) -> Column:
 def inherited(files: DataFrame, path: str = "path", own: str = "own_license", declared: Column | None = None) -> DataFrame:
     """files with `license` (their own or the inherited) and `inherited_from` (the directory, null if their own or none)."""
     declared = declares(F.col(path)) if declared is None else declared
-    files = files.withColumn("_dir", directory(F.col(path)))
-    given = files.filter(F.col(own).isNotNull() & declared & F.col("_dir").isNotNull()).groupBy("_dir").agg(F.min(F.struct(path, own)).alias("first"))
-    given = given.select(F.col("_dir").alias("above"), F.col(f"first.{own}").alias("theirs"))
-    parts = F.split("_dir", "/")
-    above = F.transform(F.sequence(F.lit(0), F.when(F.col("_dir") == "", 0).otherwise(F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    folders = files.select("_dir").filter("_dir IS NOT NULL").distinct().select("_dir", F.posexplode(above).alias("depth", "above"))
-    nearest = folders.join(given, "above").groupBy("_dir").agg(F.max(F.struct("depth", "above", "theirs")).alias("near"))
-    joined = files.join(nearest, "_dir", "left")
-    return joined.select(*[c for c in files.columns if c != "_dir"], F.coalesce(own, "near.theirs").alias("license"), F.when(F.col(own).isNull(), F.col("near.above")).alias("inherited_from"))
+    folder = unused(files, "folder")
+    files = files.withColumn(folder, directory(F.col(path)))
+    given = files.filter(F.col(own).isNotNull() & declared & F.col(folder).isNotNull()).groupBy(F.col(folder).alias("above")).agg(F.min(F.struct(path, own)).alias("first"))
+    given = given.select("above", F.col(f"first.{own}").alias("theirs"))
+    parts = F.split(folder, "/")
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col(folder) == "", 0).otherwise(F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = files.select(folder).filter(F.col(folder).isNotNull()).distinct().select(folder, F.posexplode(above).alias("depth", "above"))
+    near = unused(files, "near")
+    nearest = folders.join(given, "above").groupBy(folder).agg(F.max(F.struct("depth", "above", "theirs")).alias(near))
+    joined = files.join(nearest, folder, "left")
+    return joined.select(*[c for c in files.columns if c != folder], F.coalesce(own, f"{near}.theirs").alias("license"), F.when(F.col(own).isNull(), F.col(f"{near}.above")).alias("inherited_from"))
 
 
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", declared: Column | None = None, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """files without their text, with own_license, own_score, license and inherited_from."""
+    """files without their text, with own_license, own_score, license and inherited_from, which replace columns of these names."""
+    files = files.drop("own_license", "own_score", "license", "inherited_from")
     own = declared_by(files, key, text, templates).select(key, F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     return inherited(files.drop(text).join(own, key, "left"), path, declared=declared)

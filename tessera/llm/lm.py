@@ -421,7 +421,7 @@ def log_probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, row: np
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score in place of the text."""
+    """docs with n_tokens, n_known, train_tokens, base_score and score in place of the text; columns that have these names already are replaced."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), column(docs, text)
 
     def compute(batch: pa.RecordBatch) -> list:

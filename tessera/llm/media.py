@@ -119,7 +119,7 @@ def read_png(data: bytes) -> tuple[np.ndarray, int]:
     return pixels, pixels.size if length is None else length
 
 
-@lru_cache(512)
+@lru_cache(16)
 def _cosines(n: int) -> np.ndarray:
     return np.cos(np.pi / (2 * n) * np.outer(np.arange(HASH_SIDE), 2 * np.arange(n) + 1))
 
@@ -132,7 +132,7 @@ def cosine_hash(pixels: np.ndarray) -> bytes:
 
 
 def encode(df: DataFrame, value: str = "text", png: str = "png", size: str = "n_bytes") -> DataFrame:
-    """df with a PNG of each value (a string's UTF-8 or binary) in place of the value, and the value's length in bytes."""
+    """df with a PNG of each value (a string's UTF-8 or binary) in place of the value, and the value's length in bytes. A null is stored as empty; columns that have these names already are replaced."""
     at = column(df, value)
 
     def compute(batch: pa.RecordBatch) -> list:
@@ -143,7 +143,8 @@ def encode(df: DataFrame, value: str = "text", png: str = "png", size: str = "n_
 
 
 def decode(df: DataFrame, png: str = "png") -> DataFrame:
-    """df with what its PNG column holds: pixels (binary, row by row), image_hash (binary, 8 bytes), stored_bytes and error."""
+    """df with what its PNG column holds: pixels (binary, row by row), image_hash (binary, 8 bytes), stored_bytes and error; columns that have these names
+    already are replaced."""
     at = column(df, png)
 
     def compute(batch: pa.RecordBatch) -> list:

@@ -181,6 +181,6 @@ def train(docs: DataFrame, labels: DataFrame, learned: Column, key: str = "doc_i
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of each text. What is sent to executors has a fixed size, that of BUCKETS numbers."""
+    """docs with a score from 0 to 1 of each text; a column that has the score's name already is replaced. What is sent to executors has a fixed size, that of BUCKETS numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, text, features, lambda row, bucket, n: shared.value.scores(row, bucket, n), name)

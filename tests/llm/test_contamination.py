@@ -30,14 +30,22 @@ def test_search_is_complete(spark, monkeypatch):
 def test_clean_keeps_columns_and_clean_rows(spark):
     docs, items = frames(spark)
     held = {d for d, *_ in brute.leaks(DOCS, ITEMS)}
-    out = C.clean(docs.withColumnRenamed("doc_id", "_held").withColumnRenamed("_held", "item_id"), items)
+    out = C.clean(docs.withColumnRenamed("doc_id", "item_id"), items)
     assert out.columns == ["item_id", "text"]
+    named = C.clean(docs.withColumnRenamed("doc_id", "holds_item"), items)
+    assert named.columns == ["holds_item", "text"] and sorted([tuple(r) for r in named.collect()], key=str) == sorted([tuple(r) for r in out.collect()], key=str)
     kept = [(k, t) for k, t in DOCS if not brute.leaks([(k, t)], ITEMS)]
     assert sorted([tuple(r) for r in out.collect()], key=str) == sorted(kept, key=str) and held
     assert C.search(docs.limit(0), items).count() == C.search(docs, items.limit(0)).count() == 0
     assert C.clean(docs, items.limit(0)).count() == len(DOCS)
 
 
+def test_a_very_long_text(spark):
+    docs, items = frames(spark)
+    long = spark.createDataFrame([(1, "word " * 400_000 + ITEM + " tail" * 400_000), (2, "word " * 400_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in C.search(long, items).collect()} == {(1, 1), (1, 5), (1, None), (2, None)}
+
+
 def test_query(spark, sf_dir):
     from tessera.llm.queries import ORACLES, op8_contamination
 

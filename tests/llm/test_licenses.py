@@ -125,3 +125,11 @@ def test_headers_and_full_texts(spark):
 
 def test_every_block_has_a_legal_word():
     assert all(re.search(L.LEGAL, text) for text in L.BLOCKS.values())
+
+
+def test_clashing_names(spark):
+    files = [("a/b.py", "Released under the MIT License.", "x", 1, "y", "z", "v", "w"), ("a/c.py", "none", "x", 2, "y", "z", "v", "w")]
+    df = spark.createDataFrame(files, "path string, text string, own_license string, id int, own_score string, license string, folder string, near string")
+    out = {r.path: r for r in L.scan(df, "id", declared=F.lit(True)).collect()}
+    assert out["a/b.py"].license == out["a/c.py"].license == "MIT" and out["a/c.py"].inherited_from == "a"
+    assert (out["a/c.py"].folder, out["a/c.py"].near, out["a/c.py"].own_license) == ("v", "w", None)

@@ -43,3 +43,11 @@ def test_the_last_stage_decodes(spark, sf_dir):
     docs = spark.createDataFrame(texts, "doc_id long, lang string, source string, text string")
     got = {r.doc_id: r.decoded_sha256 for r in C.STAGES[-1][1](spark, docs, sf_dir).collect()}
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, _, _, t in texts}
+
+
+def test_extra_columns_keep_their_values(spark, sf_dir):
+    rows = [(1, "en", "web", "plain words of a text", 5, "t"), (2, "en", "web", "other words " * 100_000, 6, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, score_of_text int, holds_item string")
+    for _, stage in C.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= set(rows)
