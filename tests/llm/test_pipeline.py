@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline as C
 import public_tokenizers as P
 from tessera.llm import bpe
+from tessera.llm.queries import BPE_RANKS
 from tests.llm import brute
 
 
@@ -25,7 +26,7 @@ def test_stages_take_effect(spark, sf_dir):
             assert ids == {k for k, _ in rows} - {d for d, *_ in brute.leaks(rows, items)}
         sizes.append(len(ids))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0]
-    coder = bpe.Bpe(bpe.read_ranks(C.BPE_RANKS), P.PATTERN)
+    coder = bpe.Bpe(bpe.read_ranks(BPE_RANKS), P.PATTERN)
     texts = {r.doc_id: r.text for r in kept.collect()}
     last = C.STAGES[-1][1](spark, kept, sf_dir).collect()
     assert {r.doc_id: bytes(r.ids) for r in last} == dict(zip(texts, coder.encode(list(texts.values())), strict=True))
