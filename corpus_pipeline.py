@@ -7,48 +7,11 @@ of documents. Models are fitted on the labelled rows among the documents that a
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, nearjoin, quality, toxicity
-from tessera.llm.queries import BPE_RANKS, GOOD_FROM, TOXIC_FROM
+from tessera.llm.pipeline import civil, distinct, encoded, good, unseen
 from tessera.llm.store import written
 
-
-def _scored(docs: DataFrame, scorer, model) -> DataFrame:
-    """docs with a score, and the text as before."""
-    return scorer(docs.withColumn("_text", F.col("text")), model, "_text", "_score")
-
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents with a score below GOOD_FROM go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return _scored(docs, quality.score, model).filter(F.col("_score") >= GOOD_FROM).select(*docs.columns)
-
-
-def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents with a score of at least TOXIC_FROM go."""
-    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return _scored(docs, toxicity.score, machine).filter(F.col("_score") < TOXIC_FROM).select(*docs.columns)
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of near copies the document with the least id stays."""
-    return nearjoin.one_of_each(docs)
-
-
-def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: doc_id, lang and source with the packed ids of the text, their number and a digest of the decoded bytes."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, BPE_RANKS, public_tokenizers.PATTERN).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-
-
 STAGES = [("quality", good), ("toxicity", civil), ("near copies", distinct), ("decontamination", unseen), ("encoding", encoded)]
 #: A trained model and a tokenizer are no SQL.
 ORACLE_SQL = None
