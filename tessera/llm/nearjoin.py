@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.llm.frames import column, steps, with_arrays
-from tessera.llm.store import written
+from tessera.llm.store import discard, written
 from tessera.llm.text import chunks, mix, raw, shingles, tokens
 
 THRESHOLD = 0.8
@@ -198,17 +198,18 @@ def _leaves(nodes: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, i
     rows_out, splits, grouped = [], [], []
     while True:
         sizes = written(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        hot = sizes.filter(F.col("n") > HOT).select("bucket")
-        cold = found.join(F.broadcast(hot), "bucket", "left_anti") if 0 < hot.count() <= SENT_HOT else found
-        rows = cold.join(sizes.filter(F.col("n") <= SMALL).hint("merge"), "bucket")
-        rows_out.append(rows.select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side"), F.lit(False).alias("grouped")))
-        if not sizes.filter(F.col("n") > SMALL).head(1):
+        sized = written(_met(found, sizes, "bucket"), "sized")
+        for table in (found, sizes):
+            discard(table)
+        rows_out.append(sized.filter(F.col("n") <= SMALL).select("fp", "bucket", F.col("bucket").alias("home"), F.lit(0).alias("side"), F.lit(False).alias("grouped")))
+        big = sized.filter(F.col("n") > SMALL)
+        if not big.head(1):
             break
-        big = written(_met(found, sizes.filter(F.col("n") > SMALL), "bucket").drop("n"), "big")
         first = F.min(F.struct(F.xxhash64("fp").alias("place"), "fp")).alias("first")
         kinds = big.groupBy("bucket", "probe").agg(F.count("*").alias("c"), first).groupBy("bucket").agg(F.max("c").alias("mode"), F.sum("c").alias("n"), F.min("first").alias("first"))
         kinds = written(kinds.select("bucket", "n", (F.col("mode") >= ALIKE * F.col("n")).alias("alike"), F.xxhash64("first.fp", F.lit("pivot")).alias("group")), "kinds")
         told = written(_met(big.select("fp", "bucket"), kinds, "bucket").select("fp", "bucket", "alike", "group"), "told")
+        discard(kinds)
         grouped.append(told.filter("alike").select("fp", "group"))
         split = told.filter("NOT alike").select("fp", "bucket")
         if not split.head(1):
