@@ -36,7 +36,7 @@ from tessera.llm.frames import bounded, column, steps, with_arrays
 from tessera.llm.store import fresh_path, written
 from tessera.llm.text import chunks, mix, raw, tokens
 
-ORDER = 3
+ORDER = 2
 STEPS = 24
 #: Bytes of text learned from for each shard of a level.
 SHARD_BYTES = 32 << 20
