@@ -19,6 +19,8 @@ from tessera.operators.graph import cycle_nodes
 
 SYMBOLS = "path string, kind string, name string, parent string, start_line int, end_line int, is_exported boolean, confidence double, error string"
 IMPORTS = "path string, language string, module string, names array<string>, alias string, import_kind string, level int, line int"
+#: Files that are read at once; a tree's files are at most a megabyte each.
+FILES = 64
 CONFIDENCE = {"python": 1.0, "javascript": 0.55, "typescript": 0.55, "go": 0.8}
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 _JS = {
@@ -68,12 +70,12 @@ EXTRACTORS: dict[str, Callable[[str], Iterator[tuple]]] = {
 
 
 def _over(tree: DataFrame, schema: str, each: Callable[[str, str, str], Iterator[tuple]], kinds: list) -> DataFrame:
-    """What `each` makes of path, language and text of each file."""
+    """What `each` makes of path, language and text of each file, FILES of them at a time."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in each(path, language, text or "")]
+        for part in (batch.slice(lo, FILES) for batch in batches for lo in range(0, batch.num_rows, FILES)):
+            rows = [r for path, language, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in each(path, language, text or "")]
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -155,17 +157,19 @@ def _go_imports(text: str) -> Iterator[tuple]:
 IMPORTERS = {"python": _python_imports, "javascript": _js_imports, "typescript": _js_imports, "go": _go_imports}
 
 
-def imports(tree: DataFrame) -> DataFrame:
-    """EXT-14, EXT-15, EXT-16: the imports of files; those of a file that can't be parsed are left out."""
+_IMPORT_KINDS = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+
+def _imports_of(path: str, language: str, text: str) -> list[tuple]:
+    try:
+        return [(path, language, *i) for i in IMPORTERS[language](text)] if language in IMPORTERS else []
+    except (SyntaxError, ValueError, RecursionError):
+        return []
 
-    def each(path: str, language: str, text: str) -> Iterator[tuple]:
-        if language in IMPORTERS:
-            try:
-                yield from [(path, language, *i) for i in IMPORTERS[language](text)]
-            except (SyntaxError, ValueError, RecursionError):
-                return
 
-    return _over(tree, IMPORTS, each, [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32()])
+def imports(tree: DataFrame) -> DataFrame:
+    """EXT-14, EXT-15, EXT-16: the imports of files; those of a file that can't be parsed are left out."""
+    return _over(tree, IMPORTS, _imports_of, _IMPORT_KINDS)
 
 
 def normal(path: str) -> str | None:
@@ -218,19 +222,18 @@ def edges(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> D
     The first candidate that is a file is the target; without one an import is external, unresolved, or, in Python outside
     the standard library, a module by name. External ids name the package, with its scope, or Go's whole path.
     """
-    found = imports(tree)
     rules = rules or []
 
-    @F.udf("struct<kind string, tried array<string>>")
-    def tried(path, language, module, level):
-        return candidates(path, language, module, level, rules)
+    def each(path: str, language: str, text: str) -> Iterator[tuple]:
+        for row in _imports_of(path, language, text):
+            yield *row, *candidates(path, language, row[2], row[6], rules)
 
-    # Distinct imports are resolved once; their number is small beside that of the files' bytes.
-    asked = found.select("path", "language", "module", "level").distinct().withColumn("c", tried("path", "language", "module", "level"))
-    each = asked.select("path", "module", "level", F.posexplode("c.tried").alias("at", "target"))
+    found = _over(tree, IMPORTS + ", kind string, tried array<string>", each, [*_IMPORT_KINDS, pa.string(), pa.list_(pa.string())])
     known = tree.select(F.col("path").alias("target")).distinct()
-    first = each.join(known, "target", "left_semi").groupBy("path", "module", "level").agg(F.min_by("target", "at").alias("target"))
-    rows = found.join(asked.select("path", "module", "level", F.col("c.kind").alias("kind")), ["path", "module", "level"]).join(first, ["path", "module", "level"], "left")
+    key = ["path", "module", "level"]
+    tried = found.select(*key, "kind", "tried").dropDuplicates(key).select(*key, F.posexplode("tried").alias("at", "target"))
+    first = tried.join(known, "target", "left_semi").groupBy(*key).agg(F.min_by("target", "at").alias("target"))
+    rows = found.drop("tried").join(first, key, "left")
     package = F.when(F.col("module").startswith("@"), F.regexp_extract("module", "^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract("module", "^([^/]+)", 1))
     top = F.substring_index("module", ".", 1)
     target = (
@@ -252,37 +255,61 @@ def endpoints(tree: DataFrame) -> DataFrame:
     return tree.filter("language = 'python'").select("path", F.explode(hits).alias("h")).select("path", F.when(F.col("h.m") == "route", "GET").otherwise(F.upper("h.m")).alias("method"), F.col("h.r").alias("route"))
 
 
-# Base classes and decorators of data models.
-MODEL_BASES = ["BaseModel", "Model", "Base", "SQLModel", "Document"]
+# Base classes of data models.
+MODEL_BASES = ["BaseModel", "Schema", "Model", "Document", "AbstractBaseUser", "db.Model"]
 
 
 def models(tree: DataFrame) -> DataFrame:
-    """EXT-10: path and name of data models: classes with a known base, or dataclasses."""
-    base = rf"(?m)^class\s+(\w+)\([^)]*\b(?:{'|'.join(MODEL_BASES)})\b[^)]*\)"
+    """EXT-10: path and name of data models: classes one of whose bases is known, or dataclasses."""
+    form = r"(?m)^class\s+(\w+)\(([^)]*)\)"
     plain = r"(?m)^@dataclass(?:\([^)]*\))?\s*\nclass\s+(\w+)"
-    names = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(base), 1), F.regexp_extract_all("text", F.lit(plain), 1)))
+    classes = F.arrays_zip(F.regexp_extract_all("text", F.lit(form), 1).alias("name"), F.regexp_extract_all("text", F.lit(form), 2).alias("bases"))
+    based = F.filter(classes, lambda c: F.exists(F.split(c["bases"], ","), lambda x: F.trim(x).isin(MODEL_BASES)))
+    names = F.array_distinct(F.concat(F.transform(based, lambda c: c["name"]), F.regexp_extract_all("text", F.lit(plain), 1)))
     return tree.filter("language = 'python'").select("path", F.explode(names).alias("name"))
 
 
-# What tells a technology: (name, marker files, extensions, base confidence, step).
+# What tells a technology: (name, files at the top of a tree, dependencies in package.json, base confidence, step).
 STACKS = [
-    ("Python", ["pyproject.toml", "setup.py", "requirements.txt"], [".py"], 0.5, 0.2),
-    ("Node.js", ["package.json", "yarn.lock", "pnpm-lock.yaml"], [".js", ".ts"], 0.5, 0.2),
-    ("Go", ["go.mod", "go.sum"], [".go"], 0.6, 0.2),
-    ("Rust", ["Cargo.toml", "Cargo.lock"], [".rs"], 0.6, 0.2),
-    ("Docker", ["Dockerfile", "docker-compose.yml", "docker-compose.yaml"], [], 0.6, 0.2),
-    ("Browser extension", ["manifest.json"], [], 0.4, 0.2),
+    ("Python", ["pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile"], [], 0.4, 0.15),
+    ("Node.js", ["package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"], [], 0.5, 0.15),
+    ("TypeScript", ["tsconfig.json"], ["typescript"], 0.5, 0.25),
+    ("FastAPI", [], [], 0.4, 0.2),
+    ("Vue.js", ["vue.config.js"], ["vue", "@vue/cli-service"], 0.5, 0.25),
+    ("React", [], ["react", "react-dom", "next"], 0.5, 0.2),
+    ("Tailwind CSS", ["tailwind.config.js", "tailwind.config.ts"], ["tailwindcss"], 0.5, 0.2),
+    ("Docker", ["Dockerfile", "docker-compose.yml", "docker-compose.yaml", ".dockerignore"], [], 0.5, 0.2),
+    ("Vite", ["vite.config.ts", "vite.config.js", "vite.config.mjs"], ["vite"], 0.5, 0.2),
+    ("Chrome Extension MV2", [], [], 0.4, 0.12),
+    ("Chrome Extension MV3", [], [], 0.4, 0.12),
+    ("Git", [".git"], [], 1.0, 0.0),
 ]
+EXTENSION_KEYS = ["background.service_worker", "action", "side_panel", "content_scripts"]
 
 
 def stacks(tree: DataFrame, table: list = STACKS) -> DataFrame:
-    """RUL-26: the technologies of a tree with n, the different signs found, and confidence, base + n * step up to one."""
+    """RUL-26 over path and text: the technologies of a tree with n, the different signs of each at its top, and confidence,
+    base + n * step up to one. Lock files alone are no sign of Node.js, nor is an extension's manifest without a version."""
     spark: SparkSession = tree.sparkSession
-    signs = [(name, sign, base, step) for name, names, ends, base, step in table for sign in [*names, *ends]]
-    marks = F.broadcast(spark.createDataFrame(signs, "technology string, sign string, base double, step double"))
-    own = F.regexp_extract("path", "([^/]*)$", 1)
-    here = tree.select(F.explode(F.array(own, F.regexp_extract(own, r"[^.]+.*?(\.[^.]+)$", 1))).alias("sign")).distinct()
-    return here.join(marks, "sign").groupBy("technology").agg(F.count("*").alias("n"), F.least(F.lit(1.0), F.max("base") + F.count("*") * F.max("step")).alias("confidence"))
+    marks = [(name, base, step) for name, _, _, base, step in table]
+    wanted = [(name, kind, sign) for name, files, packages, _, _ in table for kind, signs in (("file", files), ("package", packages)) for sign in signs]
+    marks, wanted = F.broadcast(spark.createDataFrame(marks, "technology string, base double, step double")), F.broadcast(spark.createDataFrame(wanted, "technology string, kind string, sign string"))
+    top = tree.filter(~F.col("path").contains("/")).select("path", "text")
+    path, text = F.col("path"), F.col("text")
+    json = F.try_parse_json("text")
+    sign = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("sign"))
+    packages = F.concat(*[F.coalesce(F.map_keys(F.from_json(F.try_variant_get(json, f"$.{k}", "string"), "map<string,string>")), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies")])
+    named = top.select(F.explode(F.concat(F.array(sign("file", path)), F.when(path == "package.json", F.transform(packages, lambda x: sign("package", x))).otherwise(F.array().cast("array<struct<kind:string,sign:string>>")))).alias("s")).select("s.*").distinct()
+    known = named.join(wanted, ["kind", "sign"]).groupBy("technology").agg(F.count("*").alias("n"), F.bool_or(F.col("sign") == "package.json").alias("package"))
+    known = known.filter((F.col("technology") != "Node.js") | F.col("package")).select("technology", "n")
+    asked = path.isin("requirements.txt", "pyproject.toml") & F.lower(text).contains("fastapi")
+    runs = path.isin("main.py", "app.py", "server.py") & (text.contains("FastAPI") | text.contains("from fastapi"))
+    fast = top.agg((F.count_if(asked) + F.coalesce(F.max(runs.cast("int")), F.lit(0))).alias("n")).filter("n > 0").select(F.lit("FastAPI"), "n")
+    version = F.try_variant_get(json, "$.manifest_version", "int")
+    n = sum((F.try_variant_get(json, f"$.{k}", "variant").isNotNull().cast("long") for k in EXTENSION_KEYS), F.lit(2).cast("long"))
+    extension = top.filter((path == "manifest.json") & version.isin(2, 3)).select(F.concat(F.lit("Chrome Extension MV"), version), n)
+    found = known.unionAll(fast).unionAll(extension).join(marks, "technology")
+    return found.select("technology", "n", F.least(F.lit(1.0), F.col("base") + F.col("n") * F.col("step")).alias("confidence"))
 
 
 def entrypoints(tree: DataFrame) -> DataFrame:

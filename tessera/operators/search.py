@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 SEPARATOR = r"[^\p{L}\p{N}\p{Co}]+"
-#: Terms of a query at most; more are refused.
-MOST_TERMS = 64
 
 
 def plain(text: str) -> str:
@@ -35,7 +33,7 @@ def bm25(rows: DataFrame, key: str, text: str, query: str, k: int = 20) -> DataF
     Counts of the words asked for are taken from each row where it is read; only rows that hold one of them go on.
     """
     asked = [w for w in re.split(r"[^\w]+|_", plain(query)) if w]
-    if not asked or len(asked) > MOST_TERMS:
+    if not asked:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
     words = terms(F.col(text))
     counted = rows.select(key, F.size(words).alias("length"), F.array(*[_count(words, x) for x in asked]).alias("tf"))

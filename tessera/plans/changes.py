@@ -13,6 +13,8 @@ from tessera.session import table
 ALLOWED, DENIED, PROTECTED = ["src/*", "tests/", "docs/*.md"], ["*.png", "src/large/"], [".env", "*/models.py", "Docker*"]
 EDITABLE, CAUTIOUS, FORBIDDEN = ["src/", "docs/"], ["src/promo/"], ["tests/economy/"]
 TASK = ["widget", "bolt"]
+#: What a task asks for: a path that is allowed, and a pattern that isn't.
+DECLARED = ["src/a.py", "lib/*"]
 
 
 def change_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +28,16 @@ def change_groups(spark: SparkSession, d: str) -> DataFrame:
     return R.groups(changes(spark, d))
 
 
+def change_group_files(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-18: the files of each group."""
+    return R.group_files(changes(spark, d))
+
+
+def dependency_file_list(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-28."""
+    return R.dependency_files(changes(spark, d)).select("id", "path")
+
+
 def commit_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """AGG-19."""
     return R.commits(changes(spark, d).withColumn("status", F.when(F.col("id") % 3 == 0, "A").otherwise("M")))
@@ -48,7 +60,7 @@ def scope_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     rows = changes(spark, d).withColumn("old_hash", F.when(F.col("id") % 10 != 0, F.sha2("path", 256))).withColumn("new_hash", F.when(F.col("id") % 50 == 1, "other").otherwise(F.sha2("path", 256)))
-    return R.gate_facts(rows, ALLOWED, PROTECTED)
+    return R.gate_facts(rows, ALLOWED, PROTECTED, DECLARED)
 
 
 def gate_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +83,11 @@ def severity_tally(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lock_sync(spark: SparkSession, d: str) -> DataFrame:
-    """RUL-03, JOI-14."""
-    return R.locks(changes(spark, d))
+    """RUL-03, JOI-14: of manifests with an even key a lock file changed too."""
+    rows = changes(spark, d)
+    lock = F.when(P.name(F.col("path")) == "package.json", "/pnpm-lock.yaml").when(P.name(F.col("path")) == "requirements.txt", "/requirements.lock")
+    more = rows.filter("id % 2 = 0").select("id", F.concat(P.parent(F.col("path")), lock).alias("path"), "n_lines").filter("path IS NOT NULL")
+    return R.locks(rows.unionByName(more))
 
 
 def companion_tests(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +156,7 @@ def repeated_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (change_categories, change_groups, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
+QUERIES = {f.__name__: f for f in (change_categories, change_groups, change_group_files, dependency_file_list, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
 
 
 def _in(values: list[str]) -> str:
@@ -175,45 +190,52 @@ _SCOPE = [
     ("scope.gate", "max_files", "error", "count(*)", "HAVING count(*) > 100"), ("scope.gate", "denied", "error", "path", "WHERE denied GROUP BY path"),
     ("scope.gate", "protected", "error", "path", "WHERE protected GROUP BY path"), ("scope.gate", "outside_scope", "error", "path", "WHERE NOT allowed AND NOT denied AND NOT protected GROUP BY path"),
 ]
-_LOCK = [("dependency.guard", "lock_not_updated", "warning", "path", "WHERE name = 'package.json'")]
+_LOCK = [("dependency.guard", "lock_not_updated", "warning", "path", "WHERE name IN ('package.json', 'requirements.txt')")]
 _SECRET = [("security", "sensitive_data", "error", "path", "WHERE name = '.env' GROUP BY path")]
 _all = lambda *rules: " UNION ALL ".join(_FOUND.format(*r) for r in rules)
 _GATE = f"""WITH {_P}, f AS (SELECT 'path.protected_modified' AS rule, 'high' AS confidence, path AS subject FROM k WHERE protected
-    UNION ALL SELECT 'deps.manifest_changed_without_scope', 'medium', path FROM k WHERE NOT allowed AND name IN ('package.json', 'requirements.txt')
-    UNION ALL SELECT 'scope.unlisted_file_modified', 'high', path FROM k WHERE NOT allowed AND name NOT IN ('package.json', 'requirements.txt')
+    UNION ALL SELECT 'deps.manifest_changed_without_scope', 'high', path FROM k WHERE NOT allowed AND name IN ('package.json', 'requirements.txt')
+    UNION ALL SELECT 'scope.unlisted_file_modified', 'high', path FROM k WHERE NOT allowed AND NOT protected AND name NOT IN ('package.json', 'requirements.txt')
     UNION ALL SELECT 'patch.binary_or_generated_file_modified', 'high', path FROM k WHERE suffix = '.png'
-    UNION ALL SELECT 'patch.hash_mismatch', 'high', path FROM k WHERE id % 50 = 1)"""
+    UNION ALL SELECT 'patch.hash_mismatch', 'high', path FROM k WHERE id % 50 = 1 UNION ALL SELECT 'scope.declared_exceeds_authorized', 'high', 'lib/*'),
+    s AS (SELECT *, CASE WHEN rule LIKE 'deps%' OR rule LIKE '%exceeds%' THEN 'warn' ELSE 'block' END AS severity FROM f
+        UNION ALL SELECT 'patch.unverifiable_source', 'low', path, 'warn' FROM k WHERE id % 10 = 0)"""
 _HEAD = f"h AS (SELECT p_partkey, {_HEADERS} AS header FROM part), x AS (SELECT *, regexp_extract(header, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', 1) AS type, regexp_extract(header, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', 2) AS scope, regexp_extract(header, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', 3) = '!' AS breaking, regexp_extract(header, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', 4) AS subject FROM h)"
 ORACLES = {
     "change_categories": f"WITH {_P} SELECT path, category, is_schema, group_key, suffix, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM k",
     "change_groups": f"""WITH {_P}, s AS (SELECT *, count(*) OVER (PARTITION BY group_key) AS m FROM k) SELECT
-        CASE WHEN group_key = 'tests' THEN 'test change' WHEN group_key = 'docs' THEN 'documentation change' WHEN m = 1 THEN 'other changes' ELSE group_key || ' directory change' END AS label,
+        CASE WHEN group_key = 'tests' THEN 'test coverage' WHEN group_key = 'docs' THEN 'documentation' ELSE 'other changes' END AS label,
         count(*) AS n_files, count(*) FILTER (category = 'source') AS n_source, count(*) FILTER (category = 'test') AS n_test, count(*) FILTER (category = 'doc') AS n_doc,
         count(*) FILTER (category = 'manifest') AS n_manifest, count(*) FILTER (category = 'config') AS n_config, count(*) FILTER (category = 'other') AS n_other FROM s GROUP BY 1""",
+    "change_group_files": f"WITH {_P} SELECT path, CASE WHEN group_key = 'tests' THEN 'test coverage' WHEN group_key = 'docs' THEN 'documentation' ELSE 'other changes' END AS label, category FROM k",
+    "dependency_file_list": f"WITH {_P} SELECT id, path FROM k WHERE name IN ('package.json', 'requirements.txt')",
     "commit_suggestions": f"""WITH {_P}, w AS (SELECT *, CASE WHEN category = 'config' AND lower(name) IN {_in(P.CHANGE_CONFIG_EXTENSIONS)} THEN 'other' ELSE category END AS cat FROM k), a AS (SELECT cat AS category, CASE WHEN cat = 'source' THEN top ELSE '' END AS area, id FROM w)
         SELECT category, area, count(*) AS n_files, CASE category WHEN 'test' THEN 'test' WHEN 'doc' THEN 'docs' WHEN 'config' THEN 'chore' WHEN 'manifest' THEN 'chore' ELSE CASE WHEN min(id) % 3 = 0 THEN 'feat' ELSE 'fix' END END AS type FROM a GROUP BY 1, 2""",
     "budget_check": f"WITH {_P} {_all(*_BUDGET, _LINES)}",
     "dev_guard": f"WITH {_P} {_all(*_DEV)}",
     "scope_check": f"WITH {_P} {_all(*_SCOPE)}",
-    "gate_findings": f"""{_GATE} SELECT rule, confidence, subject, TRUE AS evidence, CASE WHEN rule LIKE 'deps%' THEN 'warn' ELSE 'block' END AS severity FROM f
-        UNION ALL SELECT 'patch.unverifiable_source', 'low', count(*) || ' files', TRUE, 'warn' FROM k WHERE id % 10 = 0""",
-    "gate_verdict": "SELECT 'all' AS \"case\", 'block' AS verdict UNION ALL SELECT 'none', 'allow' UNION ALL SELECT 'loose', 'warn'",
+    "gate_findings": f"""{_GATE} SELECT rule, confidence, subject, TRUE AS evidence, severity FROM s WHERE confidence = 'high'
+        UNION ALL SELECT rule, confidence, count(*) || ' files', TRUE, severity FROM s WHERE confidence = 'low' GROUP BY ALL""",
+    "gate_verdict": f"""{_GATE}, w AS (SELECT 'all' AS "case", severity FROM s UNION ALL SELECT 'loose', 'warn' FROM s WHERE rule LIKE '%unlisted%')
+        SELECT x AS "case", CASE WHEN bool_or(severity = 'block') THEN 'block' WHEN count(severity) > 0 THEN 'warn' ELSE 'allow' END AS verdict FROM (VALUES ('all'), ('none'), ('loose')) AS t(x) LEFT JOIN w ON w."case" = x GROUP BY 1""",
     "severity_tally": f"WITH {_P}, f AS ({_all(*_BUDGET, *_DEV, *_SCOPE, *_LOCK, *_SECRET)}) SELECT rule_set, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'error') = 0 AS passed FROM f GROUP BY 1",
-    "lock_sync": f"WITH {_P} {_all(*_LOCK)}",
+    "lock_sync": f"WITH {_P} SELECT 'dependency.guard' AS rule_set, 'lock_not_updated' AS rule, 'warning' AS severity, path AS subject, CAST(NULL AS INTEGER) AS line FROM k WHERE name IN ('package.json', 'requirements.txt') AND path NOT IN (SELECT path FROM k WHERE id % 2 = 0)",
     "companion_tests": f"""WITH {_P}, s AS (SELECT *, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM k),
         t AS (SELECT DISTINCT regexp_replace(stem, '^test_', '') AS stem FROM s WHERE category = 'test' UNION SELECT stem FROM s WHERE id % 9 = 0)
         SELECT stem IN (SELECT stem FROM t) AS tested, count(*) AS n FROM s WHERE category = 'source' GROUP BY 1""",
-    "change_manifest": f"WITH {_P} SELECT count(*) AS n_files, 'feature' AS change_type, FALSE AS surface, 'R2' AS risk, TRUE AS docs_due FROM k",
+    "change_manifest": f"WITH {_P} SELECT count(*) AS n_files, 'feature' AS change_type, bool_or(name IN {_in(R.SURFACE_NAMES)}) AS surface, CASE WHEN count(*) = 0 THEN 'R0' WHEN bool_or(name IN {_in(R.SURFACE_NAMES)}) OR count(*) >= 5 THEN 'R2' ELSE 'R1' END AS risk, TRUE AS docs_due FROM k",
     "review_first": f"WITH {_P} SELECT id, path, CASE WHEN is_schema THEN 0 WHEN category = 'manifest' THEN 1 WHEN category = 'source' THEN 2 WHEN category = 'test' THEN 3 WHEN category = 'config' AND name <> '.env' THEN 4 ELSE 5 END AS rank FROM k ORDER BY rank, id LIMIT 8",
     "region_paths": f"WITH {_P} SELECT CASE WHEN path LIKE 'tests/economy/%' THEN 'forbidden' WHEN path LIKE 'src/promo/%' THEN 'cautious' WHEN path LIKE 'src/%' OR path LIKE 'docs/%' THEN 'editable' ELSE 'unknown' END AS region, count(*) AS n FROM k GROUP BY 1",
     "commit_headers": f"WITH {_HEAD} SELECT p_partkey, type, scope, breaking, subject, concat_ws(',', CASE WHEN type = '' THEN 'form' END, CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN subject LIKE '%.' THEN 'stop' END) AS problems FROM x",
-    "release_plan": f"WITH {_HEAD} SELECT count(*) AS n_commits, count(*) FILTER (type = 'feat') AS n_feat, bool_or(breaking) AS breaking, 'major' AS bump, (SELECT max(concat('v0.', p_size, '.0')) FROM part) AS tag, 'v1.0.0' AS next FROM x",
+    "release_plan": f"""WITH {_HEAD} SELECT count(*) AS n_commits, count(*) FILTER (type = 'feat') AS n_feat, bool_or(breaking) AS breaking, CASE WHEN bool_or(breaking) THEN 'major' WHEN count(*) FILTER (type = 'feat') > 0 THEN 'minor' ELSE 'patch' END AS bump, (SELECT max(concat('v0.', p_size, '.0')) FROM part) AS tag,
+        CASE WHEN bool_or(breaking) THEN 'v1.0.0' WHEN count(*) FILTER (type = 'feat') > 0 THEN (SELECT concat('v0.', max_by(p_size, CAST(p_size AS VARCHAR)) + 1, '.0') FROM part) ELSE (SELECT concat('v0.', max_by(p_size, CAST(p_size AS VARCHAR)), '.1') FROM part) END AS next FROM x""",
     "diff_signals": f"""WITH {_P}, w AS (SELECT *, CASE WHEN category = 'config' AND lower(name) IN {_in(P.CHANGE_CONFIG_EXTENSIONS)} THEN 'other' ELSE category END AS cat FROM k)
         SELECT count(*) AS n_files, bool_or(cat = 'test') AS tests, bool_or(cat = 'doc') AS docs, bool_or(cat = 'manifest') AS manifests, bool_or(top = 'docs') AS guarded, count(DISTINCT CASE WHEN cat = 'source' THEN top END) AS n_areas,
-        'large_changeset,touches_protected_path,dependency_manifest_changed,cross_module_change' AS hints FROM w""",
+        concat_ws(',', CASE WHEN count(*) > 10 THEN 'large_changeset' WHEN count(*) > 5 THEN 'multi_file_change' END, CASE WHEN bool_or(top = 'docs') THEN 'touches_protected_path' END, CASE WHEN bool_or(cat = 'manifest') THEN 'dependency_manifest_changed' END,
+            CASE WHEN count(DISTINCT CASE WHEN cat = 'source' THEN top END) > 1 THEN 'cross_module_change' END) AS hints FROM w""",
     "patch_safety": f"WITH {_P} SELECT id, CASE WHEN id % 17 <> 0 AND id % 19 = 0 THEN 'skipped_dir' WHEN id % 17 = 0 THEN 'traversal' WHEN id % 23 = 0 THEN 'escape' WHEN suffix = '.png' THEN 'binary' END AS reason FROM k",
     "review_words": f"WITH {_P} SELECT id, concat_ws(',', CASE WHEN path ILIKE '%bolt%' THEN 'bolt' END, CASE WHEN path ILIKE '%red%' THEN 'red' END, CASE WHEN path ILIKE '%src%' THEN 'src' END, CASE WHEN path ILIKE '%test%' THEN 'test' END) AS words FROM k",
     "repeated_names": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "version_bumps": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'draft' ELSE concat(CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END, CASE p_partkey % 3 WHEN 0 THEN '2.0.0' WHEN 1 THEN concat('1.', p_size + 1, '.0') ELSE concat('1.', p_size, '.', p_partkey % 10 + 1) END) END AS next,
-        FALSE AS safe FROM part""",
+        regexp_matches(p_brand, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AND NOT contains(p_brand, '..') AS safe FROM part""",
 }

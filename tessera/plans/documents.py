@@ -52,7 +52,7 @@ def diff_stats(spark: SparkSession, d: str) -> DataFrame:
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     """RUL-07, RUL-08, RUL-10 with parameters that select lines of these texts."""
     rows = X.lines(_docs(spark, d), "doc_id").withColumnRenamed("doc_id", "path")
-    return R.security(rows, SHARE, ASSIGNED).filter("rule IN ('sensitive_data', 'hardcoded_secrets')").select("rule", "severity", "subject", "line")
+    return R.security(rows, SHARE, ASSIGNED, ["sensitive_data", "hardcoded_secrets"]).select("rule", "severity", "subject", "line")
 
 
 def risk_keywords(spark: SparkSession, d: str) -> DataFrame:
