@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, contamination, nearjoin, quality, toxicity
 from tessera.llm.frames import unused
 from tessera.llm.queries import BPE_RANKS, GOOD_FROM, TOXIC_FROM
+from tessera.llm.store import written
 
 
 def _scored(docs: DataFrame, scorer, model, keep) -> DataFrame:
@@ -47,5 +48,6 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: doc_id, lang and source with the packed ids of the text, their number and a digest of the decoded bytes."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS, public_tokenizers.PATTERN).drop("text")
+    # Ids are written before they are decoded, so that no executor has workers for both at once.
+    ids = written(bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS, public_tokenizers.PATTERN).drop("text"), "ids")
     return bpe.decode(ids, BPE_RANKS, public_tokenizers.PATTERN).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
