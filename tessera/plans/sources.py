@@ -114,11 +114,6 @@ def tree_edges(spark: SparkSession, d: str) -> DataFrame:
     return C.edges(tree(spark, d), _rules())
 
 
-def tree_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """GRA-08: how many files of each folder are on import cycles."""
-    return C.module_graph(tree(spark, d), _rules())[1].select(F.regexp_extract("id", r"^code:module:([^/]*)/", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
-
-
 def tree_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """EXT-06."""
     return C.endpoints(tree(spark, d))
@@ -233,7 +228,7 @@ def nation_lines(spark: SparkSession, d: str) -> DataFrame:
     return trees.json_lines(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-QUERIES = {f.__name__: f for f in (tree_symbols, tree_imports, tree_edges, tree_cycles, tree_endpoints, tree_entrypoints, tree_models, tree_configurations, tree_dependencies, tree_variables, tree_colours, tree_logs, tree_security, page_forms, tree_stacks, diff_lines, diff_manifests, dependency_changes, git_listings, pattern_cover, nation_lines)}
+QUERIES = {f.__name__: f for f in (tree_symbols, tree_imports, tree_edges, tree_endpoints, tree_entrypoints, tree_models, tree_configurations, tree_dependencies, tree_variables, tree_colours, tree_logs, tree_security, page_forms, tree_stacks, diff_lines, diff_manifests, dependency_changes, git_listings, pattern_cover, nation_lines)}
 _K = """k AS (SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 4 WHEN 0 THEN concat('app/m', p_partkey, '.py') WHEN 1 THEN concat('web/c', p_partkey, '.ts') WHEN 2 THEN concat('srv/g', p_partkey, '.go')
     ELSE CASE p_partkey % 16 WHEN 3 THEN concat('pkg/p', p_partkey, '/package.json') WHEN 7 THEN concat('style/t', p_partkey, '.css') WHEN 11 THEN concat('log/h', p_partkey, '.md') ELSE concat('bin/s', p_partkey, '.py') END END AS path FROM part)"""
 #: Symbols: which remainder of which divisor has them, kind, start of the name, whether the key follows, parent, lines, exported.
@@ -285,7 +280,6 @@ ORACLES = {
     "tree_edges": f"WITH {_K}, e AS ("
     + " UNION ALL ".join(f"SELECT path, CAST({file} AS VARCHAR) AS file, {other} AS other, '{how}' AS how, '{x[4]}' AS import_kind, {x[6]} AS line FROM k WHERE k % 4 = {x[0]}" for x, (file, other, how) in zip(_IMPORTS, _TARGETS, strict=True))
     + ") SELECT concat('code:module:', path) AS source_id, coalesce(file, other) AS target_id, 'imports' AS type, CASE WHEN file IS NULL THEN 'none' ELSE how END AS resolution, import_kind, line FROM e",
-    "tree_cycles": f"WITH {_K} SELECT 'web' AS folder, count(*) AS n FROM k WHERE k % 4 = 1 AND (k + 4 IN (SELECT k FROM k) OR k - 4 IN (SELECT k FROM k)) HAVING count(*) > 0",
     "tree_endpoints": f"WITH {_K} SELECT path, 'GET' AS method, concat('/r/', k) AS route FROM k WHERE k % 4 = 0",
     "tree_entrypoints": f"WITH {_K} SELECT path, 'python_main' AS entry FROM k WHERE k % 12 = 0 UNION ALL SELECT path, 'node_main' FROM k WHERE k % 16 = 3",
     "tree_models": f"WITH {_K} SELECT path, concat('Item', k) AS name FROM k WHERE k % 8 = 0",
