@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.store import written
+from tessera.sources.store import discard, written
 
 # Prefixes of ids that stand for nothing in the tree.
 OUTSIDE = ["external:", "unresolved:"]
@@ -87,27 +87,62 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("id").agg(F.min("steps").alias("steps"))
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """GRA-01: the nodes that lie on a cycle, self-loops counted.
-
-    Edges of nodes that nothing enters or that lead nowhere are peeled until none is left to peel. What remains holds
-    all cycles and the paths between them; the pairs of remaining nodes that reach each other, by doubling the length
-    of paths, tell the cycles from the paths. Each step is written to the shared folder.
-    """
-    now = written(edges.select("source_id", "target_id").distinct(), "edges")
+def spread(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """nodes (id, the label, moved and others) after each node has the greatest label among its own and those of the nodes
+    from which a path of edges leads to it. Only labels of nodes that `moved` are sent on. Each round is written to the
+    shared folder in place of the one before; there are as many as the longest of the shortest paths that labels take."""
+    others = [c for c in nodes.columns if c not in (label, "moved")]
+    now = written(nodes, "labels")
+    while not (front := now.filter("moved")).isEmpty():
+        best = front.join(edges, F.col("id") == F.col("source_id")).groupBy("target_id").agg(F.max(label).alias("best"))
+        better = now.join(best.withColumnRenamed("target_id", "id"), "id", "left")
+        after = written(better.select(*others, F.greatest(label, "best").alias(label), F.coalesce(F.col("best") > F.col(label), F.lit(False)).alias("moved")), "labels")
+        discard(now)
+        now = after
+    return now
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """The edges that are left, in the shared folder, when those of nodes that nothing enters or that lead nowhere are
+    taken away until there are none."""
+    now = written(edges, "edges")
     n = now.count()
     while n:
         inner = now.join(now.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
         inner = written(inner.join(now.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi"), "edges")
-        n, before = inner.count(), n
-        now = inner
-        if n == before:
-            break
-    paths, n = now.select("source_id", "target_id"), n
-    while n:
-        longer = paths.select("source_id", F.col("target_id").alias("via")).join(paths.select(F.col("source_id").alias("via"), "target_id"), "via").select("source_id", "target_id")
-        paths = written(paths.unionByName(longer).distinct(), "paths")
-        n, before = paths.count(), n
+        discard(now)
+        now, before, n = inner, n, inner.count()
         if n == before:
             break
-    return paths.filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id"))
+    return now
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """GRA-01: the nodes that lie on a cycle, self-loops counted; edges with a null end are on none.
+
+    Strong components by colours. After peeling, a node's colour is the greatest id that a path leads from to it, and the
+    nodes of a colour from which a path inside the colour leads back to that id are one component. They go, with the edges
+    between colours, and what is left is peeled and coloured again. A node has one label at a time, so tables are never
+    longer than the edges. Each round takes away the component of each colour's greatest id at least.
+    """
+    ends = written(edges.select("source_id", "target_id").distinct(), "edges")
+    found = ends.filter("source_id = target_id").select(F.col("source_id").alias("id"))
+    now = peeled(ends.filter("source_id <> target_id").select("source_id", "target_id"))
+    while not now.isEmpty():
+        nodes = now.select(F.col("source_id").alias("id")).distinct()
+        coloured = spread(nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")), now, "colour")
+        colour = lambda end: coloured.select(F.col("id").alias(end), F.col("colour").alias(f"of_{end}"))
+        same = written(now.join(colour("source_id"), "source_id").join(colour("target_id"), "target_id").filter("of_source_id = of_target_id").select("source_id", "target_id"), "edges")
+        back = same.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+        head = F.col("id") == F.col("colour")
+        reached = spread(coloured.select("id", "colour", head.alias("leads_back"), head.alias("moved")), back, "leads_back").filter("leads_back")
+        inside = reached.filter(~head)
+        found = found.unionByName(written(inside.select("id").union(inside.select("colour").distinct()), "cycles"))
+        left = same
+        for end in ("source_id", "target_id"):
+            left = left.join(reached.select(F.col("id").alias(end)), end, "left_anti")
+        left = peeled(left.select("source_id", "target_id"))
+        for table in (now, coloured, same, reached):
+            discard(table)
+        now = left
+    return found.distinct()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from tessera.operators import graph as G
 from tessera.operators import snapshot as S
 
@@ -17,6 +19,21 @@ def test_cycles(spark):
     assert ids(("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "x")) == {"a", "b", "x", "y"}
 
 
+def test_cycles_of_many_components_equal_reachability(spark):
+    rng = random.Random(5)
+    for n, m in ((12, 16), (60, 75)):
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] + [("n1", None), (None, "n1"), (None, None)]
+        after = {f"n{i}": {b for a, b in pairs if a == f"n{i}" and b} for i in range(n)}
+        wanted = set()
+        for start in after:
+            seen, front = set(), after[start]
+            while front:
+                seen |= front
+                front = set().union(*(after[x] for x in front)) - seen
+            wanted |= {start} & seen
+        assert {r.id for r in G.cycle_nodes(edges(spark, *pairs)).collect()} == wanted and wanted
+
+
 def test_impact_and_health(spark):
     nodes = spark.createDataFrame([("a", "model"), ("b", "api"), ("c", "x")], "id string, type string")
     e = edges(spark, ("a", "t"), ("b", "t"), ("c", "t"), ("b", "u"), ("zz", "u"), ("b", "external:js:react"), ("b", "u"))
