@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to its whole table."""
+"""The queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, contamination, licenses, lm, media, nearjoin, quality, toxicity, warc
+from tessera.llm import bpe, chat, contamination, licenses, lm, media, merkle, nearjoin, packing, quality, ranked, toxicity, warc
 from tessera.llm.supervised import fold
 
+PACKED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Least scores of documents that count as toxic and as good.
 TOXIC_FROM, GOOD_FROM = 0.3, 0.5
@@ -103,7 +104,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op9_lm, op10_quality)}
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item by their terms."""
+    return ranked.rank(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests and proofs of every document, and whether it holds where every seventh one by a checksum was tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = merkle.verified(merkle.manifest(_read(spark, sf_dir, "documents", *fields), "doc_id", "lang", fields, {"n_chars": tampered}))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    found = packing.pack(packing.pieces(_read(spark, sf_dir, "documents", "doc_id", "text"), *PACKED))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nearjoin, op5_warc, op6_png, op7_bpe, op8_contamination, op9_lm, op10_quality, op11_ranked, op12_merkle, op13_packing)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
@@ -141,10 +161,42 @@ _WARC = """
         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
         CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM p"""
 
+_TERMS = f"list_distinct(regexp_extract_all({_LOWER.format('text')}, '{ranked.TERM}'))"
+_RANKED = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{ranked.TERM}') AS t FROM documents),
+    z AS (SELECT count(*) AS n_docs, sum(len(t)) AS total FROM d WHERE len(t) > 0),
+    q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    p AS (SELECT doc_id, term, any_value(n)::BIGINT AS n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, z GROUP BY term),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total::BIGINT))))::BIGINT AS score
+        FROM q JOIN p USING (term) JOIN w USING (term), z GROUP BY ALL)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(octet_length(encode({0}::VARCHAR)), ':', {0}::VARCHAR) END"
+_LEAF = "sha256(concat(" + ", ".join(_PART.format(c) for c in ("doc_id", "source", "lang")) + ", {}, " + _PART.format("text") + "))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+_STEP = "lambda a, s: sha256(CASE left(s, 1) WHEN 'L' THEN substr(s, 2) || a WHEN 'R' THEN a || substr(s, 2) ELSE a END)"
+_MERKLE = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF.format(_PART.format("n_chars"))} AS leaf, {_LEAF.format(_PART.format(f"(CASE WHEN {_CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END)"))} AS told FROM documents),
+    g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+    r AS (SELECT doc_id, g, leaf, told, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang),
+    t AS (SELECT g, 0 AS k, p, leaf AS h, n FROM r UNION ALL SELECT g, k + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, k, p // 2, n),
+    s AS (SELECT g, h AS subroot FROM t WHERE n = 1),
+    u AS (SELECT 0 AS k, g AS p, subroot AS h, (SELECT count(*) FROM s) AS n FROM s UNION ALL SELECT k + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY k, p // 2, n),
+    i AS (SELECT r.g, r.p, list(CASE WHEN x.h IS NULL THEN '' WHEN (r.p >> t.k) % 2 = 1 THEN 'L' || x.h ELSE 'R' || x.h END ORDER BY t.k) AS path
+        FROM r JOIN t ON t.g = r.g AND t.p = r.p >> t.k AND t.n > 1 LEFT JOIN t x ON x.g = t.g AND x.k = t.k AND x.p = xor(t.p, 1) GROUP BY r.g, r.p),
+    o AS (SELECT s.g, list(CASE WHEN x.h IS NULL THEN '' WHEN (s.g >> u.k) % 2 = 1 THEN 'L' || x.h ELSE 'R' || x.h END ORDER BY u.k) AS path
+        FROM s JOIN u ON u.p = s.g >> u.k AND u.n > 1 LEFT JOIN u x ON x.k = u.k AND x.p = xor(u.p, 1) GROUP BY s.g),
+    f AS (SELECT doc_id, leaf, told, subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(i.path, []), coalesce(o.path, [])) AS path
+        FROM r JOIN s ON s.g = r.g LEFT JOIN i ON i.g = r.g AND i.p = r.p LEFT JOIN o ON o.g = r.g),
+    v AS (SELECT *, list_reduce(list_prepend(told, path), {_STEP}) AS folded_root FROM f)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM v"""
+
 ORACLES: dict[str, str] = {
     "op1_chat": _CHAT,
     "op2_licenses": _LICENSES,
     "op5_warc": _WARC,
+    "op11_ranked": _RANKED,
+    "op12_merkle": _MERKLE,
     "op8_contamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
