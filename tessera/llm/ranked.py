@@ -1,7 +1,7 @@
 """Ranked lexical search: postings by term, joined with the terms of items.
 
 A term is a maximal run of ASCII letters and digits and characters beyond ASCII, with A-Z lower-cased. A document's
-postings are made where its text is read: its terms are sorted and their runs counted, so nothing is shuffled. Each part
+postings are made where its text is read, by counting its terms in Arrow batches, so nothing is shuffled. Each part
 of the postings is sorted by bucket and term, so that a reader that asks for few buckets skips the rest of a file.
 
 Scores are integers. A term's weight is w = floor(1000 ln((2N + 2) / (2 df + 1))) for N documents with terms, of which df
@@ -13,9 +13,16 @@ they are read in; items of one key, null keys among them, are one item with the
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.frames import bounded, steps
 from tessera.llm.store import written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -25,6 +32,9 @@ BUCKETS = 1024
 DOCUMENT = -1
 #: Bytes of items' terms up to which they are sent to every executor.
 SENT_BYTES = 32 << 20
+BATCH_BYTES, PIECE = 2 << 20, 1 << 20
+#: Each byte in a term, lower-cased; a space for those between terms.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Parts that a term's postings are cut into where items' terms aren't sent.
 SALTS = 32
 
@@ -34,16 +44,37 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
+def counts(text: bytes) -> Counter:
+    """How often a text's bytes in UTF-8 have each term, PIECE bytes at a time."""
+    text, found, lo = text.translate(_TERM_BYTES), Counter(), 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + PIECE) if len(text) - lo > PIECE else -1
+        hi = len(text) if hi < 0 else hi
+        found.update(text[lo:hi].split())
+        lo = hi
+    return found
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, term, row, key, n (terms of the document) and tf, in the shared folder, for each document and different term of it,
     and for each document a row of the bucket DOCUMENT without a term. Other columns of docs are left out."""
-    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.sort_array(terms(F.col(text))).alias("words"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
-    each = each.select("row", "key", "words", F.size("words").cast("long").alias("n"), F.when(F.size("words") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
-    run = lambda at, k: F.struct(F.pmod(F.xxhash64(F.get("words", at)), F.lit(BUCKETS)).cast("int").alias("bucket"), F.get("words", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).cast("long").alias("tf"))
-    own = F.array(F.struct(F.lit(DOCUMENT).alias("bucket"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
-    rows = each.select("row", "key", "n", F.inline(F.concat(own, F.transform("starts", run))))
-    return written(rows.select("bucket", "term", "row", "key", "n", "tf").sortWithinPartitions("bucket", "term"), "postings")
+    bounded(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, BATCH_BYTES):
+            found = [counts(x or b"") for x in batch.column(2).to_pylist()]
+            sizes = np.array([len(c) + 1 for c in found], np.int64)
+            of = pa.array(np.repeat(np.arange(len(found)), sizes))
+            words = pa.array([w for c in found for w in (None, *c)], pa.binary()).view(pa.string())
+            tf = np.array([k for c in found for k in (0, *c.values())], np.int64)
+            n = np.repeat(np.array([c.total() for c in found], np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([words, batch.column(0).take(of), batch.column(1).take(of), pa.array(n), pa.array(tf)], names=schema.names)
+
+    bucket = F.when(F.col("term").isNull(), DOCUMENT).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
+    found = rows.mapInArrow(run, schema).select(bucket.alias("bucket"), *schema.names)
+    return written(found.sortWithinPartitions("bucket", "term"), "postings")
 
 
 def weight(df: Column, n: int) -> Column:
