@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import cycle_nodes
+from tessera.sources.batches import bounded, slices
 
 SYMBOLS = "path string, kind string, name string, parent string, start_line int, end_line int, is_exported boolean, confidence double, error string"
 IMPORTS = "path string, language string, module string, names array<string>, alias string, import_kind string, level int, line int"
-#: Files that are read at once; a tree's files are at most a megabyte each.
-FILES = 64
 CONFIDENCE = {"python": 1.0, "javascript": 0.55, "typescript": 0.55, "go": 0.8}
+#: Languages of the files that symbols and imports are read from.
+LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go"}
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 _JS = {
     "function": re.compile(r"^(export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s+([A-Za-z_$][\w$]*)"),
@@ -70,11 +71,12 @@ EXTRACTORS: dict[str, Callable[[str], Iterator[tuple]]] = {
 
 
 def _over(tree: DataFrame, schema: str, each: Callable[[str, str, str], Iterator[tuple]], kinds: list) -> DataFrame:
-    """What `each` makes of path, language and text of each file, FILES of them at a time."""
+    """What `each` makes of path, language and text of each file, a few megabytes of them at a time."""
+    bounded(tree.sparkSession)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (batch.slice(lo, FILES) for batch in batches for lo in range(0, batch.num_rows, FILES)):
+        for part in slices(batches):
             rows = [r for path, language, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in each(path, language, text or "")]
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.components import components
-from tessera.sources.store import discard, written
+from tessera.operators.cycles import strong_components
 
 # Prefixes of ids that stand for nothing in the tree.
 OUTSIDE = ["external:", "unresolved:"]
@@ -88,90 +87,6 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("id").agg(F.min("steps").alias("steps"))
 
 
-def spread(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """nodes (id, the label, moved and others) after each node has the greatest label among its own and those of the nodes
-    from which a path of edges leads to it. Only labels of nodes that `moved` are sent on. Each round is written to the
-    shared folder in place of the one before; there are as many as the longest of the shortest paths that labels take."""
-    others = [c for c in nodes.columns if c not in (label, "moved")]
-    now = written(nodes, "labels")
-    while not (front := now.filter("moved")).isEmpty():
-        best = front.join(edges, F.col("id") == F.col("source_id")).groupBy("target_id").agg(F.max(label).alias("best"))
-        better = now.join(best.withColumnRenamed("target_id", "id"), "id", "left")
-        after = written(better.select(*others, F.greatest(label, "best").alias(label), F.coalesce(F.col("best") > F.col(label), F.lit(False)).alias("moved")), "labels")
-        discard(now)
-        now = after
-    return now
-
-
-def peeled(edges: DataFrame) -> DataFrame:
-    """The edges that are left, in the shared folder, when those of nodes that nothing enters or that lead nowhere are
-    taken away until there are none."""
-    now = written(edges, "edges")
-    n = now.count()
-    while n:
-        inner = now.join(now.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
-        inner = written(inner.join(now.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi"), "edges")
-        discard(now)
-        now, before, n = inner, n, inner.count()
-        if n == before:
-            break
-    return now
-
-
-def _reversed(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-
-
-def _of_ends(edges: DataFrame, nodes: DataFrame, value: str, how: str) -> DataFrame:
-    """Edges with of_source_id and of_target_id, the values of their ends among nodes (id, value)."""
-    for end in ("source_id", "target_id"):
-        edges = edges.join(nodes.select(F.col("id").alias(end), F.col(value).alias(f"of_{end}")), end, how)
-    return edges
-
-
-def _merged(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes of pairs that lead to each other directly, which are on cycles, and the edges with such nodes as one."""
-    roots = components(pairs, "source_id", "target_id").withColumnRenamed("node", "id")
-    ends = [F.coalesce(f"of_{end}", end).alias(end) for end in ("source_id", "target_id")]
-    return roots.select("id"), _of_ends(edges, roots, "root", "left").select(*ends).filter("source_id <> target_id").distinct()
-
-
-def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The nodes on cycles of one strong component of each colour, the edges inside colours of other nodes, and the tables
-    that the edges are read from."""
-    nodes = edges.select(F.col("source_id").alias("id")).distinct()
-    coloured = spread(nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")), edges, "colour")
-    same = written(_of_ends(edges, coloured, "colour", "inner").filter("of_source_id = of_target_id").select("source_id", "target_id"), "edges")
-    head = F.col("id") == F.col("colour")
-    back = spread(coloured.select("id", "colour", head.alias("leads_back"), head.alias("moved")), _reversed(same), "leads_back")
-    reached, left = back.filter("leads_back"), same
-    inside = reached.filter(~head)
-    for end in ("source_id", "target_id"):
-        left = left.join(reached.select(F.col("id").alias(end)), end, "left_anti")
-    return written(inside.select("id").union(inside.select("colour").distinct()), "cycles"), left.select("source_id", "target_id"), [coloured, same, back]
-
-
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """GRA-01: the nodes that lie on a cycle, self-loops counted; edges with a null end are on none.
-
-    Nodes that lead to each other directly become one, by connected components, as long as there are any. Strong components
-    by colours find the longer cycles: after peeling, a node's colour is the greatest id that a path leads from to it, and
-    the nodes of a colour from which a path inside the colour leads back to that id are one component. They go, with the
-    edges between colours, and what is left is peeled and looked at again. A node has one label at a time, so tables are
-    never longer than the edges. Each turn takes away the component of each colour's greatest id at least. Rounds grow with
-    the length of the paths that remain after pairs are one.
-    """
-    ends = written(edges.select("source_id", "target_id").distinct(), "edges")
-    found = ends.filter("source_id = target_id").select(F.col("source_id").alias("id"))
-    now = peeled(ends.filter("source_id <> target_id").select("source_id", "target_id"))
-    while not now.isEmpty():
-        used = [now, pairs := written(now.join(_reversed(now), ["source_id", "target_id"], "left_semi").filter("source_id < target_id"), "pairs")]
-        if not pairs.isEmpty():
-            more, left = _merged(now, pairs)
-        else:
-            more, left, tables = _coloured(now)
-            used += tables
-        found, now = found.unionByName(more), peeled(left)
-        for table in used:
-            discard(table)
-    return found.distinct()
+    """GRA-01: the nodes that lie on a cycle, self-loops counted; edges with a null end are on none."""
+    return strong_components(edges).select("id")

@@ -1,15 +1,25 @@
-"""Full-text search: BM25 over an inverted index, and substring search where that has no answer."""
+"""Full-text search: BM25 over an inverted index in the shared folder, and substring search where that has no answer.
+
+An index has postings in folders by a checksum of the term, the number of rows that hold each term, and one row of statistics.
+A search reads the folders of its own terms alone, so several searches share one index. Without one, `bm25` scans the rows.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.store import fresh_path
+
 K1, B = 1.2, 0.75
 SEPARATOR = r"[^\p{L}\p{N}\p{Co}]+"
+#: Folders that postings are dealt to.
+FOLDERS = 64
 
 
 def plain(text: str) -> str:
@@ -47,6 +57,50 @@ def bm25(rows: DataFrame, key: str, text: str, query: str, k: int = 20) -> DataF
     return counted.filter(F.forall("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def asked_words(query: str) -> Counter:
+    """The words of a query and how often it has each."""
+    return Counter(w for w in re.split(r"[^\w]+|_", plain(query)) if w)
+
+
+def index(rows: DataFrame, key: str, columns: list[str], path: str | None = None) -> str:
+    """SEA-01: write an index of the words of the columns, which count as one text, and return its path.
+
+    A row's words are sorted and their runs counted where it is read. Postings are dealt by folder; adaptive execution splits a
+    folder that a frequent word makes large. Rows that repeat a key are rows of their own; a row of nulls has no words.
+    """
+    path = path or fresh_path(rows.sparkSession, "index")
+    words = F.sort_array(terms(F.concat_ws(" ", *columns)))
+    each = rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words.alias("words"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    each = each.select("row", "key", "words", F.when(F.size("words") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
+    run = lambda at, k: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).alias("tf"))
+    runs = each.select("row", "key", F.size("words").alias("length"), F.inline(F.transform("starts", run)))
+    folder = (F.crc32(F.col("term").cast("binary")) % FOLDERS).cast("int").alias("folder")
+    runs.select(folder, "term", "row", "key", "length", "tf").hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+    stored = rows.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("folder", "term").agg(F.count("*").alias("df")).hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/terms")
+    each.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).write.parquet(f"{path}/stats")
+    return path
+
+
+def lookup(spark: SparkSession, path: str, query: str, k: int = 20) -> DataFrame:
+    """SEA-01, TOP-01 by an index: key and score of the k rows that have all words of the query, by score, then key."""
+    asked = asked_words(query)
+    folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in asked})
+    here = F.col("folder").isin(folders) & F.col("term").isin(list(asked))
+    postings = spark.read.parquet(f"{path}/postings").filter(here)
+    if not asked:
+        return postings.select("key", F.lit(0.0).alias("score")).limit(0)
+    stats = spark.read.parquet(f"{path}/stats")
+    held = spark.read.parquet(f"{path}/terms").filter(here).select("folder", "term", "df")
+    times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = times[F.col("term")] * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = postings.join(F.broadcast(held), ["folder", "term"]).crossJoin(F.broadcast(stats))  # a row for each asked word, and one row
+    found = weighed.groupBy("row", "key").agg(F.count("*").alias("words"), F.sum(part).alias("score")).filter(F.col("words") == len(asked))
+    return found.select("key", "score").orderBy(F.desc("score"), "key").limit(k)
+
+
 def like(rows: DataFrame, key: str, columns: list[str], query: str, k: int = 20) -> DataFrame:
     """SEA-02, TOP-02: the k rows with the query in one of the columns, in any case of ASCII letters, by key; % and _ are wildcards."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,8 +111,8 @@ def like(rows: DataFrame, key: str, columns: list[str], query: str, k: int = 20)
     return rows.filter(hit).orderBy(key).limit(k)
 
 
-def search(rows: DataFrame, key: str, text: str, columns: list[str], query: str, k: int = 20) -> DataFrame:
-    """SEA-01 with SEA-02 where the query isn't words or no row has them: the keys found."""
-    if not re.search(r'[^\w\s]', query) and len((best := bm25(rows, key, text, query, k)).take(1)):
-        return best.select(key)
+def search(rows: DataFrame, key: str, path: str, columns: list[str], query: str, k: int = 20) -> DataFrame:
+    """SEA-01 by the index at path, with SEA-02 where the query isn't words or no row has them: the keys found."""
+    if not re.search(r"[^\w\s]", query) and (best := lookup(rows.sparkSession, path, query, k).collect()):
+        return rows.sparkSession.createDataFrame([(r["key"],) for r in best], rows.select(key).schema)
     return like(rows, key, columns, query, k).select(key)

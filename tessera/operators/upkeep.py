@@ -79,18 +79,72 @@ def draft(files: DataFrame, find: str, put: str, literal: bool = True) -> DataFr
     return files.select("path", n.cast("int").alias("n"), new.alias("replaced")).filter("n > 0")
 
 
-def manifest_status(diffs: DataFrame, names: list[str]) -> DataFrame:
-    """EXT-23 over diff: path and status (added, removed, modified) of the manifests in unified diffs, and the names that
-    lines of theirs add or drop."""
+# Manifests that dependencies are read of, and the forms of a dependency in a line of each.
+DEPENDENCY_MANIFESTS = ["pyproject.toml", "package.json", "go.mod", "requirements.txt"]
+QUOTED, REQUIREMENT = r'"([^"]+)"', r"^([a-zA-Z0-9_][a-zA-Z0-9_.-]*(\[[^\]]*\])?)\s*(.*)$"
+TOML_KEY = r"^([a-zA-Z_][a-zA-Z0-9_-]*)\s*=\s*(.+)$"
+JSON_KEY = r'"([a-zA-Z@][^"]*)"\s*:\s*"([^"]*)"'
+GO_ONE, GO_LINE = r"^require\s+(\S+)\s+(\S+)", r"^(\S+)\s+(v\S+)"
+PIP_LINE = r"^([a-zA-Z0-9_][a-zA-Z0-9_.-]*(\[[^\]]*\])?)\s*([><=!~].*)?$"
+
+
+def _blocks(diffs: DataFrame, names: list[str]) -> DataFrame:
+    """path, name, status and text of the manifests in unified diffs (a column diff)."""
     parts = diffs.select(F.explode(F.split("diff", r"(?m)^diff --git .*$")).alias("part"))
-    old, new = (F.regexp_extract("part", rf"(?m)^{re_} (?:[ab]/)?(.+)$", 1) for re_ in ("---", r"\+\+\+"))
-    named = parts.select(old.alias("old"), new.alias("new"), "part").filter("old <> '' AND new <> ''")
+    old, new = (F.regexp_extract("part", rf"(?m)^{mark} (?:[ab]/)?(.+)$", 1) for mark in ("---", r"\+\+\+"))
+    named = parts.select(F.trim(old).alias("old"), F.trim(new).alias("new"), "part").filter("old <> '' AND new <> ''")
     path = F.when(F.col("new") == "/dev/null", F.col("old")).otherwise(F.col("new"))
     status = F.when(F.col("old") == "/dev/null", "added").when(F.col("new") == "/dev/null", "removed").otherwise("modified")
-    line = lambda sign: F.array_sort(F.array_distinct(F.regexp_extract_all("part", F.lit(rf'(?m)^{sign}\s*"?([A-Za-z@][\w@/.-]*)"?\s*(?::\s*"|[=<>~!]=)'), 1)))
-    rows = named.select(path.alias("path"), status.alias("status"), line(r"\+").alias("plus"), line("-").alias("minus"))
-    rows = rows.filter(F.regexp_extract("path", "([^/]*)$", 1).isin(names))
-    return rows.select("path", "status", F.array_except("plus", "minus").alias("added"), F.array_except("minus", "plus").alias("removed"), F.array_intersect("plus", "minus").alias("changed"))
+    rows = named.select(path.alias("path"), status.alias("status"), "part").withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+    return rows.filter(F.col("name").isin(names))
+
+
+def manifest_status(diffs: DataFrame, names: list[str] = DEPENDENCY_MANIFESTS) -> DataFrame:
+    """EXT-23 over diff: path and status (added, removed, modified) of the manifests in unified diffs."""
+    return _blocks(diffs, names).select("path", "status").distinct()
+
+
+def _dependency(name: Column, said: Column) -> Column:
+    """name and version that a line of a manifest asks for; an empty name for a line that asks for nothing."""
+    part = lambda text, form, k: F.regexp_extract(text, form, k)
+    any_version = lambda v: F.when(F.trim(v) == "", "*").otherwise(F.trim(v))
+    of = lambda n, v: F.struct(n.alias("dependency"), v.alias("version"))
+    quoted = F.trim(part(said, QUOTED, 1))
+    key, value = part(said, TOML_KEY, 1), F.regexp_replace(F.trim(part(said, TOML_KEY, 2)), r"""^["']+|["']*,*$""", "")
+    toml = F.when(part(quoted, REQUIREMENT, 1) != "", of(part(quoted, REQUIREMENT, 1), any_version(part(quoted, REQUIREMENT, 3)))).when(key != "python", of(key, value))
+    go = F.when(part(said, GO_ONE, 1) != "", of(part(said, GO_ONE, 1), part(said, GO_ONE, 2))).when(~said.startswith("module "), of(part(said, GO_LINE, 1), part(said, GO_LINE, 2)))
+    line = F.trim(F.substring_index(F.substring_index(said, ";", 1), " #", 1))
+    pip = of(part(line, PIP_LINE, 1), any_version(part(line, PIP_LINE, 3)))
+    json = of(part(said, JSON_KEY, 1), part(said, JSON_KEY, 2))
+    return F.when(said.startswith("#"), None).when(name == "pyproject.toml", toml).when(name == "package.json", json).when(name == "go.mod", go).when(name == "requirements.txt", pip)
+
+
+def manifest_changes(diffs: DataFrame) -> DataFrame:
+    """EXT-23 over diff: path, dependency, kind (added, removed, version_changed), old and new of what lines of manifests add and
+    drop. Of several lines of a name with one sign the last counts; a line that only moves is no change."""
+    rows = _blocks(diffs, DEPENDENCY_MANIFESTS).select("path", "name", F.posexplode(F.split("part", "\n")).alias("at", "line"))
+    sign = F.substring("line", 1, 1)
+    rows = rows.filter(sign.isin("+", "-") & ~F.col("line").startswith("+++") & ~F.col("line").startswith("---"))
+    asked = rows.select("path", "at", sign.alias("sign"), _dependency(F.col("name"), F.btrim(F.expr("substring(line, 2)"), F.lit(" \t\r"))).alias("d")).filter("d.dependency <> ''")
+    last = lambda s: F.max_by(F.when(F.col("sign") == s, F.col("d.version")), F.when(F.col("sign") == s, F.col("at")))
+    both = asked.groupBy("path", F.col("d.dependency").alias("dependency")).agg(last("-").alias("old"), last("+").alias("new"))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "version_changed")
+    return both.select("path", "dependency", kind.alias("kind"), "old", "new").filter("kind IS NOT NULL")
+
+
+# What manifests belong to and the audits that changes of theirs ask for, the last of several kinds.
+ECOSYSTEMS = {"pyproject.toml": "python", "requirements.txt": "python", "package.json": "nodejs", "go.mod": "go"}
+AUDITS = {"python": "pip-audit", "nodejs": "npm audit", "go": "govulncheck ./...", "multi": "semgrep --config=auto"}
+
+
+def audits(manifests: DataFrame, changed: DataFrame) -> DataFrame:
+    """RUL-03 over path of the manifests of a change, and changes of dependencies: the audits to run, none without a change."""
+    kinds = F.create_map(*[F.lit(x) for pair in ECOSYSTEMS.items() for x in pair])
+    known = manifests.select(F.try_element_at(kinds, F.regexp_extract("path", "([^/]*)$", 1)).alias("kind")).filter("kind IS NOT NULL").distinct()
+    some = known.join(changed.select(F.lit(1)).limit(1), how="left_semi")
+    several = some.agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("multi").alias("kind"))
+    named = F.create_map(*[F.lit(x) for pair in AUDITS.items() for x in pair])
+    return some.unionAll(several).select("kind", named[F.col("kind")].alias("audit"))
 
 
 def digest(value: dict) -> str:

@@ -59,7 +59,8 @@ def scope_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    rows = changes(spark, d).withColumn("old_hash", F.when(F.col("id") % 10 != 0, F.sha2("path", 256))).withColumn("new_hash", F.when(F.col("id") % 50 == 1, "other").otherwise(F.sha2("path", 256)))
+    path = F.when(F.col("id") % 29 == 0, F.lit("lib/pom.xml")).when(F.col("id") % 31 == 0, F.lit("lib/setup.py")).when(F.col("id") % 37 == 0, F.lit("src/requirements-dev.txt")).when(F.col("id") % 41 == 0, F.lit("lib/requirements-dev.txt")).otherwise(F.col("path"))
+    rows = changes(spark, d).withColumn("path", path).withColumn("old_hash", F.when(F.col("id") % 10 != 0, F.sha2("path", 256))).withColumn("new_hash", F.when(F.col("id") % 50 == 1, "other").otherwise(F.sha2("path", 256)))
     return R.gate_facts(rows, ALLOWED, PROTECTED, DECLARED)
 
 
@@ -94,7 +95,8 @@ def companion_tests(spark: SparkSession, d: str) -> DataFrame:
     """JOI-15: sources are among those of which a test with the same stem may be; here stems end with the part's number."""
     rows = changes(spark, d)
     more = rows.filter("id % 9 = 0").select("id", F.concat(F.lit("tests/test_"), P.stem(F.col("path")), F.lit(".py")).alias("path"), "n_lines")
-    return R.companions(rows.unionByName(more)).groupBy("tested").agg(F.count("*").alias("n"))
+    kept = rows.filter("id % 13 = 0").select("id", F.concat(F.lit("more/tests/test_"), P.stem(F.col("path")), F.lit(".py.snap")).alias("path"), "n_lines")
+    return R.companions(rows.unionByName(more).unionByName(kept)).groupBy("tested").agg(F.count("*").alias("n"))
 
 
 def change_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -117,8 +119,18 @@ _HEADERS = "concat(CASE p_partkey % 6 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN
 
 def commit_headers(spark: SparkSession, d: str) -> DataFrame:
     """EXT-25, RUL-24."""
-    rows = table(spark, d, "part").select("p_partkey", F.expr(_HEADERS).alias("header"))
-    return rows.select("p_partkey", *R.commit_parts(F.col("header")), F.array_join(R.commit_problems(F.col("header")), ",").alias("problems"))
+    k = F.col("p_partkey")
+    header = F.when(k % 13 == 0, F.lit("feat: Upper")).when(k % 17 == 0, F.concat(F.lit("fix("), F.repeat(F.lit("s"), k % 40), F.lit("): "), F.repeat(F.lit("w"), k % 90 + 1))).otherwise(F.expr(_HEADERS))
+    rows = table(spark, d, "part").select("p_partkey", header.alias("header"))
+    parts = rows.select("p_partkey", *R.commit_parts(F.col("header")))
+    return parts.withColumn("problems", F.array_join(R.commit_problems(F.col("type"), F.col("scope"), F.col("subject")), ","))
+
+
+def commit_messages(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-24: messages put together of parts."""
+    k = F.col("p_partkey")
+    scope, body, breaking = F.when(k % 2 == 0, F.col("p_type")), F.when(k % 3 == 0, F.concat(F.lit(" "), "p_brand", F.lit("\n"))), F.when(k % 5 == 0, F.col("p_name")).otherwise("  ")
+    return table(spark, d, "part").select("p_partkey", R.commit_message(F.lit("feat"), F.concat(F.col("p_name"), F.lit(" ")), scope, body, breaking).alias("message"))
 
 
 def release_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +168,7 @@ def repeated_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (change_categories, change_groups, change_group_files, dependency_file_list, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
+QUERIES = {f.__name__: f for f in (change_categories, change_groups, change_group_files, dependency_file_list, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, commit_messages, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
 
 
 def _in(values: list[str]) -> str:
@@ -193,10 +205,14 @@ _SCOPE = [
 _LOCK = [("dependency.guard", "lock_not_updated", "warning", "path", "WHERE name IN ('package.json', 'requirements.txt')")]
 _SECRET = [("security", "sensitive_data", "error", "path", "WHERE name = '.env' GROUP BY path")]
 _all = lambda *rules: " UNION ALL ".join(_FOUND.format(*r) for r in rules)
-_GATE = f"""WITH {_P}, f AS (SELECT 'path.protected_modified' AS rule, 'high' AS confidence, path AS subject FROM k WHERE protected
-    UNION ALL SELECT 'deps.manifest_changed_without_scope', 'high', path FROM k WHERE NOT allowed AND name IN ('package.json', 'requirements.txt')
-    UNION ALL SELECT 'scope.unlisted_file_modified', 'high', path FROM k WHERE NOT allowed AND NOT protected AND name NOT IN ('package.json', 'requirements.txt')
-    UNION ALL SELECT 'patch.binary_or_generated_file_modified', 'high', path FROM k WHERE suffix = '.png'
+_GATE = """WITH c AS (""" + CHANGES_SQL + """), m AS (SELECT id, CASE WHEN id % 29 = 0 THEN 'lib/pom.xml' WHEN id % 31 = 0 THEN 'lib/setup.py' WHEN id % 37 = 0 THEN 'src/requirements-dev.txt' WHEN id % 41 = 0 THEN 'lib/requirements-dev.txt' ELSE path END AS path FROM c),
+    k AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, (path LIKE 'src/%' OR path LIKE 'tests/%' OR path LIKE 'docs/%.md') AS allowed,
+        (regexp_extract(path, '([^/]*)$', 1) = '.env' OR path LIKE '%/models.py' OR regexp_extract(path, '([^/]*)$', 1) LIKE 'Docker%') AS protected,
+        regexp_extract(path, '([^/]*)$', 1) IN ('pyproject.toml', 'package.json', 'go.mod', 'Cargo.toml', 'pom.xml') OR regexp_matches(path, '(^|/)requirements[^/]*[.]txt$') AS manifest FROM m),
+    f AS (SELECT 'path.protected_modified' AS rule, 'high' AS confidence, path AS subject FROM k WHERE protected
+    UNION ALL SELECT 'deps.manifest_changed_without_scope', 'high', path FROM k WHERE NOT allowed AND manifest
+    UNION ALL SELECT 'scope.unlisted_file_modified', 'high', path FROM k WHERE NOT allowed AND NOT protected AND NOT manifest
+    UNION ALL SELECT 'patch.binary_or_generated_file_modified', 'high', path FROM k WHERE path LIKE '%.png'
     UNION ALL SELECT 'patch.hash_mismatch', 'high', path FROM k WHERE id % 50 = 1 UNION ALL SELECT 'scope.declared_exceeds_authorized', 'high', 'lib/*'),
     s AS (SELECT *, CASE WHEN rule LIKE 'deps%' OR rule LIKE '%exceeds%' THEN 'warn' ELSE 'block' END AS severity FROM f
         UNION ALL SELECT 'patch.unverifiable_source', 'low', path, 'warn' FROM k WHERE id % 10 = 0)"""
@@ -221,12 +237,17 @@ ORACLES = {
     "severity_tally": f"WITH {_P}, f AS ({_all(*_BUDGET, *_DEV, *_SCOPE, *_LOCK, *_SECRET)}) SELECT rule_set, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'error') = 0 AS passed FROM f GROUP BY 1",
     "lock_sync": f"WITH {_P} SELECT 'dependency.guard' AS rule_set, 'lock_not_updated' AS rule, 'warning' AS severity, path AS subject, CAST(NULL AS INTEGER) AS line FROM k WHERE name IN ('package.json', 'requirements.txt') AND path NOT IN (SELECT path FROM k WHERE id % 2 = 0)",
     "companion_tests": f"""WITH {_P}, s AS (SELECT *, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM k),
-        t AS (SELECT DISTINCT regexp_replace(stem, '^test_', '') AS stem FROM s WHERE category = 'test' UNION SELECT stem FROM s WHERE id % 9 = 0)
-        SELECT stem IN (SELECT stem FROM t) AS tested, count(*) AS n FROM s WHERE category = 'source' GROUP BY 1""",
+        t AS (SELECT DISTINCT substr(stem, 6) AS stem FROM s WHERE category = 'test' AND stem LIKE 'test_%' UNION SELECT stem FROM s WHERE id % 9 = 0)
+        SELECT stem IN (SELECT stem FROM t) OR (suffix = '.py' AND stem IN (SELECT stem FROM s WHERE id % 13 = 0)) AS tested, count(*) AS n FROM s WHERE category = 'source' GROUP BY 1""",
     "change_manifest": f"WITH {_P} SELECT count(*) AS n_files, 'feature' AS change_type, bool_or(name IN {_in(R.SURFACE_NAMES)}) AS surface, CASE WHEN count(*) = 0 THEN 'R0' WHEN bool_or(name IN {_in(R.SURFACE_NAMES)}) OR count(*) >= 5 THEN 'R2' ELSE 'R1' END AS risk, TRUE AS docs_due FROM k",
     "review_first": f"WITH {_P} SELECT id, path, CASE WHEN is_schema THEN 0 WHEN category = 'manifest' THEN 1 WHEN category = 'source' THEN 2 WHEN category = 'test' THEN 3 WHEN category = 'config' AND name <> '.env' THEN 4 ELSE 5 END AS rank FROM k ORDER BY rank, id LIMIT 8",
     "region_paths": f"WITH {_P} SELECT CASE WHEN path LIKE 'tests/economy/%' THEN 'forbidden' WHEN path LIKE 'src/promo/%' THEN 'cautious' WHEN path LIKE 'src/%' OR path LIKE 'docs/%' THEN 'editable' ELSE 'unknown' END AS region, count(*) AS n FROM k GROUP BY 1",
-    "commit_headers": f"WITH {_HEAD} SELECT p_partkey, type, scope, breaking, subject, concat_ws(',', CASE WHEN type = '' THEN 'form' END, CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN subject LIKE '%.' THEN 'stop' END) AS problems FROM x",
+    "commit_headers": f"""WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'feat: Upper' WHEN p_partkey % 17 = 0 THEN concat('fix(', repeat('s', p_partkey % 40), '): ', repeat('w', p_partkey % 90 + 1)) ELSE {_HEADERS} END AS header FROM part),
+        e AS (SELECT p_partkey, regexp_extract(header, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', ['type', 'scope', 'mark', 'subject']) AS x FROM h)
+        SELECT p_partkey, x.type AS type, x.scope AS scope, x.mark = '!' AS breaking, x.subject AS subject, concat_ws(',', CASE WHEN x.type IN ('odd', '') THEN 'type' END, CASE WHEN x.subject = '' THEN 'subject' END,
+            CASE WHEN length(x.subject) > 72 THEN 'length' END, CASE WHEN x.subject = 'Upper' THEN 'capital' END, CASE WHEN x.subject LIKE '%.' THEN 'stop' END, CASE WHEN length(x.scope) > 30 THEN 'scope' END) AS problems FROM e""",
+    "commit_messages": """SELECT p_partkey, concat('feat', CASE WHEN p_partkey % 2 = 0 THEN concat('(', p_type, ')') ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '!' ELSE '' END, ': ', p_name,
+        CASE WHEN p_partkey % 3 = 0 THEN concat(chr(10), chr(10), p_brand) ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN concat(chr(10), chr(10), 'BREAKING CHANGE: ', p_name) ELSE '' END) AS message FROM part""",
     "release_plan": f"""WITH {_HEAD} SELECT count(*) AS n_commits, count(*) FILTER (type = 'feat') AS n_feat, bool_or(breaking) AS breaking, CASE WHEN bool_or(breaking) THEN 'major' WHEN count(*) FILTER (type = 'feat') > 0 THEN 'minor' ELSE 'patch' END AS bump, (SELECT max(concat('v0.', p_size, '.0')) FROM part) AS tag,
         CASE WHEN bool_or(breaking) THEN 'v1.0.0' WHEN count(*) FILTER (type = 'feat') > 0 THEN (SELECT concat('v0.', max_by(p_size, CAST(p_size AS VARCHAR)) + 1, '.0') FROM part) ELSE (SELECT concat('v0.', max_by(p_size, CAST(p_size AS VARCHAR)), '.1') FROM part) END AS next FROM x""",
     "diff_signals": f"""WITH {_P}, w AS (SELECT *, CASE WHEN category = 'config' AND lower(name) IN {_in(P.CHANGE_CONFIG_EXTENSIONS)} THEN 'other' ELSE category END AS cat FROM k)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import rules as R
 from tessera.operators import search as S
 from tessera.operators import texts as X
+from tessera.plans.bindings import CHANGES_SQL, sql
 from tessera.session import table
 
 #: A share of different characters and a form of assignment that select lines of these texts; the rules' own select none.
@@ -80,9 +83,33 @@ def search_like(spark: SparkSession, d: str) -> DataFrame:
     return S.like(_docs(spark, d), "doc_id", ["text"], LIKE).select("doc_id")
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _indexed(rows: DataFrame, key: str, columns: list[str], d: str, name: str) -> str:
+    """The index of rows made of the tables under d: written by the first search of an application, read by later ones."""
+    known = (rows.sparkSession.sparkContext.applicationId, d, name)
+    if known not in _indexes:
+        _indexes[known] = S.index(rows, key, columns)
+    return _indexes[known]
+
+
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     """SEA-01, TOP-01: the twenty documents that answer best."""
-    return S.bm25(_docs(spark, d), "doc_id", "text", QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    path = _indexed(_docs(spark, d), "doc_id", ["text"], d, "documents")
+    return S.lookup(spark, path, QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+ARTIFACTS_SQL = f"SELECT concat('code:part:', CAST(id AS VARCHAR(20))) AS id, lower(p_type) AS type, p_name AS name, path AS file_path FROM ({CHANGES_SQL}) c JOIN part ON p_partkey = id"
+ARTIFACT_QUERIES = ["widget", "bolt src", "Small promo", "package json tests", "no such words", "gear gear"]
+
+
+def search_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-01 over id, type, name and path of artifacts: several queries of one index."""
+    rows = sql(spark, d, ARTIFACTS_SQL, "part")
+    path = _indexed(rows, "id", ["id", "type", "name", "file_path"], d, "artifacts")
+    each = [S.lookup(spark, path, q).select(F.lit(q).alias("query"), F.col("key").alias("id"), F.round("score", 6).alias("score")) for q in ARTIFACT_QUERIES]
+    return reduce(DataFrame.unionAll, each)
 
 
 def search_combined(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +150,7 @@ def events_daily(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (page_titles, doc_headings, mentions, code_line_counts, diff_stats, secret_scan, risk_keywords, max_risk, qa_checklist, task_keywords, search_like, search_bm25, search_combined, stale_baselines, capability_gaps, shared_words, stale_docs, events_daily)}
+QUERIES = {f.__name__: f for f in (page_titles, doc_headings, mentions, code_line_counts, diff_stats, secret_scan, risk_keywords, max_risk, qa_checklist, task_keywords, search_like, search_bm25, search_artifacts, search_combined, stale_baselines, capability_gaps, shared_words, stale_docs, events_daily)}
 _LINES = "l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, trim(unnest(x)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), k AS (SELECT * FROM l WHERE s <> '' AND s NOT LIKE '#%' AND s NOT LIKE '//%')"
 _SECRETS = "|".join(R.SECRET_WORDS)
 _TERMS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}\\p{Co}]+'), lambda w: w <> '')"
@@ -151,6 +178,14 @@ ORACLES = {
         s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
         SELECT doc_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score
         FROM c, s WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "search_artifacts": f"""WITH a AS ({ARTIFACTS_SQL}), t AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', id, type, name, file_path))), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda w: w <> '') AS w FROM a),
+        z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t), q(query, word, times) AS (VALUES ('widget', 'widget', 1), ('bolt src', 'bolt', 1), ('bolt src', 'src', 1), ('Small promo', 'small', 1), ('Small promo', 'promo', 1),
+            ('package json tests', 'package', 1), ('package json tests', 'json', 1), ('package json tests', 'tests', 1), ('gear gear', 'gear', 2)),
+        c AS (SELECT word, id, len(t.w) AS l, len(list_filter(t.w, lambda x: x = word)) AS tf FROM (SELECT DISTINCT word FROM q), t WHERE list_contains(t.w, word)),
+        f AS (SELECT word, count(*) AS df FROM c GROUP BY 1),
+        s AS (SELECT query, id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score, count(*) AS k FROM q JOIN c USING (word) JOIN f USING (word), z GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS p FROM s WHERE k = (SELECT count(*) FROM q q2 WHERE q2.query = s.query))
+        SELECT query, id, round(score, 6) AS score FROM r WHERE p <= 20""",
     "search_combined": "SELECT 'part' AS kind, p_partkey AS id FROM (SELECT * FROM part WHERE p_name ILIKE '%bolt%' ORDER BY p_partkey LIMIT 50) WHERE p_size < 10 UNION ALL SELECT 'document', doc_id FROM (SELECT doc_id FROM documents WHERE text ILIKE '%tion%' ORDER BY doc_id LIMIT 5)",
     "stale_baselines": "SELECT doc_id, (doc_id % 300)::INT AS stale, (SELECT max(doc_id % 300) FROM documents WHERE doc_id < 200)::INT AS top FROM documents WHERE doc_id >= 200 AND doc_id % 300 < (SELECT max(doc_id % 300) FROM documents WHERE doc_id < 200) - 50",
     "capability_gaps": "SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word NOT IN (SELECT unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) FROM conversations WHERE role = 'user')",

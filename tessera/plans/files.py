@@ -9,6 +9,8 @@ from tessera.functions import paths as P
 from tessera.operators import snapshot as S
 from tessera.plans.bindings import FILE_PATH, files
 from tessera.session import table
+from tessera.sources import snapshots as N
+from tessera.sources.store import fresh_path
 
 #: Bytes above which a file isn't hashed, and what stands for its hash.
 LARGEST, OVERSIZED = 1 << 20, " oversized"
@@ -48,6 +50,26 @@ def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
     return S.upsert(old, new, ["path"], ["content_hash"])
 
 
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-01 written: the paths and contents of a table after two upserts, and whether its first version has them."""
+    path = fresh_path(spark, "snapshot")
+    old, new = _versions(spark, d)
+    N.upsert(path, old, ["path"], ["content_hash"])
+    N.upsert(path, new, ["path"], ["content_hash"], whole=True)
+    N.upsert(path, new.filter("doc_id < 0"), ["path"], ["content_hash"])
+    first = N.read(spark, path, 0).select("path", "content_hash", F.lit(True).alias("was_first"))
+    return N.read(spark, path).select("path", "content_hash").join(first, ["path", "content_hash"], "left").select("path", "content_hash", F.coalesce("was_first", F.lit(False)).alias("was_first"))
+
+
+def relation_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-03 written: of each order and supplier the last line's discount, after lines came in two lots."""
+    path = fresh_path(spark, "relations")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount")
+    for lot in (rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber > 3")):
+        N.upsert(path, lot, ["l_orderkey", "l_suppkey"], ["l_discount"], order=["l_linenumber", "l_extendedprice", "l_discount"])
+    return N.read(spark, path).select("l_orderkey", "l_suppkey", "l_discount")
+
+
 def snapshot_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """SNK-02: an upsert by id that compares place and lines, and names too."""
     old = table(spark, d, "part").select(F.concat(F.lit("code:"), "p_partkey").alias("id"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), "p_name")
@@ -125,7 +147,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return count("nation").unionAll(count("supplier")).unionAll(count("part")).unionAll(count("labels"))
 
 
-QUERIES = {f.__name__: f for f in (file_catalog, language_stats, listed_files, duplicate_content, snapshot_files, snapshot_artifacts, relation_latest, relation_append, audit_latest, version_diff, line_diff, set_difference, set_common, set_union, coverage, table_counts)}
+QUERIES = {f.__name__: f for f in (file_catalog, language_stats, listed_files, duplicate_content, snapshot_files, snapshot_versions, snapshot_artifacts, relation_latest, relation_upserts, relation_append, audit_latest, version_diff, line_diff, set_difference, set_common, set_union, coverage, table_counts)}
 _FILES = f"f AS (SELECT doc_id, {FILE_PATH} AS path, octet_length(encode(text)) AS size, sha256(text) AS content_hash FROM documents)"
 _CATALOG = f"""{_FILES}, c AS (SELECT path, CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'text' ELSE 'css' END AS language,
     CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 2 THEN 'document' ELSE 'source' END AS kind, size,
@@ -139,6 +161,8 @@ ORACLES = {
     "snapshot_files": f"""WITH {_FILES}, a AS (SELECT path, content_hash AS h FROM f WHERE doc_id % 10 <> 3), b AS (SELECT path, CASE WHEN doc_id % 6 = 0 THEN 'edited' ELSE content_hash END AS h FROM f WHERE doc_id % 10 <> 7)
         SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'inserted' WHEN b.path IS NULL THEN 'removed' WHEN a.h = b.h THEN 'skipped' ELSE 'updated' END AS action FROM a FULL JOIN b ON a.path = b.path""",
     "snapshot_artifacts": "SELECT CASE WHEN p_size = 9 THEN 'removed' WHEN p_brand = 'Brand#3' THEN 'updated' ELSE 'skipped' END AS action, count(*) AS n FROM part GROUP BY 1",
+    "snapshot_versions": f"WITH {_FILES} SELECT path, CASE WHEN doc_id % 6 = 0 THEN 'edited' ELSE content_hash END AS content_hash, doc_id % 10 <> 3 AND doc_id % 6 <> 0 AS was_first FROM f WHERE doc_id % 10 <> 7",
+    "relation_upserts": "SELECT l_orderkey, l_suppkey, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_extendedprice DESC, l_discount DESC) AS k FROM lineitem) WHERE k = 1",
     "relation_latest": "SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_extendedprice DESC, l_discount DESC) AS k FROM lineitem) WHERE k = 1",
     "relation_append": "SELECT n_nationkey, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 1",
     "audit_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",

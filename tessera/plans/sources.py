@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.operators import code as C
+from tessera.operators import extract as E
 from tessera.operators import rules as R
+from tessera.operators import snapshot as S
 from tessera.operators import texts as X
 from tessera.operators import upkeep as U
+from tessera.operators.cycles import strong_components
 from tessera.plans.bindings import CHANGES_SQL, changes
 from tessera.session import table
 from tessera.sources import trees
+from tessera.sources.store import written
 
 PYTHON = """import os, lib.x as lx
 from .m{next} import run{next}
@@ -194,14 +198,71 @@ def diff_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_manifests(spark: SparkSession, d: str) -> DataFrame:
-    """EXT-23."""
-    found = U.manifest_status(_diffs(spark, d), ["requirements.txt"])
-    return found.select("path", "status", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "changed")])
+    """EXT-23: which manifests come and go."""
+    return U.manifest_status(_diffs(spark, d))
+
+
+#: For remainders of four: a manifest and the lines of its diff, of which some only move.
+MANIFEST_DIFFS = [
+    ("package.json", '-  "react": "^{s}",\n-  "a": "1",\n+  "a": "1",\n+  "react": "^99",\n+  "vue": "1"\n'),
+    ("pyproject.toml", '-  "flask[async]>={s}",\n+  "flask[async]>=99",\n+attrs = "^1",\n-python = "3"\n+# "none"\n'),
+    ("go.mod", "-\ta.org/x v1.0.{s}\n+\ta.org/x v1.99.0\n-require b.org/y v{s}\n module m\n"),
+    ("requirements.txt", "-requests=={s} ; python_version > '3'\n-six\n+six\n+requests==99 # c\n+numpy\n"),
+]
+
+
+def _manifest_diffs(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in MANIFEST_DIFFS]), (k % 4 + 1).cast("int"))
+    lines = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{s}"), s) for _, x in MANIFEST_DIFFS]), (k % 4 + 1).cast("int"))
+    path = F.concat(F.lit("v"), k, F.lit("/"), name)
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,9 +1,9 @@\n"))
+    return table(spark, d, "part").select(F.concat(head, lines).alias("diff"))
+
+
+def dependency_versions(spark: SparkSession, d: str) -> DataFrame:
+    """EXT-23: what changes in manifests of every kind, with versions."""
+    return U.manifest_changes(_manifest_diffs(spark, d))
 
 
 def dependency_changes(spark: SparkSession, d: str) -> DataFrame:
     """RUL-03: findings on manifests and dependencies of diffs."""
-    return R.dependency_findings(U.manifest_status(_diffs(spark, d), ["requirements.txt"])).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    diffs = _diffs(spark, d)
+    return R.dependency_findings(U.manifest_status(diffs), U.manifest_changes(diffs)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+def dependency_audits(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-03: the audits that the changes ask for."""
+    diffs = _manifest_diffs(spark, d)
+    return U.audits(U.manifest_status(diffs), U.manifest_changes(diffs))
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    """Files that can't be parsed: one for each region."""
+    return table(spark, d, "region").select(F.concat(F.lit("bad"), "r_regionkey", F.lit(".py")).alias("path"), F.lit("def (").alias("text"))
+
+
+def tree_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """EXT-13: what all extractors find in the tree and in files that can't be parsed."""
+    found = E.extracted(tree(spark, d).select("path", "text").unionAll(_broken(spark, d)))
+    return found.groupBy("extractor", "type", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.coalesce(F.sum("start_line"), F.lit(0)).alias("lines"))
+
+
+def tree_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """EXT-13 incrementally: every eleventh part's style sheet gets another variable, manifests of packages go."""
+    k = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    before = tree(spark, d).select("path", "text", F.sha2("text", 256).alias("content_hash"))
+    text = F.when(F.col("path").endswith(".css") & (k % 11 == 0), F.concat("text", F.lit(".b { --more: 1px; }\n"))).otherwise(F.col("text"))
+    after = tree(spark, d).filter("path NOT LIKE 'pkg/%'").select("path", text.alias("text"), F.sha2(text, 256).alias("content_hash"))
+    actions = written(S.upsert(before, after, ["path"], ["content_hash"]), "actions")
+    return E.refreshed(E.extracted(before), after, actions).groupBy("extractor", "type").agg(F.count("*").alias("n"))
+
+
+def tree_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """GRA-08, GRA-01: the files of the tree on cycles of imports, and the least path of their component."""
+    rows = strong_components(C.module_graph(tree(spark, d), _rules())[0])
+    least = rows.groupBy("root").agg(F.min("id").alias("first"))
+    return rows.join(least, "root").select(F.expr("substring(id, 13)").alias("path"), F.expr("substring(first, 13)").alias("first"))
 
 
 def git_listings(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +289,7 @@ def nation_lines(spark: SparkSession, d: str) -> DataFrame:
     return trees.json_lines(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-QUERIES = {f.__name__: f for f in (tree_symbols, tree_imports, tree_edges, tree_endpoints, tree_entrypoints, tree_models, tree_configurations, tree_dependencies, tree_variables, tree_colours, tree_logs, tree_security, page_forms, tree_stacks, diff_lines, diff_manifests, dependency_changes, git_listings, pattern_cover, nation_lines)}
+QUERIES = {f.__name__: f for f in (tree_symbols, tree_imports, tree_edges, tree_endpoints, tree_entrypoints, tree_models, tree_configurations, tree_dependencies, tree_variables, tree_colours, tree_logs, tree_security, page_forms, tree_stacks, tree_artifacts, tree_refreshed, tree_cycles, diff_lines, diff_manifests, dependency_versions, dependency_changes, dependency_audits, git_listings, pattern_cover, nation_lines)}
 _K = """k AS (SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 4 WHEN 0 THEN concat('app/m', p_partkey, '.py') WHEN 1 THEN concat('web/c', p_partkey, '.ts') WHEN 2 THEN concat('srv/g', p_partkey, '.go')
     ELSE CASE p_partkey % 16 WHEN 3 THEN concat('pkg/p', p_partkey, '/package.json') WHEN 7 THEN concat('style/t', p_partkey, '.css') WHEN 11 THEN concat('log/h', p_partkey, '.md') ELSE concat('bin/s', p_partkey, '.py') END END AS path FROM part)"""
 #: Symbols: which remainder of which divisor has them, kind, start of the name, whether the key follows, parent, lines, exported.
@@ -255,6 +316,11 @@ _TARGETS = [
     (_found("k - 4", "concat('web/c', k - 4, '.ts')"), "concat('unresolved:alias_file_not_found:@/c', k - 4)", "alias"), ("NULL", "'external:typescript:@scope/kit'", "none"), ("NULL", "'external:typescript:left-pad'", "none"),
     ("NULL", "'external:go:fmt'", "none"), ("NULL", "concat('external:go:x.org/d', k)", "none"), ("NULL", "'external:go:x.org/models'", "none"),
 ]
+#: Artifacts: extractor, type, which files have it and its first line (SQL).
+_ARTIFACTS = [
+    ("endpoints", "api_endpoint", "k % 4 = 0", "9"), ("design_tokens", "design_token", "k % 16 = 7", "2"), ("documents", "document", "k % 16 = 11", "NULL"), ("models", "model", "k % 8 = 0", "5"), ("configurations", "config", "k % 16 = 3", "NULL"),
+    *[("symbols", f"code:{kind}", f"k % {by} = {rest}", str(start)) for by, rest, kind, _, _, _, start, _, _ in _SYMBOLS], *[("imports", "import", f"k % 4 = {x[0]}", str(x[6])) for x in _IMPORTS],
+]
 _FLAWS = [
     ("input_validation", "error", 1), ("input_validation", "warning", 2), ("input_validation", "warning", 3), ("path_traversal", "warning", 3), ("command_injection", "error", 4), ("command_injection", "error", 5),
     ("command_injection", "warning", 6), ("eval_exec", "error", 7), ("eval_exec", "info", 8), ("sensitive_data", "warning", 10), ("sensitive_data", "info", 11), ("sensitive_data", "error", 12),
@@ -293,10 +359,21 @@ ORACLES = {
         t AS (SELECT subject, unnest(regexp_extract_all(text, '(?i)<(?:input|form)\\b[^>]*>')) AS tag FROM p) SELECT subject, 'info' AS severity, count(*) AS n FROM t WHERE NOT regexp_matches(tag, '(?i)\\b(required|pattern)\\b') GROUP BY 1""",
     "tree_stacks": f"SELECT technology, count(*) AS n, round(any_value(base) + count(*) * any_value(step), 6)::DOUBLE AS confidence FROM region JOIN {_TECHNOLOGIES} ON r = r_regionkey GROUP BY 1",
     "diff_lines": "SELECT concat('d', p_partkey, '/requirements.txt') AS file, p_size + i AS line, CASE WHEN i = 0 THEN 'both==9' ELSE concat('new', p_partkey, '>=2') END AS text FROM part, (VALUES (0), (1)) AS t(i) WHERE p_partkey % 3 <> 1",
-    "diff_manifests": """SELECT concat('d', k, '/requirements.txt') AS path, CASE r WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status, CASE r WHEN 0 THEN concat('both,new', k) WHEN 1 THEN '' ELSE concat('new', k) END AS added,
-        CASE r WHEN 0 THEN '' WHEN 1 THEN concat('both,old', k) ELSE concat('old', k) END AS removed, CASE r WHEN 2 THEN 'both' ELSE '' END AS changed FROM (SELECT p_partkey AS k, p_partkey % 3 AS r FROM part)""",
+    "diff_manifests": "SELECT concat('d', p_partkey, '/requirements.txt') AS path, CASE p_partkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status FROM part",
+    "dependency_versions": """SELECT concat('v', p_partkey, '/', file) AS path, dependency, kind, replace(old, '{s}', p_size::VARCHAR) AS old, new FROM part JOIN (VALUES
+        (0, 'package.json', 'react', 'version_changed', '^{s}', '^99'), (0, 'package.json', 'vue', 'added', NULL, '1'), (1, 'pyproject.toml', 'flask[async]', 'version_changed', '>={s}', '>=99'),
+        (1, 'pyproject.toml', 'attrs', 'added', NULL, '^1'), (1, 'pyproject.toml', '3', 'removed', '*', NULL), (2, 'go.mod', 'a.org/x', 'version_changed', 'v1.0.{s}', 'v1.99.0'), (2, 'go.mod', 'b.org/y', 'removed', 'v{s}', NULL),
+        (3, 'requirements.txt', 'requests', 'version_changed', '=={s}', '==99'), (3, 'requirements.txt', 'numpy', 'added', NULL, '*')) AS t(r, file, dependency, kind, old, new) ON r = p_partkey % 4""",
+    "dependency_audits": "SELECT * FROM (VALUES ('python', 'pip-audit'), ('nodejs', 'npm audit'), ('go', 'govulncheck ./...'), ('multi', 'semgrep --config=auto')) AS t(kind, audit)",
     "dependency_changes": """WITH f AS (SELECT unnest(CASE p_partkey % 3 WHEN 0 THEN ['manifest_added/info', 'dependency_added/warning', 'dependency_added/warning'] WHEN 1 THEN ['manifest_removed/error', 'dependency_removed/warning', 'dependency_removed/warning']
-        ELSE ['dependency_added/warning', 'dependency_removed/warning', 'dependency_version_changed/warning'] END) AS x FROM part) SELECT split_part(x, '/', 1) AS rule, split_part(x, '/', 2) AS severity, count(*) AS n FROM f GROUP BY 1, 2""",
+        ELSE ['dependency_added/warning', 'dependency_removed/warning', CASE WHEN p_size = 9 THEN '' ELSE 'dependency_version_changed/warning' END] END) AS x FROM part) SELECT split_part(x, '/', 1) AS rule, split_part(x, '/', 2) AS severity, count(*) AS n FROM f WHERE x <> '' GROUP BY 1, 2""",
+    "tree_artifacts": f"WITH {_K}, f AS (" + " UNION ALL ".join(f"SELECT '{x}' AS extractor, '{t}' AS type, path, {line}::BIGINT AS line FROM k WHERE {on}" for x, t, on, line in _ARTIFACTS)
+    + """), e AS (SELECT unnest(['symbols', 'imports']) AS extractor, concat('bad', r_regionkey) AS path FROM region)
+        SELECT extractor, type, FALSE AS failed, count(*) AS n, count(DISTINCT path) AS n_files, coalesce(sum(line), 0)::BIGINT AS lines FROM f GROUP BY 1, 2 UNION ALL SELECT extractor, NULL, TRUE, count(*), count(DISTINCT path), 0 FROM e GROUP BY 1""",
+    "tree_refreshed": f"WITH {_K}, f AS (" + " UNION ALL ".join(f"SELECT '{x}' AS extractor, '{t}' AS type, {'CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END' if t == 'design_token' else 1} AS m FROM k WHERE {on}" for x, t, on, line in _ARTIFACTS if "% 16 = 3" not in on)
+    + ") SELECT extractor, type, sum(m)::BIGINT AS n FROM f GROUP BY 1, 2",
+    "tree_cycles": f"""WITH RECURSIVE {_K}, w AS (SELECT k, path FROM k WHERE k % 4 = 1), s AS (SELECT w.*, sum(CASE WHEN p.k IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY w.k) AS run FROM w LEFT JOIN w p ON p.k = w.k - 4)
+        SELECT path, min(path) OVER (PARTITION BY run) AS first FROM s QUALIFY count(*) OVER (PARTITION BY run) > 1""",
     "git_listings": """SELECT concat('src/f', p_partkey, '.py') AS path, CASE p_partkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'A' ELSE 'R' END AS status, p_partkey % 3 = 2 AS staged, concat('a', p_partkey) AS hash, concat('fix: size ', p_size) AS header,
         CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'M' END AS change, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size END AS added, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 7 END AS deleted FROM part""",
     "pattern_cover": "WITH c AS (" + CHANGES_SQL + ") SELECT id, id % 5 IN (0, 2) OR (id % 5 = 1 AND path LIKE 'src/%') OR (id % 5 = 3 AND path LIKE 'src/%.py') OR (id % 5 = 4 AND path LIKE 'docs/%') AS covered FROM c",

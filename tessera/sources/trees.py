@@ -6,6 +6,9 @@ import json
 import re
 import subprocess
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,10 +17,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
+from tessera.sources.store import written
 
 LARGEST = 1 << 20
-# Directories that hold no sources.
-SKIPPED = ["node_modules", "__pycache__", "dist", "build", "venv", "target", "coverage"]
+# Folders, hidden ones aside, and files that the index leaves out, and those that artifacts aren't looked for in. The
+# forms with a star are meant as patterns.
+SKIPPED_FOLDERS = ["__pycache__", "node_modules", "venv", "dist", "build", "coverage", "target", "vendor", "eggs", "*.egg-info"]
+SKIPPED_FILES = [
+    "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dylib", "*.o", "*.a", "*.lib", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
+    "poetry.lock", "Pipfile.lock", ".DS_Store", "Thumbs.db",
+]
+ARTIFACT_FOLDERS = ["__pycache__", "node_modules", "venv", "dist", "build"]
+ARTIFACT_FILES = ["*.pyc", "*.pyo"]
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Which folders and files a scan leaves out, by patterns of their names; hidden folders always, hidden files if so."""
+
+    folders: tuple[str, ...]
+    files: tuple[str, ...]
+    hidden_files: bool
+
+    def enters(self, name: str) -> bool:
+        return not name.startswith(".") and not any(fnmatchcase(name, p) for p in self.folders)
+
+    def takes(self, name: str) -> bool:
+        return (self.hidden_files or not name.startswith(".")) and not any(fnmatchcase(name, p) for p in self.files)
+
+
+INDEX_SCAN = Scan(tuple(SKIPPED_FOLDERS), tuple(SKIPPED_FILES), True)
+ARTIFACT_SCAN = Scan(tuple(ARTIFACT_FOLDERS), tuple(ARTIFACT_FILES), False)
 
 
 def listed(root: str, seconds: int = 30) -> list[str] | None:
@@ -29,29 +59,47 @@ def listed(root: str, seconds: int = 30) -> list[str] | None:
     return sorted(set(out.stdout.splitlines()))
 
 
-def files(spark: SparkSession, root: str, largest: int = LARGEST, skipped: list[str] = SKIPPED, partitions: int = 64) -> DataFrame:
-    """SRC-02, SRC-03, SRC-05: path below root, language, kind, size, modified_at, content_hash and text of the files up to
-    `largest` bytes that no skipped or hidden directory holds.
+def walked(spark: SparkSession, root: str, scan: Scan = INDEX_SCAN, folders: int = 64) -> DataFrame:
+    """SRC-02, SRC-05: path below root, size and modified_at of the files that a scan takes.
 
-    The driver lists names and sizes, which drops large files before they are read; executors read the contents. Spark's
-    own file readers leave out empty files and names that begin with an underscore, which trees of sources have.
+    Folders are listed on executors, those of one depth in one round, which is written to the shared folder; the driver sees how many
+    there are and no name. A folder that goes meanwhile is empty. The skip lists are applied where names are read.
     """
     system, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else Path(root).resolve().as_uri())
-    found = []
-    for info in system.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)):
-        at = info.path.removeprefix(base.rstrip("/") + "/")
-        folders = at.split("/")[:-1]
-        if info.is_file and info.size <= largest and not any(d.startswith(".") or d in skipped for d in folders):
-            found.append((at, info.size, int(info.mtime.timestamp()) if info.mtime else None))
-    names = spark.createDataFrame(found, "path string, size long, modified_at long").repartition(max(1, min(partitions, len(found))), "path")
+    schema = "path string, is_folder boolean, size long, modified_at long"
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(pyarrow.fs.FileSelector(f"{base.rstrip('/')}/{folder}", recursive=False, allow_not_found=True))
+                took = [i for i in found if (scan.enters if i.type == pyarrow.fs.FileType.Directory else scan.takes)(i.base_name) and i.type != pyarrow.fs.FileType.NotFound]
+                columns = [[f"{folder}/{i.base_name}".lstrip("/") for i in took], [not i.is_file for i in took], [i.size for i in took], [int(i.mtime.timestamp()) if i.mtime else None for i in took]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["path", "is_folder", "size", "modified_at"])
+
+    depth, found = spark.createDataFrame([("",)], "path string"), []
+    while n := depth.count():
+        now = written(depth.repartition(max(1, min(folders, n)), "path").mapInArrow(listing, schema), "listing")
+        found.append(now.filter("NOT is_folder").select("path", "size", "modified_at"))
+        depth = now.filter("is_folder").select("path")
+    return reduce(DataFrame.unionAll, found)
+
+
+def files(spark: SparkSession, root: str, largest: int = LARGEST, scan: Scan = INDEX_SCAN, partitions: int = 64) -> DataFrame:
+    """SRC-02, SRC-03, SRC-05: path below root, language, kind, size, modified_at, content_hash and text of the files of a scan up to
+    `largest` bytes.
+
+    Large files go before anything of them is read. Spark's own file readers leave out empty files and names that begin with an
+    underscore, which trees of sources have.
+    """
+    system, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else Path(root).resolve().as_uri())
+    names = walked(spark, root, scan).filter(F.col("size") <= largest).repartition(partitions, "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = []
-            for at in batch.column(0).to_pylist():
-                with system.open_input_file(f"{base}/{at}") as file:
-                    contents.append(file.read())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary())], names=["path", "size", "modified_at", "content"])
+            for lo in range(batch.num_rows):  # one file at a time, as each may be a megabyte
+                row = batch.slice(lo, 1)
+                with system.open_input_file(f"{base.rstrip('/')}/{row.column(0)[0].as_py()}") as file:
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([file.read()], pa.binary())], names=["path", "size", "modified_at", "content"])
 
     rows, at = names.mapInArrow(read, "path string, size long, modified_at long, content binary"), F.col("path")
     return rows.select("path", P.language(at).alias("language"), P.file_kind(at).alias("kind"), "size", "modified_at", F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -78,6 +126,11 @@ def git_log(lines: Column) -> list[Column]:
     return [F.substring_index(lines, " ", 1).alias("hash"), F.regexp_replace(lines, r"^\S+\s*", "").alias("header")]
 
 
+def git_tags(lines: Column) -> Column:
+    """SRC-07: the name of a tag of a line of a listing of tags, null for a blank line."""
+    return F.nullif(F.trim(lines), F.lit(""))
+
+
 # Names of manifests and their kinds.
 MANIFEST_KINDS = {"package.json": "npm", "pyproject.toml": "python", "requirements.txt": "pip", "go.mod": "go", "manifest.json": "extension"}
 
