@@ -111,6 +111,8 @@ def read_png(data: bytes) -> tuple[np.ndarray, int]:
     if header is None or header[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not an 8-bit grey image without interlacing")
     width, height = header[:2]
+    if not width or not height:
+        raise ValueError("the image is empty")
     lines = np.frombuffer(zlib.decompress(b"".join(streams)), np.uint8)
     if len(lines) != height * (width + 1):
         raise ValueError("the stream's length doesn't fit the header")

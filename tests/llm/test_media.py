@@ -50,6 +50,16 @@ def test_hash_is_that_of_the_cosine_sums():
     assert media.cosine_hash(image) == np.packbits(low > np.median(low[1:])).tobytes()
 
 
+def empty(width, height):
+    """A sound PNG without pixels."""
+    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return media.SIGNATURE + media._chunk(b"IHDR", header) + media._chunk(b"IDAT", zlib.compress(bytes(height * (width + 1)))) + media._chunk(b"IEND", b"")
+
+
+def test_no_rows(spark):
+    assert media.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_frames(spark):
     rows = [(1, "text"), (2, None), (3, ""), (4, "long " * 50_000), (1, "text")]
     stored = media.encode(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -58,7 +68,7 @@ def test_frames(spark):
         value = (text or "").encode()
         assert r.error is None and r.n_bytes == r.stored_bytes == len(value) and bytes(r.pixels).startswith(value)
     assert found[0] == found[4]
-    bad = spark.createDataFrame([(1, bytes(found[0].png)[:-20]), (2, b"junk"), (3, None), (4, bytes(found[0].png).replace(b"IDAT", b"IDAX"))], "id int, png binary")
+    bad = spark.createDataFrame([(1, bytes(found[0].png)[:-20]), (2, b"junk"), (3, None), (4, bytes(found[0].png).replace(b"IDAT", b"IDAX")), (5, empty(0, 3)), (6, empty(3, 0)), (7, empty(0, 0))], "id int, png binary")
     assert all(r.error and r.pixels is None for r in media.decode(bad).collect())
     assert media.decode(stored.limit(0)).count() == 0
 
