@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.frames import column, with_arrays
+from tessera.llm.store import written
 from tessera.llm.text import chunks, raw
 
 #: Buckets that terms are hashed to.
 BUCKETS = 1 << 18
-#: Most labelled rows of each class that a model is fitted on.
-SAMPLE = 2500
+#: Most labelled rows of each class that a model is fitted on, and most bytes of their packed features, which the driver gets.
+SAMPLE, SAMPLE_BYTES = 2500, 64 << 20
 
 
 def fold(key: str, n: int) -> Column:
@@ -45,8 +47,9 @@ def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learned: Column, features: Callable, limit: int = SAMPLE) -> Sample:
-    """Features of at most `limit` labelled rows of each class, those with the least hashes of their keys.
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learned: Column, features: Callable, limit: int = SAMPLE, most: int = SAMPLE_BYTES) -> Sample:
+    """Features of at most `limit` labelled rows of each class, those with the least hashes of their keys, and of as many of these, class by
+    class in turn, as have `most` bytes of features together.
 
     Null keys and labels aren't learned from; of several labels of a key the largest counts, of several texts the one
     whose features sort first.
@@ -72,7 +75,17 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         return [pa.array(out, pa.binary())]
 
     made = with_arrays(rows, packed, [T.StructField("packed", T.BinaryType())], (text,))
-    found = sorted(made.groupBy(key, "label").agg(F.min("packed").alias("packed")).collect(), key=lambda r: (str(r[0]), r["label"]))
+    table = written(made.groupBy(key, "label").agg(F.min("packed").alias("packed")), "sample")
+    sizes, took, total = table.select(F.col(key).alias("key"), "label", F.octet_length("packed").alias("size"), F.xxhash64(key).alias("place")).collect(), [], 0
+    turns = [[r for r in sorted(sizes, key=lambda r: (r["place"], str(r["key"]))) if r["label"] == y] for y in (0, 1)]
+    for r in (r for pair in zip_longest(*turns) for r in pair if r is not None):
+        total += r["size"]
+        if total > most:
+            break
+        took.append((r["key"], r["label"]))
+    if len(took) < len(sizes):
+        table = table.join(F.broadcast(spark.createDataFrame(took, picked.schema)), [key, "label"])
+    found = sorted(table.collect(), key=lambda r: (str(r[0]), r["label"]))
     parts = [np.frombuffer(r["packed"], np.int32) for r in found]
     at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     total = sum(counts.values())

@@ -98,6 +98,20 @@ def test_the_sample_is_bounded_and_outside_the_fold(spark):
     assert abs(got.prior - sum(i % 2 for i in want) / len(want)) < 1e-12
 
 
+def test_the_sample_is_bounded_by_bytes(spark):
+    """Rows in the order of their keys' hashes, one of each class in turn, until the bytes are full."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    whole = sample(docs, labels, "doc_id", "text", "quality", F.lit(True), toxicity.features)
+    some = sample(docs, labels, "doc_id", "text", "quality", F.lit(True), toxicity.features, most=4 * int(whole.at[-1]) // 3)
+    assert len(whole.labels) == 40 and 10 <= len(some.labels) <= 14 and abs(2 * int(some.labels.sum()) - len(some.labels)) <= 1
+    assert some.buckets.nbytes <= 4 * int(whole.at[-1]) // 3 and some.prior == whole.prior
+    place = {i: h for i, h in docs.select("doc_id", F.xxhash64("doc_id")).collect()}
+    chosen = {i for y in (0, 1) for i in sorted((k for k in place if k % 2 == y), key=place.get)[: int((some.labels == y).sum())]}
+    own = sample(docs.filter(F.col("doc_id").isin(sorted(chosen))), labels, "doc_id", "text", "quality", F.lit(True), toxicity.features)
+    assert (own.buckets == some.buckets).all() and (own.labels == some.labels).all()
+
+
 def test_held_out_accuracy(spark, sf_dir):
     from tessera.llm.queries import op3_toxicity, op10_quality
 
