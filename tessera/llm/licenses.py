@@ -2,16 +2,15 @@
 
 Only DataFrame and SQL functions run here. Each line of a text is compared with all templates. Term weights are counts
 times inverse document frequencies among the templates; terms that no template has weigh the most. Lines without a
-telling term are left out before anything is joined: the rest of a template's terms have less than MATCH of its
-length, so such a line can't match. What is left are joins of (line, term) with the template terms, a table whose size
-is that of TEMPLATES. A file's licence is that of its best line, the first template by name on a tie.
+telling term are left out: the rest of a template's terms have less than MATCH of its length, so such a line can't match. The
+terms of other lines are counted in their row, where the templates' vectors are literals. A file's licence is that of its best line, the first template by name on a tie.
 
 Standard headers and full licence texts, wrapped as they may be, are compared by blocks of words: the terms are runs of
 SHINGLE words, so comment marks and line ends don't count, and terms that no template has are left out, so that code
 around a header doesn't count either; a term counts once. A template has the blocks of twice its span, the power of two from its number of
 terms on, that begin at each multiple of the span; any place where it can stand lies in one of them whole. A block goes
-before a line, as it says more. Texts without a word of LEGAL, of which each header and licence text has one, have no
-blocks.
+before a line, as it says more. Texts without a word of which each block that matches has one, as the templates tell, have
+no blocks.
 
 A file without a licence inherits that of the nearest directory on its path, its own first, for which a file declares
 one; of several in a directory the least path decides. Directories are resolved once each, before files meet them.
@@ -23,12 +22,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 from importlib.resources import files as resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.frames import unused
+from tessera.llm.store import written
 
 MATCH = 0.6
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -52,7 +53,6 @@ COMMON = ("the", "to", "of", "this", "is", "under", "by", "all", "work", "3", "2
 
 #: Words in a term of a block.
 SHINGLE = 3
-LEGAL = r"(?i)warrant|distribut|permission"
 #: Standard headers and full texts; a licence's name is what comes before a space.
 BLOCKS = {x.name.removesuffix(".txt").replace(".header", " header"): x.read_text("utf-8") for x in resources("tessera.llm").joinpath("licence_texts").iterdir()}
 
@@ -81,24 +81,47 @@ def telling(templates: dict[str, str] = TEMPLATES, match: float = MATCH) -> list
     return sorted(set(idf) - weak)
 
 
-def matches(files: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES, match: float = MATCH) -> DataFrame:
-    """key, license and score of the files with a line like a template."""
-    spark = files.sparkSession
+def line_match(text: Column, templates: dict[str, str] = TEMPLATES, match: float = MATCH) -> Column:
+    """The least score's opposite and the licence (least, license) of the line of a text that is most like a template; null for none.
+
+    A line's terms are sorted and their runs counted in the row, and templates are literals, so nothing is joined or grouped.
+    """
     units, idf, other = weights(templates)
-    vectors = F.broadcast(spark.createDataFrame([(w, k, x) for k, v in units.items() for w, x in v.items()], "term string, license string, unit double"))
-    terms = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    names = sorted(units)
+    vectors = F.create_map(*[x for w in sorted(idf) for x in (F.lit(w), F.struct(F.lit(idf[w]).alias("idf"), F.array(*[F.lit(units[k].get(w, 0.0)) for k in names]).alias("units")))])
     any_of = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(w) for w in telling(templates, match)) + ")(?![a-z0-9])"
-    lines = files.filter(F.col(text).rlike(any_of)).select(key, F.posexplode(F.split(text, "\n")).alias("line", "said")).filter(F.col("said").rlike(any_of))
-    # Rows that repeat a key are told apart by what they say.
-    lines = lines.select(key, "line", F.lower("said").alias("said")).distinct()
-    counted = lines.select(key, "line", "said", F.explode(F.regexp_extract_all("said", F.lit(WORD), 0)).alias("term")).groupBy(key, "line", "said", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(terms, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    length = weighed.groupBy(F.col(key).alias("_key"), F.col("line").alias("_line"), F.col("said").alias("_said")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(vectors, "term").groupBy(key, "line", "said", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("line") == F.col("_line")) & (F.col("said") == F.col("_said"))
-    scores = dots.join(length, same).select(key, "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= match)
-    best = F.struct((-F.col("score")).alias("least"), "license")
-    return scores.groupBy(key).agg(F.min(best).alias("best")).select(key, F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
+
+    def scored(line: Column) -> Column:
+        words = F.sort_array(F.regexp_extract_all(F.lower(line), F.lit(WORD), 0))
+        # (word, how often so far, whether it is the last of its run), folded into the length and the dots.
+        nothing = F.struct(F.lit("").alias("word"), F.lit(0).alias("tf"), F.lit(0.0).alias("square"), F.array(*[F.lit(0.0)] * len(names)).alias("dots"))
+
+        def closed(a: Column) -> tuple[Column, Column]:
+            known = F.try_element_at(vectors, a["word"])
+            w = a["tf"] * F.coalesce(known["idf"], F.lit(other))
+            return a["square"] + w * w, F.when(known.isNull(), a["dots"]).otherwise(F.zip_with(a["dots"], known["units"], lambda d, u: d + w * u))
+
+        def step(a: Column, word: Column) -> Column:
+            square, dots = closed(a)
+            more = F.struct(a["word"].alias("word"), (a["tf"] + 1).alias("tf"), a["square"].alias("square"), a["dots"].alias("dots"))
+            return F.when(a["word"] == word, more).otherwise(F.struct(word.alias("word"), F.lit(1).alias("tf"), square.alias("square"), dots.alias("dots")))
+
+        def best(a: Column) -> Column:
+            square, dots = closed(a)
+            each = F.zip_with(dots, F.array(*map(F.lit, names)), lambda d, k: F.struct((-F.round(d / F.sqrt(square), 6)).alias("least"), k.alias("license")))
+            return F.array_min(each)
+
+        return F.aggregate(words, nothing, step, best)
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(any_of))
+    found = F.array_min(F.filter(F.transform(lines, scored), lambda x: x["least"] <= -match))
+    return F.when(text.rlike(any_of), found)
+
+
+def matches(files: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES, match: float = MATCH) -> DataFrame:
+    """key, license and score of the rows with a line like a template; rows that repeat a key are rows of their own."""
+    found = files.select(key, line_match(F.col(text), templates, match).alias("best")).filter("best IS NOT NULL")
+    return found.select(key, F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
 
 
 def shingles(text: str) -> list[str]:
@@ -107,8 +130,44 @@ def shingles(text: str) -> list[str]:
     return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
 
 
+def legal(templates: dict[str, str] = BLOCKS, match: float = MATCH) -> str:
+    """A pattern of words in lower case of which each block that matches a template has one: for every template, its terms without such a word are
+    less than `match` of its length. Words of five letters or more are taken first, as other texts have fewer of them."""
+    return _legal(tuple(sorted(templates.items())), match)
+
+
+@cache
+def _legal(templates: tuple[tuple[str, str], ...], match: float) -> str:
+    units = _weights({k: Counter(set(shingles(v))) for k, v in templates})[0]
+    left = {k: sum(x * x for x in v.values()) for k, v in units.items()}
+    terms = [(k, x * x, set(t.split(" "))) for k, v in units.items() for t, x in v.items()]
+    chosen: list[str] = []
+    for least in (5, 1):
+        while any(x >= match * match for x in left.values()):
+            gain: Counter = Counter()
+            for k, x, words in terms:
+                if left[k] >= match * match:
+                    for w in words:
+                        if len(w) >= least:
+                            gain[w] += x
+            if not gain:
+                break
+            word = min(gain, key=lambda w: (-gain[w], w))
+            chosen.append(word)
+            for k, x, words in terms:
+                if word in words:
+                    left[k] -= x
+            terms = [t for t in terms if word not in t[2]]
+    return "(?<![a-z0-9])(" + "|".join(map(re.escape, chosen)) + ")(?![a-z0-9])"
+
+
+def _mark(text: Column) -> Column:
+    """What tells texts apart where rows repeat a key."""
+    return F.xxhash64(F.lower(text), F.octet_length(text))
+
+
 def blocks(files: DataFrame, key: str, text: str, templates: dict[str, str] = BLOCKS, match: float = MATCH) -> DataFrame:
-    """key, license and score of the files with a block like a header or a licence text."""
+    """key, mark of the text, license and score of the files with a block like a header or a licence text."""
     spark = files.sparkSession
     said = {k: shingles(v) for k, v in templates.items()}
     units, idf, _ = _weights({k: Counter(set(v)) for k, v in said.items()})
@@ -116,24 +175,28 @@ def blocks(files: DataFrame, key: str, text: str, templates: dict[str, str] = BL
     terms = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     rows = [(w, k, k.split(" ")[0], spans[k], x) for k, v in units.items() for w, x in v.items()]
     vectors = F.broadcast(spark.createDataFrame(rows, "term string, template string, license string, span int, unit double"))
-    # Rows that repeat a key are told apart by what they say.
-    said = files.filter(F.col(text).rlike(LEGAL)).select(key, F.lower(text).alias("said"))
-    words = said.select(key, F.xxhash64("said").alias("said"), F.regexp_extract_all("said", F.lit(WORD), 0).alias("words")).filter(F.size("words") >= SHINGLE)
+    said = files.filter(F.lower(text).rlike(legal(templates, match))).select(key, F.lower(text).alias("said"), _mark(F.col(text)).alias("mark")).dropDuplicates([key, "mark"])
+    words = said.select(key, "mark", F.regexp_extract_all("said", F.lit(WORD), 0).alias("words")).filter(F.size("words") >= SHINGLE)
     runs = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(SHINGLE)]))
-    known = words.select(key, "said", F.posexplode(runs).alias("at", "term")).join(terms, "term")
+    known = words.select(key, "mark", F.posexplode(runs).alias("at", "term")).join(terms, "term")
     within = F.explode(F.array(*[F.struct(F.lit(n).alias("span"), (F.floor(F.col("at") / n) - back).alias("block")) for n in sorted(set(spans.values())) for back in (0, 1)]))
-    block = [key, "said", "span", "block"]
-    weighed = known.select(key, "said", "term", "idf", within.alias("in")).select(key, "said", "in.span", "in.block", "term", "idf").groupBy(*block, "term").agg(F.first("idf").alias("w"))
+    block = [key, "mark", "span", "block"]
+    weighed = known.select(key, "mark", "term", "idf", within.alias("in")).select(key, "mark", "in.span", "in.block", "term", "idf").groupBy(*block, "term").agg(F.first("idf").alias("w"))
     weighed = weighed.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*block))))
     dots = weighed.join(vectors, ["term", "span"]).groupBy(*block, "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.first("length").alias("length"))
-    scores = dots.select(key, "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= match)
-    return scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("least"), "license")).alias("best")).select(key, F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
+    scores = dots.select(key, "mark", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= match)
+    return scores.groupBy(key, "mark").agg(F.min(F.struct((-F.col("score")).alias("least"), "license")).alias("best")).select(key, "mark", F.col("best.license").alias("license"), (-F.col("best.least")).alias("score"))
 
 
 def declared_by(files: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """key, license and score of the files with a block or else a line like a template."""
-    found = blocks(files, key, text).withColumn("rank", F.lit(0)).unionByName(matches(files, key, text, templates).withColumn("rank", F.lit(1)))
-    return found.groupBy(key).agg(F.min(F.struct("rank", "license", "score")).alias("best")).select(key, "best.license", "best.score")
+    """files without their text, with own_license and own_score: those of a block, or else of a line, like a template; null for none. Each
+    row has its own, whatever its key is."""
+    mark, of, line = (unused(files, name) for name in ("mark", "of", "line"))
+    found = blocks(files, key, text).select(F.col(key).alias(of), F.col("mark").alias(f"{of}_mark"), F.struct(F.col("license"), F.col("score")).alias(f"{of}_best"))
+    rows = files.withColumns({mark: _mark(F.col(text)), line: line_match(F.col(text), templates)}).drop(text)
+    joined = rows.join(found, F.col(key).eqNullSafe(F.col(of)) & (F.col(mark) == F.col(f"{of}_mark")), "left")
+    kept = [c for c in files.columns if c != text]
+    return joined.select(*kept, F.coalesce(f"{of}_best.license", f"{line}.license").alias("own_license"), F.coalesce(F.col(f"{of}_best.score"), -F.col(f"{line}.least")).alias("own_score"))
 
 
 def declares(path: Column) -> Column:
@@ -147,7 +210,8 @@ def directory(path: Column) -> Column:
 
 
 def inherited(files: DataFrame, path: str = "path", own: str = "own_license", declared: Column | None = None) -> DataFrame:
-    """files with `license` (their own or the inherited) and `inherited_from` (the directory, null if their own or none)."""
+    """files with `license` (their own or the inherited) and `inherited_from` (the directory, null if their own or none), which replace columns of these names."""
+    files = files.drop(*[c for c in ("license", "inherited_from") if c != own])
     declared = declares(F.col(path)) if declared is None else declared
     folder = unused(files, "folder")
     files = files.withColumn(folder, directory(F.col(path)))
@@ -163,7 +227,7 @@ def inherited(files: DataFrame, path: str = "path", own: str = "own_license", de
 
 
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", declared: Column | None = None, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """files without their text, with own_license, own_score, license and inherited_from, which replace columns of these names."""
+    """files without their text, with own_license, own_score, license and inherited_from, which replace columns of these names. Files' own
+    licences are written first, as directories and files both start from them."""
     files = files.drop("own_license", "own_score", "license", "inherited_from")
-    own = declared_by(files, key, text, templates).select(key, F.col("license").alias("own_license"), F.col("score").alias("own_score"))
-    return inherited(files.drop(text).join(own, key, "left"), path, declared=declared)
+    return inherited(written(declared_by(files, key, text, templates), "licenses"), path, declared=declared)

@@ -127,17 +127,21 @@ QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_toxicity, op4_nea
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
-_UNITS, _IDF, _OTHER = licenses.weights()
 _LICENSES = f"""
-    WITH u(license, term, unit) AS (VALUES {", ".join(f"('{k}', '{w}', {x!r}::DOUBLE)" for k, v in _UNITS.items() for w, x in v.items())}),
-    f(term, idf) AS (VALUES {", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in _IDF.items())}),
+    WITH k(license, said) AS (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('BSD-2-Clause', 'Licensed under the BSD 2-Clause License.'), ('BSD-3-Clause', 'Licensed under the BSD 3-Clause License.'),
+        ('CC-BY-4.0', 'Licensed under CC BY 4.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'), ('CC0-1.0', 'Dedicated to the public domain under CC0 1.0 Universal.'),
+        ('GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'), ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+        ('LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3.'), ('MIT', 'Released under the MIT License.'), ('MPL-2.0', 'Licensed under the Mozilla Public License, Version 2.0.'), ('Proprietary', 'All rights reserved.')),
+    v AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(said), '[a-z0-9]+(?:\\.[0-9]+)*')) AS term FROM k) GROUP BY ALL),
+    f AS (SELECT term, ln(13.0::DOUBLE / (1 + count(*))) + 1 AS idf FROM v GROUP BY 1),
+    u AS (SELECT license, v.term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS unit FROM v JOIN f ON f.term = v.term),
     d AS (SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 10 <> 0 THEN concat(lang, '/', doc_id // 100, '/') WHEN doc_id % 100 <> 0 THEN concat(lang, '/') ELSE '' END) AS folder, text FROM documents),
     l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS said FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS x FROM documents WHERE text ILIKE '%licen%' OR text ILIKE '%rights%' OR text ILIKE '%public%' OR text ILIKE '%cc%' OR text ILIKE '%mit%')),
-    t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(said, '{licenses.WORD}')) AS term FROM l) GROUP BY ALL),
-    w AS (SELECT doc_id, line, t.term, tf * coalesce(idf, {_OTHER!r}::DOUBLE) AS w FROM t LEFT JOIN f ON f.term = t.term),
+    t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(said, '[a-z0-9]+(?:\\.[0-9]+)*')) AS term FROM l) GROUP BY ALL),
+    w AS (SELECT doc_id, line, t.term, tf * coalesce(idf, ln(13.0::DOUBLE) + 1) AS w FROM t LEFT JOIN f ON f.term = t.term),
     n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
     s AS (SELECT w.doc_id, license, round(sum(w.w * unit) / any_value(length), 6) AS score FROM w JOIN u ON u.term = w.term JOIN n ON n.doc_id = w.doc_id AND n.line = w.line GROUP BY w.doc_id, w.line, license),
-    b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= {licenses.MATCH}) WHERE k = 1),
+    b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.6) WHERE k = 1),
     o AS (SELECT d.doc_id, concat(folder, d.doc_id, '.txt') AS path, left(folder, length(folder) - 1) AS folder, b.license AS own_license, b.score AS own_score FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
     g AS (SELECT folder, min_by(own_license, path) AS license FROM o WHERE own_license IS NOT NULL GROUP BY 1),
     p AS (SELECT o.*, split_part(o.folder, '/', 1) AS f1, concat(split_part(o.folder, '/', 1), '/', split_part(o.folder, '/', 2)) AS f2 FROM o)

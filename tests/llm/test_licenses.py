@@ -125,8 +125,27 @@ def test_headers_and_full_texts(spark):
     assert {r.id: r.own_license for r in got} == dict(enumerate(want))
 
 
-def test_every_block_has_a_legal_word():
-    assert all(re.search(L.LEGAL, text) for text in L.BLOCKS.values())
+def test_blocks_that_match_have_a_legal_word():
+    """Whatever the templates are: terms without such a word are too little of a template."""
+    own = {"Frob-1": "you may frob the thing as often as it can be frobbed and no more than that so help you", "Frob-2": "all the things are to be of it in no way but one"}
+    for templates in (L.BLOCKS, own):
+        units = L._weights({k: Counter(set(L.shingles(v))) for k, v in templates.items()})[0]
+        pattern = re.compile(L.legal(templates))
+        for unit in units.values():
+            assert math.sqrt(sum(x * x for t, x in unit.items() if not pattern.search(t))) < L.MATCH
+
+
+def test_templates_of_a_caller(spark):
+    own = {"Frob-1": "you may frob the thing as often as it can be frobbed and no more than that so help you"}
+    rows = spark.createDataFrame([(1, f"code\n# {own['Frob-1']}\ncode"), (2, "code")], "id int, text string")
+    assert [(r.id, r.license) for r in L.blocks(rows, "id", "text", own).collect()] == [(1, "Frob-1")]
+
+
+def test_rows_of_one_key_have_their_own(spark):
+    mit = "Released under the MIT License."
+    files = [(1, "a/x", mit), (1, "b/x", "plain"), (1, "c/x", None), (None, "d/x", mit), (None, "e/x", GPL), (None, "f/x", ""), (2, "g/x", GPL), (2, "g/x", GPL), (2, "h/x", mit)]
+    got = [(r.path, r.own_license) for r in L.scan(spark.createDataFrame(files, "id int, path string, text string"), "id").collect()]
+    assert sorted(got) == [("a/x", "MIT"), ("b/x", None), ("c/x", None), ("d/x", "MIT"), ("e/x", "GPL-3.0"), ("f/x", None), ("g/x", "GPL-3.0"), ("g/x", "GPL-3.0"), ("h/x", "MIT")]
 
 
 def test_clashing_names(spark):
