@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import changes, documents, files, graphs, hotspots, reviews, sources, upkeep
+from tessera.plans import changes, documents, files, graphs, hotspots, maps, reviews, sources, upkeep
 
-MODULES = (hotspots, graphs, files, changes, documents, upkeep, sources, reviews)
+MODULES = (hotspots, graphs, files, changes, documents, upkeep, sources, reviews, maps)
 
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -194,3 +194,30 @@ def unsafe(path: Column) -> Column:
         F.when(F.arrays_overlap(parts, F.array(*map(F.lit, UNPATCHED_DIRS))), "skipped_dir").when(F.array_contains(parts, ".."), "traversal")
         .when(path.startswith("/"), "escape").when(F.lower(suffix(path)).isin(UNPATCHED_EXTENSIONS), "binary")
     )
+
+
+# Extensions of code that is reviewed and of pages, names of files of the environment, and marks of tests.
+REVIEWED_EXTENSIONS = [".py", ".pyw", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".mts", ".cts"]
+PAGE_EXTENSIONS = [".html", ".htm", ".vue", ".svelte"]
+ENVIRONMENT_NAMES = [".env", ".env.local", ".env.production", ".env.development"]
+TEST_MARKS = ["test_", "_test", "/test/", "/tests/", "spec.", ".spec.", "_test.py", "_test.js", "_test.ts"]
+
+
+def is_reviewed(path: Column) -> Column:
+    """PRJ-04: whether a file is code that the security rules are for."""
+    return suffix(path).isin(REVIEWED_EXTENSIONS)
+
+
+def is_page(path: Column) -> Column:
+    """PRJ-04: whether a file is a page or a template."""
+    return suffix(path).isin(PAGE_EXTENSIONS)
+
+
+def is_environment(path: Column) -> Column:
+    """PRJ-04: whether a file holds settings of the environment."""
+    return name(path).isin(ENVIRONMENT_NAMES)
+
+
+def is_test(path: Column) -> Column:
+    """PRJ-04: whether a path has a mark of tests, in any case."""
+    return any_in(F.lower(path), TEST_MARKS)

@@ -71,10 +71,10 @@ def impact(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def health(edges: DataFrame, nodes: DataFrame, least: int = HOTSPOT) -> DataFrame:
     """GRA-06: rule, severity and subject of the errors and warnings of a graph."""
-    lost = lambda end, rule: missing(edges, nodes, end).select(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.col(end).alias("subject")).distinct()
+    lost = lambda end, rule, severity: missing(edges, nodes, end).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(end).alias("subject")).distinct()
     twice = duplicates(edges).select(F.lit("duplicate_edge"), F.lit("warning"), F.concat_ws("->", "source_id", "target_id"))
     hot = hotspots(edges, least).select(F.lit("hotspot"), F.lit("warning"), "target_id")
-    return lost("source_id", "missing_source").union(lost("target_id", "missing_target")).union(twice).union(hot)
+    return lost("source_id", "missing_source", "error").union(lost("target_id", "missing_target", "warning")).union(twice).union(hot)
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

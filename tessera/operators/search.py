@@ -77,22 +77,27 @@ def index(rows: DataFrame, key: str, columns: list[str], path: str | None = None
     runs = each.select("row", "key", F.size("words").alias("length"), F.inline(F.transform("starts", run)))
     folder = (F.crc32(F.col("term").cast("binary")) % FOLDERS).cast("int").alias("folder")
     runs.select(folder, "term", "row", "key", "length", "tf").hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
-    stored = rows.sparkSession.read.parquet(f"{path}/postings")
+    kind = rows.schema[key].dataType.simpleString()
+    stored = rows.sparkSession.read.schema(_postings(kind)).parquet(f"{path}/postings")
     stored.groupBy("folder", "term").agg(F.count("*").alias("df")).hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/terms")
-    each.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).write.parquet(f"{path}/stats")
+    each.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.lit(kind).alias("kind")).write.parquet(f"{path}/stats")
     return path
 
 
+def _postings(kind: str) -> str:
+    return f"folder int, term string, row long, key {kind}, length int, tf int"
+
+
 def lookup(spark: SparkSession, path: str, query: str, k: int = 20) -> DataFrame:
     """SEA-01, TOP-01 by an index: key and score of the k rows that have all words of the query, by score, then key."""
     asked = asked_words(query)
     folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in asked})
     here = F.col("folder").isin(folders) & F.col("term").isin(list(asked))
-    postings = spark.read.parquet(f"{path}/postings").filter(here)
+    stats = spark.read.parquet(f"{path}/stats")
+    postings = spark.read.schema(_postings(stats.first()["kind"])).parquet(f"{path}/postings").filter(here)
     if not asked:
         return postings.select("key", F.lit(0.0).alias("score")).limit(0)
-    stats = spark.read.parquet(f"{path}/stats")
-    held = spark.read.parquet(f"{path}/terms").filter(here).select("folder", "term", "df")
+    held = spark.read.schema("folder int, term string, df long").parquet(f"{path}/terms").filter(here).select("folder", "term", "df")
     times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = times[F.col("term")] * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

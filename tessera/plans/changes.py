@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.operators import rules as R
+from tessera.operators import upkeep as U
 from tessera.plans.bindings import CHANGES_SQL, changes
 from tessera.session import table
 
@@ -99,9 +100,57 @@ def companion_tests(spark: SparkSession, d: str) -> DataFrame:
     return R.companions(rows.unionByName(more).unionByName(kept)).groupBy("tested").agg(F.count("*").alias("n"))
 
 
+#: Parts of the change list, with a message each, and how SQL picks and names their paths.
+MANIFEST_CASES = [
+    ("all", "feat: parts", "TRUE", "path"), ("tests", "", "path LIKE 'tests/%' AND path NOT LIKE '%.md'", "path"), ("docs", "", "path LIKE 'docs/%' AND path NOT LIKE '%test_%'", "path"),
+    ("none", "Fix: x", "id < 0", "path"), ("cli", "chore: x", "id % 53 = 1", "'app/cli.py'"), ("skill", "docs: x", "id % 59 = 1", "'Skills/x.yaml'"), ("mcp", "", "id % 61 = 1", "'mcp/tests/test_a.py'"),
+]
+
+
 def change_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """RUL-22, RUL-11, AGG-17."""
-    return R.manifest(changes(spark, d), "feat: parts")
+    """RUL-22, AGG-17 of parts of the change list."""
+    rows = changes(spark, d)
+    each = [R.manifest(rows.filter(on).withColumn("path", F.expr(path)), message).withColumn("case", F.lit(case)) for case, message, on, path in MANIFEST_CASES]
+    return R.together(*each)
+
+
+_CORE = "CASE WHEN id % 67 = 0 THEN concat('src/core/a', CAST(id AS VARCHAR(20)), '.py') WHEN id % 71 = 0 THEN concat('dist/x', CAST(id AS VARCHAR(20)), '.go') ELSE path END"
+
+
+def diff_explained(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-11, AGG-18: the hints on the whole change list, and on its manifests alone."""
+    rows = changes(spark, d).withColumn("path", F.expr(_CORE))
+    few = rows.filter("path LIKE '%package.json' AND id < 2000")
+    each = [R.explained(x).withColumn("case", F.lit(case)) for case, x in (("all", rows), ("few", few))]
+    return R.together(*each).withColumn("hints", F.array_join("hints", ","))
+
+
+def merge_checks(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-23: what speaks against merging a branch of each part, and whether it is ready."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, d, "part").select(
+        k.alias("repository"), (k % 3).alias("staged"), F.lit(0).alias("unstaged"), F.when(k % 7 == 0, s).otherwise(0).alias("untracked"), (k % 5).alias("backups"),
+        F.when(k % 2 == 0, "main").otherwise(F.concat(F.lit("b"), s)).alias("branch"), F.when(k % 4 == 0, "main").otherwise("next").alias("target"), F.when(k % 11 != 0, s % 3).alias("commits"), (k % 13 != 0).alias("has_index"),
+    )
+    found = R.merge_checks(rows, "repository", ["main"]).withColumn("severity", F.when(F.col("level") == "blocker", "error").otherwise("warning"))
+    ready = U.merge_ready(found, "repository").select("repository", "ready")
+    return found.join(ready, "repository").select("repository", "check", "level", "ready")
+
+
+def change_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-04: what a path is to the rules; every seventh has another extension."""
+    path = F.when(F.col("id") % 7 == 0, F.concat("path", F.when(F.col("id") % 2 == 0, ".vue").otherwise(".mts"))).otherwise(F.col("path"))
+    rows = changes(spark, d).select("id", path.alias("path"))
+    at = F.col("path")
+    return rows.select("id", R.is_config(at).alias("is_config"), P.suffix(at).isin(R.DEV_CODE_EXTENSIONS).alias("is_code"), P.is_reviewed(at).alias("is_reviewed"), P.is_page(at).alias("is_page"), P.is_environment(at).alias("is_environment"), P.is_test(at).alias("is_test"), P.is_schema(at).alias("is_schema"))
+
+
+def docs_status(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-11: the documents that each part's tree is to have; which it has follows from its key."""
+    k = F.col("p_partkey")
+    held = F.array(*[F.when(k % n == 0, F.struct(F.lit(path).alias("path"), F.when(k % (2 * n) == 0, F.lit(0)).otherwise(F.col("p_size")).alias("size"))) for n, path in ((2, "README.md"), (3, "docs/api.md"), (5, "LICENSE"), (1, "other.md"))])
+    trees = table(spark, d, "part").select(k.alias("tree"), F.array_compact(held).alias("held"))
+    return R.docs_status(trees, trees.select("tree", F.inline("held")), "tree").select("tree", "path", "status", F.round("share", 6).alias("share"))
 
 
 def review_first(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +217,7 @@ def repeated_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (change_categories, change_groups, change_group_files, dependency_file_list, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, review_first, region_paths, commit_headers, commit_messages, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
+QUERIES = {f.__name__: f for f in (change_categories, change_groups, change_group_files, dependency_file_list, commit_suggestions, budget_check, dev_guard, scope_check, gate_findings, gate_verdict, severity_tally, lock_sync, companion_tests, change_manifest, diff_explained, merge_checks, change_predicates, docs_status, review_first, region_paths, commit_headers, commit_messages, release_plan, version_bumps, diff_signals, patch_safety, review_words, repeated_names)}
 
 
 def _in(values: list[str]) -> str:
@@ -239,7 +288,29 @@ ORACLES = {
     "companion_tests": f"""WITH {_P}, s AS (SELECT *, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM k),
         t AS (SELECT DISTINCT substr(stem, 6) AS stem FROM s WHERE category = 'test' AND stem LIKE 'test_%' UNION SELECT stem FROM s WHERE id % 9 = 0)
         SELECT stem IN (SELECT stem FROM t) OR (suffix = '.py' AND stem IN (SELECT stem FROM s WHERE id % 13 = 0)) AS tested, count(*) AS n FROM s WHERE category = 'source' GROUP BY 1""",
-    "change_manifest": f"WITH {_P} SELECT count(*) AS n_files, 'feature' AS change_type, bool_or(name IN {_in(R.SURFACE_NAMES)}) AS surface, CASE WHEN count(*) = 0 THEN 'R0' WHEN bool_or(name IN {_in(R.SURFACE_NAMES)}) OR count(*) >= 5 THEN 'R2' ELSE 'R1' END AS risk, TRUE AS docs_due FROM k",
+    "change_manifest": f"WITH c AS ({CHANGES_SQL}), m AS (" + " UNION ALL ".join(f"SELECT '{case}' AS c, {path} AS path FROM c WHERE {on}" for case, _, on, path in MANIFEST_CASES)
+    + """), f AS (SELECT c, count(*) AS n, coalesce(bool_or(regexp_matches(path, '^test|tests/|test_')), FALSE) AS t, coalesce(bool_or(regexp_matches(path, 'docs/|README|CHANGELOG|[.]md')), FALSE) AS d,
+            coalesce(bool_or(regexp_matches(path, '(^|/)cli[.]py$')), FALSE) AS cli, coalesce(bool_or(contains(path, 'mcp/')), FALSE) AS mcp, coalesce(bool_or(regexp_matches(path, 'skills/|skill[.]py|skill[.]yaml|(?i:skill.*[.]yaml$)')), FALSE) AS skill,
+            coalesce(bool_or(regexp_matches(path, '(^|/)(cli[.]py|pyproject[.]toml)$|mcp/|(?i:skill.*[.]yaml$)')), FALSE) AS p FROM m GROUP BY c UNION ALL SELECT 'none', 0, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE),
+        k AS (SELECT *, CASE c WHEN 'all' THEN 'feature' WHEN 'none' THEN 'fix' WHEN 'cli' THEN 'refactor' WHEN 'skill' THEN 'docs' ELSE CASE WHEN t AND NOT d THEN 'test' WHEN d AND NOT t THEN 'docs' ELSE 'feature' END END AS kind FROM f)
+        SELECT c AS "case", n AS n_files, kind AS change_type, p AS public_changed, cli AS cli_changed, skill AS skill_changed, mcp AS mcp_changed, CASE WHEN n = 0 THEN 'R0' WHEN p OR n >= 5 THEN 'R2' ELSE 'R1' END AS risk,
+            kind <> 'docs' AND (p OR cli OR skill OR mcp OR kind = 'feature') AS docs_due FROM k""",
+    "diff_explained": f"""WITH {_P.replace(f"c AS ({CHANGES_SQL})", f"c AS (SELECT id, {_CORE} AS path, n_lines FROM ({CHANGES_SQL}) c0)")},
+        w AS (SELECT *, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM k), b AS (SELECT 'all' AS c, * FROM w UNION ALL SELECT 'few', * FROM w WHERE path LIKE '%package.json' AND id < 2000),
+        f AS (SELECT c, count(*) AS n, sum(n_lines)::BIGINT AS l, count(DISTINCT CASE WHEN category = 'source' THEN group_key END) AS a, bool_or(category = 'manifest' AND NOT regexp_matches(name, 'lock|[.]sum$')) AND NOT bool_or(category = 'source') AS m,
+            bool_or(path LIKE 'dist/%') AS g, bool_or(path LIKE 'core/%' OR path LIKE 'src/%core/%') AS o,
+            bool_or(category = 'source' AND stem NOT IN (SELECT substr(stem, 6) FROM w WHERE category = 'test' AND stem LIKE 'test!_%' ESCAPE '!')) AS u FROM b GROUP BY c)
+        SELECT c AS "case", n AS n_files, l AS n_lines, a AS n_areas, concat_ws(',', CASE WHEN a > 2 THEN concat('cross_module_change:', a, '_top_level_dirs') WHEN a = 2 THEN 'cross_module_change' END, CASE WHEN m THEN 'dependency_manifest_changed_without_code' END,
+            CASE WHEN g THEN 'touches_protected_path' END, CASE WHEN o THEN 'core_module_touched' END, CASE WHEN u THEN 'missing_related_tests' END, CASE WHEN n > 10 THEN concat('large_changeset:', n, '_files') END, CASE WHEN l > 300 THEN concat('large_diff:', l, '_lines') END) AS hints FROM f""",
+    "merge_checks": """WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part), f AS (SELECT k, 'working_tree_clean' AS c, 'blocker' AS l FROM p WHERE k % 3 > 0 OR (k % 7 = 0 AND s > 0) UNION ALL SELECT k, 'patch_backups_clean', 'warning' FROM p WHERE k % 5 > 0
+        UNION ALL SELECT k, 'source_branch_ok', CASE WHEN k % 4 = 0 THEN 'blocker' ELSE 'warning' END FROM p WHERE k % 2 = 0 UNION ALL SELECT k, 'has_new_commits', 'warning' FROM p WHERE k % 11 = 0 OR s % 3 = 0 UNION ALL SELECT k, 'semantic_index_available', 'warning' FROM p WHERE k % 13 = 0)
+        SELECT k AS repository, c AS "check", l AS level, NOT bool_or(l = 'blocker') OVER (PARTITION BY k) AS ready FROM f""",
+    "change_predicates": f"""WITH c AS ({CHANGES_SQL}), m AS (SELECT id, CASE WHEN id % 7 = 0 THEN concat(path, CASE WHEN id % 2 = 0 THEN '.vue' ELSE '.mts' END) ELSE path END AS path FROM c), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM m)
+        SELECT id, name IN ('Dockerfile', '.env') OR regexp_matches(name, '.[.](json|yaml|yml|toml|ini|cfg|env)$') AS is_config, regexp_matches(name, '.[.](py|ts|go|vue)$') AS is_code, regexp_matches(name, '.[.](py|ts|mts)$') AS is_reviewed, regexp_matches(name, '.[.]vue$') AS is_page,
+            name = '.env' AS is_environment, regexp_matches(lower(path), 'test_|_test|/tests?/|spec[.]') AS is_test, name IN ('models.py', 'schema.py') OR name LIKE '%.sql' AS is_schema FROM n""",
+    "docs_status": """WITH e(path, n) AS (VALUES ('README.md', 2), ('CONTRIBUTING.md', 0), ('CHANGELOG.md', 0), ('LICENSE', 5), ('docs/architecture.md', 0), ('docs/api.md', 3), ('docs/setup.md', 0), ('docs/development-progress.md', 0), ('docs/bug-notes.md', 0), ('docs/adr.md', 0)),
+        s AS (SELECT p_partkey AS tree, path, CASE WHEN n = 0 OR p_partkey % greatest(n, 1) <> 0 THEN 'missing' WHEN p_partkey % (2 * n) = 0 OR p_size = 0 THEN 'empty' ELSE 'existing' END AS status FROM part, e)
+        SELECT *, round(avg(CASE WHEN status = 'missing' THEN 0 ELSE 1 END) OVER (PARTITION BY tree), 6) AS share FROM s""",
     "review_first": f"WITH {_P} SELECT id, path, CASE WHEN is_schema THEN 0 WHEN category = 'manifest' THEN 1 WHEN category = 'source' THEN 2 WHEN category = 'test' THEN 3 WHEN category = 'config' AND name <> '.env' THEN 4 ELSE 5 END AS rank FROM k ORDER BY rank, id LIMIT 8",
     "region_paths": f"WITH {_P} SELECT CASE WHEN path LIKE 'tests/economy/%' THEN 'forbidden' WHEN path LIKE 'src/promo/%' THEN 'cautious' WHEN path LIKE 'src/%' OR path LIKE 'docs/%' THEN 'editable' ELSE 'unknown' END AS region, count(*) AS n FROM k GROUP BY 1",
     "commit_headers": f"""WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'feat: Upper' WHEN p_partkey % 17 = 0 THEN concat('fix(', repeat('s', p_partkey % 40), '): ', repeat('w', p_partkey % 90 + 1)) ELSE {_HEADERS} END AS header FROM part),

@@ -128,7 +128,7 @@ ORACLES = {
     "incident_edges": f"WITH {_STAR} SELECT type, count(*) AS n_edges FROM (SELECT type FROM e WHERE source_id LIKE 'nation:%' UNION ALL SELECT type FROM e WHERE target_id LIKE 'nation:%') GROUP BY 1",
     "impact_nation": f"""WITH {_STAR}, c AS (SELECT e.target_id, count(DISTINCT e.source_id) AS total, count(DISTINCT e.source_id) FILTER (v.type = 'model') AS models,
         count(DISTINCT e.source_id) FILTER (v.type = 'api') AS apis FROM e LEFT JOIN v ON v.id = e.source_id WHERE e.type IN ('lives_in', 'part_of') GROUP BY 1) SELECT *, {_RISK} AS risk FROM c""",
-    "graph_health": f"""WITH {_STAR}, x AS (SELECT 'missing_target' AS rule, 'error' AS severity, target_id AS s FROM e WHERE target_id NOT IN (SELECT id FROM v) GROUP BY target_id
+    "graph_health": f"""WITH {_STAR}, x AS (SELECT 'missing_target' AS rule, 'warning' AS severity, target_id AS s FROM e WHERE target_id NOT IN (SELECT id FROM v) GROUP BY target_id
         UNION ALL SELECT 'missing_source', 'error', source_id FROM e WHERE source_id NOT IN (SELECT id FROM v) GROUP BY source_id
         UNION ALL SELECT 'duplicate_edge', 'warning', source_id || target_id FROM e GROUP BY source_id, target_id, type HAVING count(*) > 1
         UNION ALL SELECT 'hotspot', 'warning', target_id FROM e GROUP BY target_id HAVING count(DISTINCT source_id) >= 20) SELECT rule, severity, count(*) AS n FROM x GROUP BY 1, 2""",

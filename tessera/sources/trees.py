@@ -165,6 +165,13 @@ def aliases(config: str) -> list[tuple[str, str, str]]:
     return [(k, v[0], options.get("baseUrl", ".")) for k, v in options.get("paths", {}).items() if v]
 
 
+def alias_rules(tree: DataFrame) -> list[tuple[str, str, str]]:
+    """SRC-09 over path and text: the rules of the first configuration at the top of a tree that has some, of tsconfig.json and jsconfig.json."""
+    names = ["tsconfig.json", "jsconfig.json"]
+    texts = {r["path"]: r["text"] for r in tree.filter(F.col("path").isin(names)).select("path", "text").collect()}  # two rows at most
+    return next((rules for n in names if n in texts and (rules := aliases(texts[n] or ""))), [])
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """SNK-06: each row as one JSON text with its columns in the order of their names."""
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))

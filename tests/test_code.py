@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import code as C
+from tessera.operators import extract as E
 from tessera.operators import graph as G
+from tessera.operators import snapshot as S
 from tessera.sources import trees
 from tessera.streaming import runs
 
@@ -83,6 +85,75 @@ def test_scan(tree):
     assert rows["src/app.tsx"].language == "typescript" and rows["package.json"].kind == "config" and rows["main.go"].text == GO
 
 
+def test_scans_are_those_of_a_walk(spark, tmp_path):
+    """Names, hidden folders and files, and skipped ones, at any depth; nothing of a folder that isn't there."""
+    names = [
+        "a.py", "_x/__init__.py", "deep/er/still/b.go", ".env", ".git/config", "sub/.hidden/c.py", "node_modules/d.js", "vendor/e.go", "x.egg-info/f", "lib/poetry.lock", "m.pyc", "g.so", "sub/venv/h.py", "target/i", "coverage/j",
+        "deep/.DS_Store", "empty.txt", "sub/k l.md",
+    ]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.txt" else name)
+    paths = lambda scan: {r.path for r in trees.walked(spark, str(tmp_path), scan).collect()}
+    assert paths(trees.INDEX_SCAN) == {"a.py", "_x/__init__.py", "deep/er/still/b.go", ".env", "empty.txt", "sub/k l.md"}
+    assert paths(trees.ARTIFACT_SCAN) == {"a.py", "_x/__init__.py", "deep/er/still/b.go", "vendor/e.go", "x.egg-info/f", "lib/poetry.lock", "g.so", "target/i", "coverage/j", "empty.txt", "sub/k l.md"}
+    assert {r.path: r.text for r in trees.files(spark, str(tmp_path)).collect()}["sub/k l.md"] == "sub/k l.md"
+    assert trees.walked(spark, str(tmp_path / "none")).count() == 0
+
+
+MANIFEST = '{"name": "N", "version": "2", "manifest_version": 3, "permissions": ["tabs"]}'
+ARTIFACTS = {
+    "x/manifest.json": (MANIFEST, {("manifest", "N v2 (MV3)", None), ("config", "N v2", None)}),
+    "s.scss": ("$a: 1px;\n:root {\n --b: #fff ;\n}", {("design_token", "$a", 1), ("design_token", "--b", 3)}),
+    "s.css": ("$a: 1px;\n--b: 2;", {("design_token", "--b", 2)}),
+    "README.md": ("x\n # Title \n", {("document", "Title", None)}),
+    "LICENSE": ("words", {("document", "LICENSE", None)}),
+    "m.py": ("import flask\n@dataclass\nclass A:\n  pass\nclass B(Model, X):\n  pass\n@app.route('/a/b')\ndef f(): pass", {
+        ("model", "A", 2), ("model", "B", 5), ("api_endpoint", "GET /a/b", 7), ("server_file", "m", None), ("code:class", "A", 3), ("code:class", "B", 5), ("code:function", "f", 8), ("import", "flask", 1),
+    }),
+    "popup/a.js": ("chrome.tabs.query({})", {("extension_file", "a", None)}),
+    "popup/b.js": ("", set()),
+    "popup.js": ("", {("extension_file", "popup", None)}),
+    "t.d.ts": ("export class T {}", set()),
+}
+
+
+def test_one_pass_finds_all_artifacts(spark):
+    tree = spark.createDataFrame([(p, t) for p, (t, _) in ARTIFACTS.items()] + [("none.py", None)], "path string, text string")
+    rows = E.extracted(tree).collect()
+    assert not [r for r in rows if r.error]
+    for path, (_, want) in ARTIFACTS.items():
+        assert {(r.type, r.name, r.start_line) for r in rows if r.path == path} == want, path
+    assert {r.id for r in rows if r.path == "m.py" and r.extractor == "endpoints"} == {"api:get:a_b"}
+
+
+def test_a_failing_extractor_costs_its_own_rows(spark):
+    def broken(path, text):
+        yield f"b:{path}", "b", "first", 1, 1, {}
+        raise KeyError("no such thing")
+
+    tree = spark.createDataFrame([("a.py", "def f(): pass"), ("bad.py", "def ("), ("d.md", "# D")], "path string, text string")
+    rows = E.extracted(tree, E.EXTRACTORS | {"broken": broken}).collect()
+    lost = {(r.path, r.extractor) for r in rows if r.error}
+    assert lost == {("a.py", "broken"), ("bad.py", "broken"), ("d.md", "broken"), ("bad.py", "symbols"), ("bad.py", "imports")}
+    assert {(r.path, r.type, r.name) for r in rows if not r.error} == {("a.py", "code:function", "f"), ("d.md", "document", "D")}
+    assert E.extracted(tree.limit(0)).count() == 0
+
+
+def test_an_incremental_run_reads_what_changed(spark):
+    old = spark.createDataFrame([("a.md", "# A"), ("b.md", "# B"), ("c.md", "# C")], "path string, text string")
+    new = spark.createDataFrame([("a.md", "# A"), ("b.md", "# B2"), ("d.md", "# D")], "path string, text string")
+
+    def once(path, text):
+        if path == "a.md":
+            raise ValueError("read again")
+        yield from E.documents(path, text)
+
+    actions = S.upsert(old, new, ["path"], ["text"])
+    rows = E.refreshed(E.extracted(old), new, actions, {"documents": once}).collect()
+    assert {(r.path, r.name, r.error) for r in rows} == {("a.md", "A", None), ("b.md", "B2", None), ("d.md", "D", None)}
+
+
 def test_symbols(tree):
     found = C.symbols(tree)
     assert [r.path for r in found.filter("error IS NOT NULL").collect()] == ["bad.py"]

@@ -2,8 +2,13 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from tessera.operators import cycles
 from tessera.operators import graph as G
 from tessera.operators import snapshot as S
+from tessera.operators.cycles import strong_components
+from tessera.sources.store import written
 
 
 def edges(spark, *pairs):
@@ -34,6 +39,45 @@ def test_cycles_of_many_components_equal_reachability(spark):
         assert {r.id for r in G.cycle_nodes(edges(spark, *pairs)).collect()} == wanted and wanted
 
 
+def components_of(pairs):
+    """The sets of nodes that reach each other, by search from each."""
+    after, nodes = {}, {x for p in pairs for x in p}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for start in nodes:
+        seen, front = set(), [start]
+        while front:
+            for x in after.get(front.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    front.append(x)
+        reach[start] = seen
+    return {frozenset(m for m in reach[n] if n in reach[m]) for n in nodes if n in reach[n]}
+
+
+@pytest.mark.parametrize("local", [0, 10, 50_000])
+def test_strong_components_equal_reachability(spark, local):
+    """In rounds to the end, in rounds until little is left, and in one task."""
+    rng = random.Random(7)
+    ring = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("r2", "t0"), ("t0", "t1"), ("t1", "t2")]
+    path = [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("p30", "p5"), ("p33", "p33"), ("p5", "q"), ("q", "p6")]
+    thick = [(f"k{i}", f"k{j}") for i in range(6) for j in range(6) if rng.random() < 0.5 and i != j]
+    for pairs in (ring, path + thick, [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(20)]):
+        by = {}
+        for r in strong_components(edges(spark, *pairs, ("p1", None)), local=local).collect():
+            by.setdefault(r.root, []).append(r.id)
+        assert sorted(map(sorted, by.values())) == sorted(map(sorted, components_of(pairs)))
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(cycles, "written", lambda df, name: made.append(name) or written(df, name))
+    pairs = [(f"p{i:04}", f"p{i + 1:04}") for i in range(1000)] + [("p0900", "p0100")]
+    assert {r.id for r in strong_components(edges(spark, *pairs), local=0).collect()} == {f"p{i:04}" for i in range(100, 901)}
+    assert len(made) < 100
+
+
 def test_impact_and_health(spark):
     nodes = spark.createDataFrame([("a", "model"), ("b", "api"), ("c", "x")], "id string, type string")
     e = edges(spark, ("a", "t"), ("b", "t"), ("c", "t"), ("b", "u"), ("zz", "u"), ("b", "external:js:react"), ("b", "u"))

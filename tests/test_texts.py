@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import re
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -66,5 +68,34 @@ def test_bm25_is_that_of_sqlite(spark):
         got = {r.id: r.score for r in S.bm25(rows, "id", "text", query).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
-    assert [r.id for r in S.search(rows, "id", "text", ["text"], "primary_").collect()] == [1]
-    assert [r.id for r in S.search(rows, "id", "text", ["text"], "noth").collect()] == [3]
+    path = S.index(rows, "id", ["text"])
+    found = lambda q: [r.id for r in S.search(rows, "id", path, ["text"], q).collect()]
+    assert found("primary_") == [1] and found("noth") == [3] and found("token color") == [2, 0] and found("no such") == []
+
+
+def test_an_index_of_four_columns_is_that_of_sqlite(spark):
+    """Several searches of one index; rows with nulls, empty rows and rows that repeat; a search reads its own folders."""
+    rng = random.Random(4)
+    words = ["user", "Order", "café", "src", "py", "größe", "v2", "the"] + [f"w{i}" for i in range(30)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    rows = [(f"code:{i}:{some(3)}", rng.choice(["class", "function", None]), some(4), "/".join(some(5).split()) + ".py") for i in range(200)] + [("twice", "the", "the", "the")] * 2 + [("empty", None, None, None)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(id, type, name, file_path)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    path = S.index(spark.createDataFrame(rows, "id string, type string, name string, file_path string"), "id", ["id", "type", "name", "file_path"])
+    for query in ("user", "Order py", "cafe", "grosse", "größe src", "the the w1", "absent", "twice the"):
+        want = sorted((-s, i) for i, s in con.execute("SELECT id, rank FROM t WHERE t MATCH ?", (query,)))
+        got = sorted((r.score, r.key) for r in S.lookup(spark, path, query, 1000).collect())
+        assert len(got) == len(want) and all(abs(a[0] - b[0]) < 1e-9 and a[1] == b[1] for a, b in zip(got, want, strict=True)), query
+    best = [r.score for r in S.lookup(spark, path, "py", 5).collect()]
+    assert len(best) == 5 and best == sorted(best, reverse=True)
+    assert S.lookup(spark, path, "", 5).count() == 0
+    plan = S.lookup(spark, path, "user")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder#\d+ (= |IN )", plan)
+
+
+def test_an_index_of_nothing_and_of_long_texts(spark):
+    rows = spark.createDataFrame([(1, "long " * 100_000 + "end")], "id int, text string")
+    path = S.index(rows, "id", ["text"])
+    assert [r.key for r in S.lookup(spark, path, "end").collect()] == [1]
+    assert S.lookup(spark, S.index(rows.limit(0), "id", ["text"]), "end").count() == 0
