@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import written
+
 # The form of a line that rules something out, and of a word in it.
 EXCLUSION = r"(?m)^[ \t]*(?:❌|✗|×)\s+(.+)"
 KEYWORD = r"[a-zA-Z][a-zA-Z_.-]{2,}"
@@ -50,17 +52,19 @@ def overpromises(docs: DataFrame, designs: int = 2, plain: list[str] = PLAIN_WOR
     chosen = docs.filter(design).orderBy(F.desc("path")).limit(designs)
     lines = chosen.select(F.col("path").alias("design"), F.explode(F.regexp_extract_all("text", F.lit(EXCLUSION), 1)).alias("item")).select("design", F.trim("item").alias("item")).filter("length(item) >= 5").distinct()
     words = F.filter(F.regexp_extract_all("item", F.lit(KEYWORD), 0), lambda w: ~F.lower(w).isin(plain))
-    lines = lines.withColumn("words", words).filter("size(words) >= 2").withColumn("key", F.struct("design", "item"))
+    lines = written(lines.withColumn("words", words).filter("size(words) >= 2").withColumn("key", F.struct("design", "item")), "lines")
     promises = F.exists(F.array(*map(F.lit, USER_FACING)), lambda x: F.contains("path", x)) & ~F.exists(F.array(*map(F.lit, EXEMPT)), lambda x: F.contains("path", x))
-    users = docs.filter(promises).select(F.col("path").alias("doc"), F.col("text").alias("said"))
+    users = written(docs.filter(promises).select(F.col("path").alias("doc"), F.col("text").alias("said"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))).alias("tokens")), "users")
     parts = lines.select(F.col("key").alias("item"), F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, "^[A-Za-z_]+", 0)))).alias("word")).distinct()
-    spoken = users.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit(r"(?U)\w+"), 0))).alias("word"))
+    spoken = users.select("doc", F.explode("tokens").alias("word"))
     # Words may share their first part, so a pair is looked at if it has one; with different parts the rarer one leads to it.
     single = lines.filter(F.size(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, "^[A-Za-z_]+", 0)))) < F.size("words")).select(F.col("key").alias("item"))
     pairs = shared(parts, spoken).select("item", "doc").unionAll(parts.join(single, "item", "left_semi").join(spoken, "word").select("item", "doc")).distinct()
     rows = pairs.withColumnRenamed("item", "key").join(lines, "key").select("design", F.col("item").alias("line"), "words", "doc").join(users, "doc").filter("doc <> design")
-    found = F.filter("words", lambda w: F.rlike(F.col("said"), F.concat(F.lit(r"(?U)\b\Q"), w, F.lit(r"\E\b"))))
-    return rows.withColumn("words", found).filter("size(words) >= 2").select("design", F.col("line").alias("item"), "doc", "words")
+    whole = lambda w: F.contains("said", w) & F.rlike(F.col("said"), F.concat(F.lit(r"(?U)\b\Q"), w, F.lit(r"\E\b")))
+    found = F.filter("words", lambda w: F.when(F.contains(w, F.lit(".")) | F.contains(w, F.lit("-")), whole(w)).otherwise(F.array_contains("tokens", w)))
+    met = written(rows.select("design", F.col("line").alias("item"), "doc", found.alias("words")), "promises")
+    return met.filter("size(words) >= 2")
 
 
 def unfollowed(docs: DataFrame, changed: DataFrame, key: str, following: list[str] = FOLLOWING, grace: int = GRACE) -> DataFrame:

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 GRAM = 6
 
 
-def _grams(text: Column, size: int | Column) -> Column:
-    """The different runs of `size` characters of a text."""
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size
-    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, size: int) -> Column:
+    """The different runs of `size` characters of a text, found in one pass over it."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
@@ -25,7 +23,8 @@ def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> Dat
     """
     size = F.least(F.length("pattern"), F.lit(GRAM))
     wanted = patterns.filter("pattern <> ''").select("pattern", size.alias("size"))
-    grams = wanted.select("pattern", F.explode(_grams(F.col("pattern"), F.col("size"))).alias("gram"))
+    own = F.coalesce(*[F.when(F.col("size") == n, _grams(F.col("pattern"), n)) for n in range(1, GRAM + 1)])
+    grams = wanted.select("pattern", F.explode(own).alias("gram"))
     asked = grams.select("gram").distinct()
     sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # GRAM numbers at most
     if not sizes:
