@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a gram; a shorter pattern is a gram of its own.
 GRAM = 6
+#: Characters of all patterns up to which they are sent to every executor; larger tables of patterns are shuffled.
+FEW = 500_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -19,19 +21,22 @@ def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> Dat
 
     Each pattern is looked for by the gram of its own that the fewest texts have: grams of texts meet those of patterns in an equi-join,
     are counted, and only where a pattern's rarest gram occurs is the text looked at. Texts are cut to grams once for each length of
-    gram, of which there are GRAM at most. An empty or null pattern is in no text.
+    gram, of which there are GRAM at most. Tables that grow with the patterns or texts are merged, never sent through the driver, whatever
+    size their files have. An empty or null pattern is in no text.
     """
     size = F.least(F.length("pattern"), F.lit(GRAM))
     wanted = patterns.filter("pattern <> ''").select("pattern", size.alias("size"))
     own = F.coalesce(*[F.when(F.col("size") == n, _grams(F.col("pattern"), n)) for n in range(1, GRAM + 1)])
     grams = wanted.select("pattern", F.explode(own).alias("gram"))
     asked = grams.select("gram").distinct()
-    sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # GRAM numbers at most
+    sizes = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.sum(F.length("pattern")).alias("n")).collect()}  # GRAM rows at most
     if not sizes:
         return texts.select(key, F.lit("").alias("pattern")).limit(0)
+    few = sum(sizes.values()) <= FEW
+    how = "broadcast" if few else "merge"
     cut = F.concat(*[_grams(F.col(text), n) for n in sorted(sizes)])
-    met = texts.select(key, F.explode(cut).alias("gram")).join(asked, "gram", "left_semi")
+    met = texts.select(key, F.explode(cut).alias("gram")).join(asked.hint(how), "gram", "left_semi")
     counts = met.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
-    found = met.join(rarest.select("pattern", F.col("r.gram").alias("gram")), "gram").select(key, "pattern").distinct()
-    return found.join(texts.select(key, F.col(text).alias("_text")), key).filter(F.contains("_text", "pattern")).select(key, "pattern").distinct()
+    rarest = grams.join(counts if few else counts.hint("merge"), "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    found = met.join(rarest.select("pattern", F.col("r.gram").alias("gram")).hint(how), "gram").select(key, "pattern").distinct()
+    return found.join(texts.select(key, F.col(text).alias("_text")).hint("merge"), key).filter(F.contains("_text", "pattern")).select(key, "pattern").distinct()

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
+from tessera.operators import substrings
+from tessera.operators.rules import companions
 from tessera.operators.substrings import contained
+from tessera.sources.store import written
 
 
 def test_equals_a_search_for_each(spark):
@@ -20,3 +23,17 @@ def test_no_nested_loop(spark):
     rows = spark.createDataFrame([(1, "abc")], "id int, text string")
     plan = contained(rows, "id", "text", spark.createDataFrame([("b",)], "pattern string"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_patterns_are_not_sent_to_the_driver(spark, monkeypatch):
+    """The files of these tables are small enough for a broadcast, their rows needn't be."""
+    monkeypatch.setattr(substrings, "FEW", 10)
+    rows = written(spark.range(500).selectExpr("id", "concat('tests/test_', id, '.py') AS text"), "texts")
+    patterns = written(spark.range(0, 900, 3).selectExpr("concat('test_', id, '.py') AS pattern"), "patterns")
+    found = contained(rows, "id", "text", patterns)
+    assert {(r.id, r.pattern) for r in found.collect()} == {(i, f"test_{i}.py") for i in range(0, 500, 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    changes = spark.range(100).selectExpr("concat('src/a', id, '.py') AS path")
+    plan = companions(changes.unionAll(rows.select("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
