@@ -10,6 +10,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +89,12 @@ def _postings(kind: str) -> str:
     return f"folder int, term string, row long, key {kind}, length int, tf int"
 
 
-def lookup(spark: SparkSession, path: str, query: str, k: int = 20) -> DataFrame:
-    """SEA-01, TOP-01 by an index: key and score of the k rows that have all words of the query, by score, then key."""
+def lookup(spark: SparkSession, path: str, query: str, k: int = 20, digits: int | None = None) -> DataFrame:
+    """SEA-01, TOP-01 by an index: key and score of the k rows that have all words of the query, by score, then key.
+
+    A row's parts are added in the order of the query's words, so that rows with the same counts have the same score to the last bit.
+    With digits the score is rounded before rows are put in order.
+    """
     asked = asked_words(query)
     folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in asked})
     here = F.col("folder").isin(folders) & F.col("term").isin(list(asked))
@@ -102,8 +107,10 @@ def lookup(spark: SparkSession, path: str, query: str, k: int = 20) -> DataFrame
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = times[F.col("term")] * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighed = postings.join(F.broadcast(held), ["folder", "term"]).crossJoin(F.broadcast(stats))  # a row for each asked word, and one row
-    found = weighed.groupBy("row", "key").agg(F.count("*").alias("words"), F.sum(part).alias("score")).filter(F.col("words") == len(asked))
-    return found.select("key", "score").orderBy(F.desc("score"), "key").limit(k)
+    parts = [F.max(F.when(F.col("term") == w, part)).alias(f"p{i}") for i, w in enumerate(asked)]
+    score = reduce(Column.__add__, [F.col(f"p{i}") for i in range(len(asked))])  # null where a word is lacking
+    found = weighed.groupBy("row", "key").agg(*parts).select("key", (score if digits is None else F.round(score, digits)).alias("score"))
+    return found.filter("score IS NOT NULL").orderBy(F.desc("score"), "key").limit(k)
 
 
 def like(rows: DataFrame, key: str, columns: list[str], query: str, k: int = 20) -> DataFrame:

@@ -66,6 +66,20 @@ def test_mentions_have_borders_of_ascii_and_all_values(spark):
     assert "las.mot" in found["dotted_name"] and len(found["version"]) == 32
 
 
+def test_order_of_equal_scores(spark):
+    """Copies have the same score to the last bit, and with digits what is equal when rounded goes by key."""
+    texts = [f"{'p ' * 3}j t {'fill ' * 5}"] * 400 + ["p j"] * 37 + ["t"] * 900 + ["p"] * 11 + ["none"] * 3000
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(16)
+    path = S.index(rows, "id", ["text"])
+    for query in ("p j t", "t p j", "j t t p"):
+        best = S.lookup(spark, path, query, 400).collect()
+        assert [r.key for r in best] == list(range(400)) and len({r.score for r in best}) == 1
+    near = spark.createDataFrame([(i, "w " * (1 + i % 2) + f"x{i} " * (400 + i % 2)) for i in range(40)], "id int, text string")
+    at = S.index(near, "id", ["text"])
+    assert [r.key for r in S.lookup(spark, at, "w", 40, digits=6).collect()] == sorted(range(40), key=lambda i: (-{r.key: round(r.score, 6) for r in S.lookup(spark, at, "w", 40).collect()}[i], i))
+    assert [r.key for r in S.lookup(spark, at, "w", 40, digits=0).collect()] == list(range(40))
+
+
 def test_bm25_is_that_of_sqlite(spark):
     texts = ["Color token for the café", "primary_color value", "token token color", "nothing", "cafe color", ""] + [f"filler {i} words" for i in range(20)]
     con = sqlite3.connect(":memory:")
