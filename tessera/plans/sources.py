@@ -198,8 +198,9 @@ def diff_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_manifests(spark: SparkSession, d: str) -> DataFrame:
-    """EXT-23: which manifests come and go."""
-    return U.manifest_status(_diffs(spark, d))
+    """EXT-23: which manifests come and go, and the dependencies that they gain, lose and change."""
+    found = U.manifest_names(_diffs(spark, d))
+    return found.select("path", "status", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "changed")])
 
 
 #: For remainders of four: a manifest and the lines of its diff, of which some only move.
@@ -359,7 +360,8 @@ ORACLES = {
         t AS (SELECT subject, unnest(regexp_extract_all(text, '(?i)<(?:input|form)\\b[^>]*>')) AS tag FROM p) SELECT subject, 'info' AS severity, count(*) AS n FROM t WHERE NOT regexp_matches(tag, '(?i)\\b(required|pattern)\\b') GROUP BY 1""",
     "tree_stacks": f"SELECT technology, count(*) AS n, round(any_value(base) + count(*) * any_value(step), 6)::DOUBLE AS confidence FROM region JOIN {_TECHNOLOGIES} ON r = r_regionkey GROUP BY 1",
     "diff_lines": "SELECT concat('d', p_partkey, '/requirements.txt') AS file, p_size + i AS line, CASE WHEN i = 0 THEN 'both==9' ELSE concat('new', p_partkey, '>=2') END AS text FROM part, (VALUES (0), (1)) AS t(i) WHERE p_partkey % 3 <> 1",
-    "diff_manifests": "SELECT concat('d', p_partkey, '/requirements.txt') AS path, CASE p_partkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status FROM part",
+    "diff_manifests": """SELECT concat('d', k, '/requirements.txt') AS path, CASE r WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status, CASE r WHEN 0 THEN concat('both,new', k) WHEN 1 THEN '' ELSE concat('new', k) END AS added,
+        CASE r WHEN 0 THEN '' WHEN 1 THEN concat('both,old', k) ELSE concat('old', k) END AS removed, CASE r WHEN 2 THEN 'both' ELSE '' END AS changed FROM (SELECT p_partkey AS k, p_partkey % 3 AS r FROM part)""",
     "dependency_versions": """SELECT concat('v', p_partkey, '/', file) AS path, dependency, kind, replace(old, '{s}', p_size::VARCHAR) AS old, new FROM part JOIN (VALUES
         (0, 'package.json', 'react', 'version_changed', '^{s}', '^99'), (0, 'package.json', 'vue', 'added', NULL, '1'), (1, 'pyproject.toml', 'flask[async]', 'version_changed', '>={s}', '>=99'),
         (1, 'pyproject.toml', 'attrs', 'added', NULL, '^1'), (1, 'pyproject.toml', '3', 'removed', '*', NULL), (2, 'go.mod', 'a.org/x', 'version_changed', 'v1.0.{s}', 'v1.99.0'), (2, 'go.mod', 'b.org/y', 'removed', 'v{s}', NULL),
