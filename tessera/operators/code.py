@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import cycle_nodes
 from tessera.sources.batches import bounded, slices
+from tessera.sources.store import written
 
 SYMBOLS = "path string, kind string, name string, parent string, start_line int, end_line int, is_exported boolean, confidence double, error string"
 IMPORTS = "path string, language string, module string, names array<string>, alias string, import_kind string, level int, line int"
@@ -219,7 +220,7 @@ def candidates(path: str, language: str, module: str, level: int, rules: list[tu
 
 
 def edges(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """JOI-10, PRJ-11: source_id, target_id, type, resolution and line of the imports of a tree.
+    """JOI-10, PRJ-11: source_id, target_id, type, resolution and line of the imports of a tree, whose files are parsed once.
 
     The first candidate that is a file is the target; without one an import is external, unresolved, or, in Python outside
     the standard library, a module by name. External ids name the package, with its scope, or Go's whole path.
@@ -230,12 +231,12 @@ def edges(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> D
         for row in _imports_of(path, language, text):
             yield *row, *candidates(path, language, row[2], row[6], rules)
 
-    found = _over(tree, IMPORTS + ", kind string, tried array<string>", each, [*_IMPORT_KINDS, pa.string(), pa.list_(pa.string())])
+    found = written(_over(tree, IMPORTS + ", kind string, tried array<string>", each, [*_IMPORT_KINDS, pa.string(), pa.list_(pa.string())]), "imports")
     known = tree.select(F.col("path").alias("target")).distinct()
     key = ["path", "module", "level"]
     tried = found.select(*key, "kind", "tried").dropDuplicates(key).select(*key, F.posexplode("tried").alias("at", "target"))
-    first = tried.join(known, "target", "left_semi").groupBy(*key).agg(F.min_by("target", "at").alias("target"))
-    rows = found.drop("tried").join(first, key, "left")
+    first = tried.join(known.hint("merge"), "target", "left_semi").groupBy(*key).agg(F.min_by("target", "at").alias("target"))
+    rows = found.drop("tried").join(first.hint("merge"), key, "left")
     package = F.when(F.col("module").startswith("@"), F.regexp_extract("module", "^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract("module", "^([^/]+)", 1))
     top = F.substring_index("module", ".", 1)
     target = (
@@ -336,8 +337,13 @@ def configurations(tree: DataFrame) -> DataFrame:
     return tree.filter("kind = 'config'").select("path", F.coalesce(F.when(own.endswith(".json"), label), own).alias("label"))
 
 
+def inner_edges(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """GRA-08: the edges between files of a tree."""
+    return edges(tree, rules).filter(F.col("target_id").startswith("code:module:"))
+
+
 def module_graph(tree: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """GRA-08: the edges between files of a tree and the files on import cycles. Dotted Python names that are files resolve
     to them, others stay outside."""
-    inner = edges(tree, rules).filter(F.col("target_id").startswith("code:module:"))
+    inner = inner_edges(tree, rules)
     return inner, cycle_nodes(inner)
