@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import spread, table
 
 #: Changed files: a path for each part, of every category, and the number of changed lines.
 CHANGE_PATH = """concat(
@@ -49,9 +49,14 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of parts, dealt to tasks."""
+    return spread(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, path and n_lines of changed files."""
-    return sql(spark, sf_dir, CHANGES_SQL, "part")
+    return spark.sql(CHANGES_SQL.replace("FROM part", "FROM {part}"), part=parts(spark, sf_dir))
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

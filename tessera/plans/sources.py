@@ -17,7 +17,7 @@ from tessera.operators import snapshot as S
 from tessera.operators import texts as X
 from tessera.operators import upkeep as U
 from tessera.operators.cycles import strong_components
-from tessera.plans.bindings import CHANGES_SQL, changes
+from tessera.plans.bindings import CHANGES_SQL, changes, parts
 from tessera.session import table
 from tessera.sources import trees
 from tessera.sources.store import written
@@ -95,7 +95,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     kinds = [(k % 4 == 0, "app/m", ".py", PYTHON), (k % 4 == 1, "web/c", ".ts", TYPESCRIPT), (k % 4 == 2, "srv/g", ".go", GO), (k % 16 == 3, "pkg/p", "/package.json", PACKAGE), (k % 16 == 7, "style/t", ".css", STYLE), (k % 16 == 11, "log/h", ".md", LOG), (k % 16 == 15, "bin/s", ".py", SCRIPT)]
     path = F.coalesce(*[F.when(on, F.concat(F.lit(start), k.cast("string"), F.lit(end))) for on, start, end, _ in kinds])
     text = F.coalesce(*[F.when(on, _filled(form)) for on, _, _, form in kinds])
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    rows = parts(spark, d).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
     return rows.select(path.alias("path"), P.language(path).alias("language"), P.file_kind(path).alias("kind"), text.alias("text"))
 
 
@@ -189,7 +189,7 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     minus = F.when(new, "").otherwise(F.concat(F.lit("-old"), k, F.lit("==1\n-both=="), s, F.lit("\n")))
     plus = F.when(gone, "").otherwise(F.concat(F.lit("+both==9\n+new"), k, F.lit(">=2\n")))
     head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- "), F.when(new, "/dev/null").otherwise(F.concat(F.lit("a/"), path)), F.lit("\n+++ "), F.when(gone, "/dev/null").otherwise(F.concat(F.lit("b/"), path)))
-    return table(spark, d, "part").select(F.concat(head, F.lit("\n@@ -1,2 +"), s, F.lit(",3 @@\n"), minus, plus).alias("diff"))
+    return parts(spark, d).select(F.concat(head, F.lit("\n@@ -1,2 +"), s, F.lit(",3 @@\n"), minus, plus).alias("diff"))
 
 
 def diff_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _manifest_diffs(spark: SparkSession, d: str) -> DataFrame:
     lines = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{s}"), s) for _, x in MANIFEST_DIFFS]), (k % 4 + 1).cast("int"))
     path = F.concat(F.lit("v"), k, F.lit("/"), name)
     head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,9 +1,9 @@\n"))
-    return table(spark, d, "part").select(F.concat(head, lines).alias("diff"))
+    return parts(spark, d).select(F.concat(head, lines).alias("diff"))
 
 
 def dependency_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -261,9 +261,9 @@ def tree_refreshed(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_cycles(spark: SparkSession, d: str) -> DataFrame:
     """GRA-08, GRA-01: the files of the tree on cycles of imports, and the least path of their component."""
-    rows = strong_components(C.module_graph(tree(spark, d), _rules())[0])
+    rows = written(strong_components(C.inner_edges(tree(spark, d), _rules())), "cycles")
     least = rows.groupBy("root").agg(F.min("id").alias("first"))
-    return rows.join(least, "root").select(F.expr("substring(id, 13)").alias("path"), F.expr("substring(first, 13)").alias("first"))
+    return rows.join(least.hint("merge"), "root").select(F.expr("substring(id, 13)").alias("path"), F.expr("substring(first, 13)").alias("first"))
 
 
 def git_listings(spark: SparkSession, d: str) -> DataFrame:
