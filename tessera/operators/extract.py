@@ -185,4 +185,4 @@ def refreshed(before: DataFrame, tree: DataFrame, actions: DataFrame, extractors
     were inserted or updated. actions: path and action, as an upsert gives them; files that it skipped aren't read."""
     read = actions.filter("action IN ('inserted', 'updated')").select("path")
     stale = actions.filter("action IN ('updated', 'removed')").select("path")
-    return before.join(stale, "path", "left_anti").unionByName(extracted(tree.join(read, "path", "left_semi"), extractors))
+    return before.join(stale.hint("merge"), "path", "left_anti").unionByName(extracted(tree.join(read.hint("merge"), "path", "left_semi"), extractors))
