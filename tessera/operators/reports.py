@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import HOTSPOT, is_outside
+from tessera.sources.store import written
 
 MODULE = "code:module:"
 # Keys that the metadata of an import has.
@@ -43,7 +44,7 @@ def sections(edges: DataFrame, least: int = 2, high: int = 5) -> DataFrame:
 def members(edges: DataFrame) -> DataFrame:
     """AGG-03, AGG-05, AGG-07: section, subject and member, a row for each: what a file imports and by what a target is imported, with
     repeats, and the different importers of each target. Lists are rows, as a target may have more importers than a row can hold."""
-    rows = _named(edges)
+    rows = written(_named(edges), "named")
     imports = rows.filter("source IS NOT NULL").select(F.lit("imports").alias("section"), F.col("source").alias("subject"), F.col("target").alias("member"))
     imported = rows.filter("class = 'internal' AND source IS NOT NULL").select(F.lit("imported_by"), "target", "source")
     importers = rows.filter("source IS NOT NULL AND class <> 'unresolved'").select(F.concat("class", F.lit("_importers")), "target", "source").distinct()
@@ -60,7 +61,7 @@ def health_counts(edges: DataFrame, nodes: DataFrame, least: int = HOTSPOT) -> D
     known = nodes.select("id").distinct().withColumn("known", F.lit(True))
     rows = edges
     for end in ("source_id", "target_id"):
-        rows = rows.join(known.select(F.col("id").alias(end), F.col("known").alias(f"known_{end}")), end, "left")
+        rows = rows.join(known.select(F.col("id").alias(end), F.col("known").alias(f"known_{end}")).hint("merge"), end, "left")
     keys = F.coalesce(F.json_object_keys("metadata_json"), F.array().cast("array<string>"))
     lacks = (F.col("type") == "imports") & (F.size(F.array_except(F.array(*map(F.lit, IMPORT_KEYS)), keys)) > 0)
     lost = lambda end: F.col(f"known_{end}").isNull() & ~is_outside(F.col(end))
