@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import upkeep as U
-from tessera.plans.bindings import files
+from tessera.plans.bindings import files, parts
 from tessera.session import table
 
 _TYPE = "CASE p_partkey % 7 WHEN 0 THEN 'stale_capability' WHEN 1 THEN 'phase_status_mismatch' WHEN 2 THEN 'stale_test_baseline' ELSE 'other' END"
@@ -34,7 +34,7 @@ def merge_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_targets(spark: SparkSession, d: str) -> DataFrame:
     """JOI-11: names of nations, paths of parts and names of parts, looked up among modules, files and symbols."""
-    part = table(spark, d, "part")
+    part = parts(spark, d).select("p_partkey", "p_name")
     nodes = part.select(F.concat(F.lit("code:module:a/"), "p_partkey", F.lit(".py")).alias("id"), F.lit("f").alias("name"), F.lit("").alias("file_path"))
     nodes = nodes.unionAll(part.filter("p_partkey % 2 = 0").select(F.concat(F.lit("module:a."), "p_partkey"), F.lit("m"), F.lit("")))
     nodes = nodes.unionAll(part.select(F.concat(F.lit("code:function:a/"), "p_partkey", F.lit(".py:"), "p_name"), "p_name", F.concat(F.lit("a/"), "p_partkey", F.lit(".py"))))
