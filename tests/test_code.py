@@ -7,6 +7,8 @@ from tessera.operators import code as C
 from tessera.operators import extract as E
 from tessera.operators import graph as G
 from tessera.operators import snapshot as S
+from tessera.plans import sources
+from tessera.plans.bindings import changes
 from tessera.sources import trees
 from tessera.streaming import runs
 
@@ -235,3 +237,13 @@ def test_streams_count_as_batches_do(spark, tmp_path):
     assert drained(runs.windows(live, "ts", "kind"), "complete", "w") == sorted(map(tuple, runs.windows(df, "ts", "kind").collect()))
     assert len(drained(runs.once(live.unionAll(live), "id", "ts", "10 days"), "append", "o")) == 60
     assert runs.sessions(df, "ts", "user", "1 hour").agg(F.sum("n")).first()[0] == 60
+
+
+def test_files_are_parsed_once_by_several_tasks(spark, tmp_path):
+    """A small file of many rows is no single task, and imports aren't parsed again for each use."""
+    spark.range(50_000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'n' AS p_name", "'t' AS p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tree = sources.tree(spark, str(tmp_path))
+    assert tree.rdd.getNumPartitions() == 3 and tree.count() == 50_000
+    assert changes(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    plan = C.edges(tree.limit(50))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Broadcast" not in plan
