@@ -17,12 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
-from tessera.sources.store import discard, written
+from tessera.sources import store
+from tessera.sources.store import discard
 
 #: Edges up to which one task finds components.
 LOCAL_EDGES = 50_000
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written and read again, to be merged where it is joined: rounds are many, and with each a small file of many rows would go
+    through the driver."""
+    return store.written(df, name).hint("merge")
+
+
 def strong_components(edges: DataFrame, source: str = "source_id", target: str = "target_id", local: int = LOCAL_EDGES) -> DataFrame:
     """id and root for each node that lies on a cycle: nodes of one component have one root. A node whose only cycle is an edge to
     itself is its own; edges with a null end are on no cycle."""
@@ -145,7 +152,7 @@ def _contracted(edges: DataFrame, single: DataFrame, local: int) -> DataFrame:
 
 def _merged(edges: DataFrame, pairs: DataFrame, local: int) -> DataFrame:
     """The components where nodes that lead to each other directly are one."""
-    one = written(components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("root").alias("own")), "merged")
+    one = written(components(pairs, "a", "b", merge=True).select(F.col("node").alias("id"), F.col("root").alias("own")), "merged")
     both = edges
     for end in ("a", "b"):
         both = both.join(one.select(F.col("id").alias(end), F.col("own").alias(f"own_{end}")), end, "left")
