@@ -56,7 +56,8 @@ def overpromises(docs: DataFrame, designs: int = 2, plain: list[str] = PLAIN_WOR
     promises = F.exists(F.array(*map(F.lit, USER_FACING)), lambda x: F.contains("path", x)) & ~F.exists(F.array(*map(F.lit, EXEMPT)), lambda x: F.contains("path", x))
     users = written(docs.filter(promises).select(F.col("path").alias("doc"), F.col("text").alias("said"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))).alias("tokens")), "users")
     parts = lines.select(F.col("key").alias("item"), F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, "^[A-Za-z_]+", 0)))).alias("word")).distinct()
-    spoken = users.select("doc", F.explode("tokens").alias("word"))
+    asked = F.broadcast(parts.select("word").distinct())  # words of a few designs; of the documents' no others are shuffled
+    spoken = users.select("doc", F.explode("tokens").alias("word")).join(asked, "word", "left_semi")
     # Words may share their first part, so a pair is looked at if it has one; with different parts the rarer one leads to it.
     single = lines.filter(F.size(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, "^[A-Za-z_]+", 0)))) < F.size("words")).select(F.col("key").alias("item"))
     pairs = shared(parts, spoken).select("item", "doc").unionAll(parts.join(single, "item", "left_semi").join(spoken, "word").select("item", "doc")).distinct()
