@@ -200,7 +200,7 @@ def unsafe(path: Column) -> Column:
 REVIEWED_EXTENSIONS = [".py", ".pyw", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".mts", ".cts"]
 PAGE_EXTENSIONS = [".html", ".htm", ".vue", ".svelte"]
 ENVIRONMENT_NAMES = [".env", ".env.local", ".env.production", ".env.development"]
-TEST_MARKS = ["test_", "_test", "/test/", "/tests/", "spec.", ".spec.", "_test.py", "_test.js", "_test.ts"]
+REVIEW_TEST_MARKS = ["test_", "_test", "/test/", "/tests/", "spec.", ".spec.", "_test.py", "_test.js", "_test.ts"]
 
 
 def is_reviewed(path: Column) -> Column:
@@ -220,4 +220,4 @@ def is_environment(path: Column) -> Column:
 
 def is_test(path: Column) -> Column:
     """PRJ-04: whether a path has a mark of tests, in any case."""
-    return any_in(F.lower(path), TEST_MARKS)
+    return any_in(F.lower(path), REVIEW_TEST_MARKS)
